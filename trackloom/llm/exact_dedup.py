@@ -35,13 +35,16 @@ def sha256(text: Column) -> Column:
 
 @contextlib.contextmanager
 def _rocksdb(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+    """State in RocksDB; each store is closed when its task ends, so open stores are as many as running tasks."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+    old = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def update_state(records: DataFrame, out_path: str, state_path: str) -> None:
