@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import exact_dedup, language_id, media, mixing, packing, sharding, tokens
+from trackloom.llm import exact_dedup, jaccard_join, language_id, media, mixing, packing, sharding, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf_dir))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir)).drop("media", "times", "hashes")
 
@@ -55,7 +59,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_language_id, op4_token_counts, op8_mixing, op9_sharding, op10_media_columns)
+    f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_language_id, op4_token_counts, op7_ngram_jaccard_join, op8_mixing, op9_sharding, op10_media_columns)
 }
 
 ORACLES: dict[str, str] = {
