@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import exact_dedup, jaccard_join, language_id, lm_scoring, media, mixing, packing, sharding, tokens
+from trackloom.llm import exact_dedup, jaccard_join, language_id, lm_scoring, media, mixing, packing, sharding, substring_dedup, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.substring_dedup(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(documents(spark, sf_dir))
 
@@ -63,7 +68,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_language_id, op4_token_counts, op6_lm_scoring, op7_ngram_jaccard_join, op8_mixing, op9_sharding, op10_media_columns)
+    f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_language_id, op4_token_counts, op5_substring_dedup, op6_lm_scoring, op7_ngram_jaccard_join, op8_mixing, op9_sharding, op10_media_columns)
 }
 
 ORACLES: dict[str, str] = {
