@@ -1 +1 @@
-
+"""Column functions: text normalisation, parsing and similarity."""

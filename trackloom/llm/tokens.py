@@ -7,8 +7,10 @@ Slices hold about the same number of bytes whatever the number of rows.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ SLICE_BYTES = 8 << 20
 REMEMBERED = 300_000
 #: Longer pieces are never remembered.
 SHORT = 64
+#: Pieces that are encoded as one text where they can be.
+JOINED = 256
 
 
 class Encoder:
@@ -31,7 +35,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole = path.endswith(".model")
+        self.whole, self.widths = path.endswith(".model"), None
         if self.whole:
             import sentencepiece
 
@@ -44,19 +48,42 @@ class Encoder:
             model.no_truncation()
             model.no_padding()
             self.batch = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+            kind = json.loads(model.to_str())
+            if kind["normalizer"] is None and kind["pre_tokenizer"]["type"] == "ByteLevel":
+                # every character of a token stands for one byte, so pieces can be told apart in a joined text
+                self.widths = {i: len(t) for t, i in model.get_vocab(with_added_tokens=True).items()}
         self.known: dict[bytes, list[int]] = {}
 
-    def encode(self, distinct: pa.Array) -> list[list[int]]:
+    def encode(self, distinct: pa.Array, often: np.ndarray) -> list[list[int]]:
+        """The ids of each distinct piece; ``often``: how many times it occurs."""
         keys = distinct.to_pylist()
         known = self.known
         out = [known.get(k) for k in keys]
         new = [i for i, x in enumerate(out) if x is None]
+        if self.widths is not None:
+            # one blank, then a visible character, and no white space at the end: neighbours don't change such a piece
+            plain, rest = [], []
+            for i in new:
+                k = keys[i]
+                (plain if len(k) > 1 and k[0] == 32 and 32 < k[1] < 127 and 32 < k[-1] < 127 else rest).append(i)
+            new = rest
+            for at in range(0, len(plain), JOINED):
+                some = plain[at : at + JOINED]
+                ids = self.batch([b"".join([keys[i] for i in some]).decode("utf-8")])[0]
+                upto = {w: k for k, w in enumerate(accumulate(map(self.widths.__getitem__, ids)), 1)}
+                first, end = 0, 0
+                for i in some:
+                    end += len(keys[i])
+                    out[i], first = ids[first : upto[end]], upto[end]
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for i, ids in zip(some, self.batch([keys[i].decode("utf-8") for i in some]), strict=True):
                 out[i] = ids
-                if len(known) < REMEMBERED and len(keys[i]) <= SHORT:
-                    known[keys[i]] = ids
+        for i in np.flatnonzero(often > 1).tolist():
+            if len(known) >= REMEMBERED:
+                break
+            if len(keys[i]) <= SHORT:
+                known[keys[i]] = out[i]
         return out
 
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
@@ -67,7 +94,7 @@ class Encoder:
         else:
             starts, first = safe_pieces(data, offsets)
         codes, distinct = encoded(data, starts, np.append(starts[1:], len(data))) if len(starts) else (np.zeros(0, np.int32), pa.array([], pa.binary()))
-        return codes, first, self.encode(distinct)
+        return codes, first, self.encode(distinct, np.bincount(codes, minlength=len(distinct)))
 
 
 def counts(encoder: Encoder, texts: pa.Array) -> np.ndarray:

@@ -1 +1 @@
-
+"""Registered queries over the supplied tables and their SQL."""

@@ -1,10 +1,750 @@
-"""Every registered query and its SQL."""
+"""Every registered query and, where SQL can express it, the same in DuckDB's SQL.
+
+Results hold scalar columns; doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackloom.functions import normalize as N
+from trackloom.functions import parsing as P
+from trackloom.functions import similarity as S
+from trackloom.operators import audit, cleanup, compare, content, dedup, enrich, matching, usage
+from trackloom.plans import adapters as A
+from trackloom.plans import oracles as O
+from trackloom.plans.adapters import table, tracks, two
+from trackloom.schema import derive
+from trackloom.sources import writers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def joined(c: str) -> Column:
+    return F.array_join(c, "|")
+
+
+# Normalisation and parsing
+
+
+@query(f"{O.LIB} SELECT pos, nt FROM lib")
+def normalize_titles(spark, d):
+    return tracks(spark, d).select("pos", "nt")
+
+
+@query(f"{O.LIB} SELECT pos, na FROM lib")
+def normalize_artists(spark, d):
+    return tracks(spark, d).select("pos", "na")
+
+
+@query(f"{O.LIB} SELECT pos, array_to_string(tokens, '|') AS tokens FROM lib")
+def artist_tokens(spark, d):
+    return tracks(spark, d).select("pos", joined("tokens").alias("tokens"))
+
+
+@query(f"{O.LIB} SELECT pos, base FROM lib")
+def strip_versions(spark, d):
+    return tracks(spark, d).select("pos", "base")
+
+
+@query(rf"WITH raw AS ({A.TRACKS_SQL}) SELECT pos, regexp_replace(trim(title), '(?i)\s*[\(\[]\s*official.*?[\)\]]', '', 'g') AS title FROM raw")
+def clean_uploader_titles(spark, d):
+    return tracks(spark, d).select("pos", N.clean_uploader_title(F.col("title")).alias("title"))
+
+
+@query(rf"WITH raw AS ({A.TRACKS_SQL}) SELECT pos, regexp_replace(regexp_replace(trim(lower(title)), '[^\w\s]', '', 'g'), '\s+', ' ', 'g') AS title_key, regexp_replace(regexp_replace(trim(lower(artist)), '[^\w\s]', '', 'g'), '\s+', ' ', 'g') AS artist_key FROM raw")
+def dedup_normalize(spark, d):
+    return tracks(spark, d).select("pos", N.dedup_key(F.col("title")).alias("title_key"), N.dedup_key(F.col("artist")).alias("artist_key"))
+
+
+@query(rf"WITH raw AS ({A.TRACKS_SQL}) SELECT pos, trim(regexp_replace(regexp_replace(title, '[^\w\s\-'']', ' ', 'g'), '\s+', ' ', 'g')) AS term FROM raw")
+def clean_search_terms(spark, d):
+    return tracks(spark, d).select("pos", N.clean_search_term(F.col("title")).alias("term"))
+
+
+@query(f"{O.LIB} SELECT pos, CASE WHEN nt = '' OR na = '' THEN '' ELSE md5(nt || '|' || na) END AS hash FROM lib")
+def exact_hashes(spark, d):
+    return tracks(spark, d).select("pos", N.exact_hash(F.col("nt"), F.col("na")).alias("hash"))
+
+
+@query(f"{O.LIB} SELECT pos, is_music FROM lib")
+def content_filter(spark, d):
+    return tracks(spark, d).select("pos", "is_music")
+
+
+@query(f"""WITH v AS (SELECT l_orderkey, l_linenumber, {A.SECONDS_TEXT} AS v FROM lineitem),
+    n AS (SELECT *, string_split(v, ':') AS p FROM v)
+    SELECT l_orderkey, l_linenumber, CAST(CASE WHEN coalesce(v, '') = '' THEN NULL
+        WHEN regexp_full_match(v, '\\d+') THEN CASE WHEN CAST(v AS BIGINT) > 1000 THEN CAST(v AS BIGINT) // 1000 ELSE CAST(v AS BIGINT) END
+        WHEN len(p) = 2 THEN CAST(p[1] AS INT) * 60 + CAST(p[2] AS INT) WHEN len(p) = 3 THEN CAST(p[1] AS INT) * 3600 + CAST(p[2] AS INT) * 60 + CAST(p[3] AS INT)
+        ELSE trunc(TRY_CAST(v AS DOUBLE)) END AS INT) AS seconds FROM n""")
+def parse_durations(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{A.SECONDS_TEXT} AS v")
+    return rows.select("l_orderkey", "l_linenumber", P.duration(F.col("v")).alias("seconds"))
+
+
+@query(f"""WITH v AS (SELECT l_orderkey, l_linenumber, {A.ISO_TEXT} AS v FROM lineitem), n AS (SELECT *, string_split(v, ':') AS p,
+        coalesce(TRY_CAST(regexp_extract(v, '^PT(?:(\\d+)H)?(?:(\\d+)M)?(?:(\\d+)S)?', 1) AS INT), 0) * 3600 + coalesce(TRY_CAST(regexp_extract(v, '^PT(?:(\\d+)H)?(?:(\\d+)M)?(?:(\\d+)S)?', 2) AS INT), 0) * 60
+        + coalesce(TRY_CAST(regexp_extract(v, '^PT(?:(\\d+)H)?(?:(\\d+)M)?(?:(\\d+)S)?', 3) AS INT), 0) AS iso FROM v)
+    SELECT l_orderkey, l_linenumber, CAST(CASE WHEN v LIKE 'PT%' THEN nullif(iso, 0) WHEN len(p) = 2 THEN CAST(p[1] AS INT) * 60 + CAST(p[2] AS INT) ELSE CAST(v AS INT) END AS INT) AS seconds FROM n""")
+def iso_durations(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{A.ISO_TEXT} AS v")
+    return rows.select("l_orderkey", "l_linenumber", P.iso_duration(F.col("v")).alias("seconds"))
+
+
+@query(f"""WITH v AS (SELECT o_orderkey, {A.YEAR_TEXT} AS v FROM orders)
+    SELECT o_orderkey, CAST(coalesce(TRY_CAST(nullif(regexp_extract(v, '\\b((?:19|20)\\d\\d)\\b', 1), '') AS INT), trunc(TRY_CAST(v AS DOUBLE))) AS INT) AS year FROM v""")
+def parse_years(spark, d):
+    return table(spark, d, "orders").selectExpr("o_orderkey", f"{A.YEAR_TEXT} AS v").select("o_orderkey", P.year(F.col("v")).alias("year"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey * 7 AS BIGINT) AS s FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS time FROM v""")
+def format_times(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.time_text(F.col("l_partkey") * 7).alias("time"))
+
+
+@query(rf"""WITH raw AS ({A.TRACKS_SQL}) SELECT pos, 'https://img.youtube.com/vi/' || nullif(regexp_extract(coalesce(url, ''), 'watch\?v=([^&]*)', 1), '') || '/mqdefault.jpg' AS thumbnail,
+    coalesce(nullif(regexp_extract(url, '[?&]list=([^&#]*)', 1), ''), url) AS playlist FROM raw""")
+def thumb_urls(spark, d):
+    rows = tracks(spark, d)
+    return rows.select("pos", N.thumbnail_url(F.lit("youtube_music"), F.lit(None).cast("string"), F.col("url")).alias("thumbnail"), N.playlist_id(F.col("url")).alias("playlist"))
+
+
+@query(r"""SELECT page_id, CASE WHEN x = '' THEN 'untitled' ELSE x END AS filename FROM (
+    SELECT page_id, regexp_replace(translate(coalesce(url, ''), '<>:"/\|?*', '_________'), '^[ .]+|[ .]+$', '', 'g') AS x FROM pages)""")
+def filenames(spark, d):
+    return table(spark, d, "pages").select("page_id", N.clean_filename(F.col("url")).alias("filename"))
+
+
+@query(f"WITH raw AS ({A.TRACKS_SQL}) SELECT pos, title || ' ' || artist || coalesce(' ' || album, '') AS query, contains(lower(title), 'explicit') AS explicit_hint FROM raw")
+def search_queries(spark, d):
+    return tracks(spark, d).select("pos", N.search_query(F.col("title"), F.col("artist"), F.col("album")).alias("query"), N.explicit_hint(F.col("title")).alias("explicit_hint"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, coalesce(json_extract_string(props, '$.name'), json_extract_string(props, '$.k')) AS label FROM events")
+def json_fields(spark, d):
+    v = F.try_parse_json("props")
+    label = F.coalesce(F.try_variant_get(v, "$.name", "string"), F.try_variant_get(v, "$.k", "string"))
+    return table(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "int").alias("k"), label.alias("label"))
+
+
+# Libraries
+
+
+@query(f"""{O.LIB} SELECT library, count(*) AS total_tracks, count(*) FILTER (is_music) AS music_tracks, count(*) FILTER (NOT is_music) AS non_music_tracks, count(DISTINCT na) FILTER (is_music) AS unique_artists FROM lib GROUP BY library""")
+def library_stats(spark, d):
+    return compare.library_stats(tracks(spark, d))
+
+
+@query(f"{O.LIB} SELECT library, na, count(*) AS tracks, min(pos) AS first_pos FROM lib WHERE is_music GROUP BY ALL")
+def artist_counts(spark, d):
+    return compare.artist_counts(tracks(spark, d))
+
+
+@query(f"""{O.LIB}, c AS (SELECT library, na, count(*) AS tracks, min(pos) AS first_pos FROM lib WHERE is_music GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY library ORDER BY tracks DESC, first_pos) AS rank FROM c QUALIFY rank <= 10""")
+def top_artists(spark, d):
+    return compare.top_artists(tracks(spark, d), 10)
+
+
+@query(f"{O.LIB} SELECT library3 AS library, count(*) AS total_tracks, count(*) FILTER (is_music) AS music_tracks, count(DISTINCT na) FILTER (is_music) AS unique_artists FROM lib GROUP BY ROLLUP (library3)")
+def overview(spark, d):
+    return compare.overview(tracks(spark, d, "library3"))
+
+
+# Matching
+
+
+def sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    a, b = two(spark, d)
+    return matching.side(a.where("is_music"), "s"), matching.side(b.where("is_music"), "t")
+
+
+def pairs_of(matches: DataFrame) -> DataFrame:
+    return matches.select("s_pos", "t_pos", r6("confidence").alias("confidence"), "match_type")
+
+
+def equal_matches(spark, d, **options) -> DataFrame:
+    a, b = two(spark, d)
+    return matching.match_libraries(a, b, scorer="equality", **options)
+
+
+@query(f"{O.COMPARED} SELECT s_pos, t_pos, confidence, match_type FROM m1")
+def isrc_matches(spark, d):
+    return pairs_of(matching.isrc_matches(*sides(spark, d)))
+
+
+@query(f"{O.COMPARED} SELECT s_pos, t_pos, round(confidence, 6) AS confidence, match_type FROM m2")
+def exact_matches(spark, d):
+    s, t = sides(spark, d)
+    rest = s.join(matching.isrc_matches(s, t).select("s_pos"), "s_pos", "left_anti")
+    return pairs_of(matching.exact_matches(rest, t, S.confidence("s", "t", scorer="equality")))
+
+
+@query(f"{O.COMPARED} SELECT s_pos, t_pos FROM b")
+def base_candidates(spark, d):
+    s, t = sides(spark, d)
+    rest = s.join(matching.isrc_matches(s, t).select("s_pos"), "s_pos", "left_anti")
+    rest = rest.join(matching.exact_matches(rest, t, F.lit(0.95)).select("s_pos"), "s_pos", "left_anti")
+    return matching.base_candidates(rest, t).select("s_pos", "t_pos")
+
+
+@query(f"{O.LIB}, r3 AS (SELECT * FROM lib WHERE library = 'A' AND pos % 10 < 2), t AS ({O.B}), w AS (SELECT DISTINCT a.pos AS s_pos, b.pos AS t_pos FROM ({O.words('r3')}) a JOIN ({O.words('t')}) b USING (word)) SELECT s_pos, count(*) AS candidates, min(t_pos) AS first_t, sum(t_pos) AS sum_t FROM w GROUP BY s_pos")
+def word_candidates(spark, d):
+    a, b = two(spark, d)
+    s, t = matching.side(a.where("pos % 10 < 2"), "s"), matching.side(b, "t")
+    return matching.word_candidates(s, t).groupBy("s_pos").agg(F.count(F.lit(1)).alias("candidates"), F.min("t_pos").alias("first_t"), F.sum("t_pos").alias("sum_t"))
+
+
+@query(f"""{O.LIB}, s AS (SELECT * REPLACE (CASE WHEN pos % 3 = 0 THEN 'qq' || pos ELSE nt END AS nt, CASE WHEN pos % 3 = 0 THEN 'zz' || pos ELSE na END AS na) FROM lib WHERE library = 'A'), t AS ({O.B}),
+    w AS (SELECT DISTINCT a.pos AS s_pos FROM ({O.words('s')}) a JOIN ({O.words('t')}) b USING (word))
+    SELECT s.pos AS s_pos, x.pos AS t_pos FROM s, (SELECT pos FROM t ORDER BY pos LIMIT 50) x WHERE s.pos NOT IN (SELECT s_pos FROM w)""")
+def fallback_candidates(spark, d):
+    a, b = two(spark, d)
+    own = lambda c, mark: F.when(F.col("pos") % 3 == 0, F.concat(F.lit(mark), F.col("pos"))).otherwise(F.col(c))
+    s, t = matching.side(a.withColumns({"nt": own("nt", "qq"), "na": own("na", "zz")}), "s"), matching.side(b, "t")
+    return matching.fallback_candidates(s, t, matching.word_candidates(s, t))
+
+
+def name_pairs(spark, d) -> DataFrame:
+    """Every track of A with the tracks of B that have its base title: pairs to score."""
+    a, b = two(spark, d)
+    s, t = matching.side(a, "s"), matching.side(b, "t")
+    return s.join(t, (F.col("s_base") == F.col("t_base")) & (F.col("s_pos") % 7 == F.col("t_pos") % 7))
+
+
+
+def scored(columns: str) -> str:
+    return f"{O.LIB} SELECT s.pos AS s_pos, t.pos AS t_pos, {columns} FROM lib s JOIN lib t ON s.base = t.base AND s.pos % 7 = t.pos % 7 WHERE s.library = 'A' AND t.library = 'B'"
+
+
+
+@query(scored(f"round({O.confidence()}, 6) AS strict, round({O.confidence(False, True)}, 6) AS relaxed"))
+def confidence_fallback(spark, d):
+    strict, relaxed = S.confidence("s", "t", scorer="equality"), S.confidence("s", "t", False, True, True, scorer="equality")
+    return name_pairs(spark, d).select("s_pos", "t_pos", r6(strict).alias("strict"), r6(relaxed).alias("relaxed"))
+
+
+@query(scored(f"round({O.ARTIST}, 6) AS artist"))
+def artist_similarity(spark, d):
+    score = S.artist_similarity(F.col("s_tokens"), F.col("t_tokens"), F.col("s_na"), F.col("t_na"), "equality")
+    return name_pairs(spark, d).select("s_pos", "t_pos", r6(score).alias("artist"))
+
+
+@query(scored(f"round({O.length(True)}, 6) AS strict, round({O.length(False)}, 6) AS relaxed"))
+def duration_similarity(spark, d):
+    score = lambda strict: r6(S.duration_similarity(F.col("s_duration"), F.col("t_duration"), strict))
+    return name_pairs(spark, d).select("s_pos", "t_pos", score(True).alias("strict"), score(False).alias("relaxed"))
+
+
+@query(f"{O.COMPARED} SELECT s_pos, t_pos, round(confidence, 6) AS confidence, match_type FROM matches")
+def compare_matches(spark, d):
+    return pairs_of(equal_matches(spark, d))
+
+
+@query(f"{O.COMPARED} SELECT pos, title, artist FROM s WHERE pos NOT IN (SELECT s_pos FROM matches)")
+def missing_tracks(spark, d):
+    a, _ = two(spark, d)
+    return matching.missing(a, equal_matches(spark, d)).select("pos", "title", "artist")
+
+
+STAT = "total_matches, exact_matches, fuzzy_matches, isrc_matches, round(avg_confidence, 6) AS avg_confidence, source_music_tracks, target_music_tracks, round(match_rate, 6) AS match_rate, missing_tracks"
+
+
+def stat_row(df: DataFrame) -> DataFrame:
+    return df.withColumns({"avg_confidence": r6("avg_confidence"), "match_rate": r6("match_rate")})
+
+
+@query(f"{O.COMPARED} SELECT {STAT} FROM ({O.stats()})")
+def compare_stats(spark, d):
+    a, b = two(spark, d)
+    return stat_row(compare.comparison_stats(a, b, equal_matches(spark, d)))
+
+
+@query()
+def compare_matches_fuzzy(spark, d):
+    a, b = two(spark, d)
+    return pairs_of(matching.match_libraries(a, b))
+
+
+@query()
+def compare_matches_relaxed(spark, d):
+    a, b = two(spark, d)
+    return pairs_of(matching.match_libraries(a, b, strict=False, use_album=True))
+
+
+@query()
+def base_matches(spark, d):
+    s, t = sides(spark, d)
+    return pairs_of(matching.base_matches(s, t, S.confidence("s", "t"), S.ACCEPT_BASE[True]))
+
+
+@query()
+def fuzzy_title_similarity(spark, d):
+    titles = tracks(spark, d).select("nt").distinct()
+    one, two_ = titles.select(F.col("nt").alias("a")), titles.select(F.col("nt").alias("b"))
+    near = one.join(two_, (F.substring_index("a", " ", 1) == F.substring_index("b", " ", 1)) & (F.col("a") < F.col("b")))
+    return near.select("a", "b", r6(S.title_similarity(F.col("a"), F.col("b"))).alias("similarity"))
+
+
+@query()
+def album_similarity(spark, d):
+    albums = table(spark, d, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("album")).distinct()
+    one, two_ = albums.select(F.col("album").alias("a")), albums.select(F.col("album").alias("b"))
+    near = one.join(two_, (F.substring_index("a", " ", 1) == F.substring_index("b", " ", 1)) & (F.col("a") < F.col("b")))
+    return near.select("a", "b", r6(S.album_similarity(F.col("a"), F.col("b"))).alias("similarity"))
+
+
+@query()
+def matcher_b(spark, d):
+    a, b = two(spark, d)
+    out = matching.match_b(a, b, use_album=True)
+    return out.select("s_pos", "t_pos", r6("confidence").alias("confidence"), "match_type", r6(F.col("scores")["title"]).alias("title_score"))
+
+
+@query()
+def matcher_b_fallback(spark, d):
+    a, b = two(spark, d)
+    return pairs_of(matching.match_b(a, b, plain=True))
+
+
+# Multi-library analysis
+
+PAIRED = [("X", "Y"), ("X", "Z"), ("Y", "Z")]
+
+
+@query(
+    O.LIB
+    + ", "
+    + ", ".join(O.cascade(f"SELECT * FROM lib WHERE library3 = '{a}'", f"SELECT * FROM lib WHERE library3 = '{b}'", f"_{a}{b}") for a, b in PAIRED)
+    + " "
+    + " UNION ALL ".join(f"SELECT {STAT}, '{a}' AS source, '{b}' AS target FROM ({O.stats(f'_{a}{b}')})" for a, b in PAIRED)
+)
+def pairwise_stats(spark, d):
+    return stat_row(compare.pairwise_stats(tracks(spark, d, "library3"), ["X", "Y", "Z"], scorer="equality"))
+
+
+@query(f"""{O.LIB}, g AS (SELECT nt, na, count(DISTINCT library3) AS appears_in, min(pos) FILTER (library3 = 'X') AS p FROM lib WHERE is_music GROUP BY nt, na HAVING count(DISTINCT library3) = 3)
+    SELECT title, artist, g.nt, g.na, appears_in FROM g JOIN lib ON lib.pos = g.p""")
+def universal_tracks(spark, d):
+    return compare.universal_tracks(tracks(spark, d, "library3"), 3, "X")
+
+
+@query(f"{O.LIB}, g AS (SELECT nt, na FROM lib WHERE is_music GROUP BY nt, na HAVING count(DISTINCT library3) = 1) SELECT library3 AS library, pos, title, artist FROM lib JOIN g USING (nt, na) WHERE is_music")
+def unique_tracks(spark, d):
+    return compare.unique_tracks(tracks(spark, d, "library3")).select("library", "pos", "title", "artist")
+
+
+@query(f"{O.LIB} SELECT na, count(DISTINCT library3) AS libraries, count(*) AS tracks FROM lib WHERE is_music GROUP BY na")
+def artist_overlap(spark, d):
+    return compare.artist_overlap(tracks(spark, d, "library3")).drop("first")
+
+
+@query(f"{O.LIB} SELECT na, count(*) AS tracks FROM lib WHERE is_music GROUP BY na HAVING count(DISTINCT library3) = 3")
+def universal_artists(spark, d):
+    return compare.universal_artists(tracks(spark, d, "library3"), 3)
+
+
+@query(f"{O.LIB} SELECT na, count(DISTINCT library3) AS libraries, count(*) AS tracks FROM lib WHERE is_music GROUP BY na ORDER BY tracks DESC, min(struct_pack(l := library3, p := pos)) LIMIT 20")
+def top_overlap_artists(spark, d):
+    return compare.top_overlap_artists(tracks(spark, d, "library3"))
+
+
+@query(f"{O.COMPARED} SELECT match_type, CAST(least(floor(round(confidence * 20, 6)), 19) AS INT) AS bin, count(*) AS matches FROM matches GROUP BY ALL")
+def confidence_histogram(spark, d):
+    return compare.confidence_histogram(equal_matches(spark, d))
+
+
+@query(f"{O.COMPARED} SELECT match_type, count(*) AS matches FROM matches GROUP BY ALL")
+def match_type_distribution(spark, d):
+    return equal_matches(spark, d).groupBy("match_type").agg(F.count(F.lit(1)).alias("matches"))
+
+
+# Audit, augmentation, exports
+
+
+def playlist(spark, d) -> DataFrame:
+    """Every fifth part as a playlist item; some artists and titles are changed."""
+    rows = table(spark, d, "part").where("p_partkey % 5 = 0").selectExpr(*[f"{A.TRACKS[k]} AS {k}" for k in ("pos", "title", "artist", "album", "duration", "year")], "CAST(NULL AS STRING) AS isrc")
+    rows = rows.withColumn("artist", F.when(F.col("pos") % 15 == 5, F.concat("artist", F.lit(" & Someone"))).when(F.col("pos") % 20 == 0, F.lit("Nobody")).otherwise(F.col("artist")))
+    return derive(rows)
+
+
+ITEMS = O.LIB.replace(
+    f"raw AS ({A.TRACKS_SQL})",
+    f"""raw0 AS ({A.TRACKS_SQL}), raw AS (SELECT *, false AS item FROM raw0 UNION ALL SELECT * REPLACE (NULL AS isrc,
+        CASE WHEN pos % 15 = 5 THEN artist || ' & Someone' WHEN pos % 20 = 0 THEN 'Nobody' ELSE artist END AS artist), true AS item FROM raw0 WHERE pos % 5 = 0)""",
+)
+AUDITED = f"""{ITEMS}, i AS (SELECT * FROM lib WHERE item), t AS (SELECT * FROM lib WHERE NOT item AND library = 'B' AND is_music),
+    a1 AS (SELECT s.pos AS s_pos, min(t.pos) AS t_pos, 0.98e0 AS confidence, 'present' AS status FROM i s JOIN t ON s.nt = t.nt AND s.na = t.na GROUP BY s.pos),
+    k1 AS (SELECT * FROM i WHERE pos NOT IN (SELECT s_pos FROM a1)),
+    c2 AS (SELECT s.pos AS s_pos, t.pos AS t_pos, {O.confidence(False, True)} AS confidence FROM k1 s JOIN t ON s.base = t.base AND s.na = t.na),
+    a2 AS (SELECT *, CASE WHEN confidence >= 0.82e0 THEN 'present' ELSE 'review' END AS status FROM (SELECT * FROM c2 WHERE confidence > 0 QUALIFY row_number() OVER (PARTITION BY s_pos ORDER BY confidence DESC, t_pos) = 1) WHERE confidence >= 0.7e0),
+    k2 AS (SELECT * FROM k1 WHERE pos NOT IN (SELECT s_pos FROM a2)),
+    x AS (SELECT pos, unnest(tokens) AS token FROM k2), y AS (SELECT pos, unnest(tokens) AS token FROM t),
+    c3 AS (SELECT s.pos AS s_pos, t.pos AS t_pos, {O.confidence(False, True)} AS confidence FROM (SELECT DISTINCT x.pos AS a, y.pos AS b FROM x JOIN y USING (token)) p JOIN k2 s ON s.pos = a JOIN t ON t.pos = b),
+    a3 AS (SELECT s_pos, CASE WHEN confidence >= 0.7e0 THEN t_pos END AS t_pos, confidence, CASE WHEN confidence >= 0.82e0 THEN 'present' WHEN confidence >= 0.7e0 THEN 'review' ELSE 'missing' END AS status
+        FROM c3 WHERE confidence > 0 QUALIFY row_number() OVER (PARTITION BY s_pos ORDER BY confidence DESC, t_pos) = 1),
+    audited AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3 UNION ALL SELECT pos, NULL, 0e0, 'missing' FROM k2 WHERE pos NOT IN (SELECT s_pos FROM a3))"""
+
+
+def audited(spark, d, scorer="equality") -> DataFrame:
+    return audit.audit(playlist(spark, d), two(spark, d)[1], scorer=scorer)
+
+
+@query(f"{AUDITED} SELECT s_pos, t_pos, status, round(confidence, 3) AS confidence FROM audited")
+def playlist_audit(spark, d):
+    return audited(spark, d).select("s_pos", "t_pos", "status", F.round("confidence", 3).alias("confidence"))
+
+
+@query(f"{AUDITED} SELECT status, count(*) AS items FROM audited GROUP BY status")
+def audit_counts(spark, d):
+    return audited(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query()
+def playlist_audit_fuzzy(spark, d):
+    return writers.audit_report(audited(spark, d, "fuzzy"))
+
+
+@query(f"""{ITEMS}, i AS (SELECT * FROM lib WHERE item), t AS (SELECT * FROM lib WHERE NOT item AND library = 'B'),
+    x AS (SELECT pos, unnest(tokens) AS token FROM i), y AS (SELECT pos, unnest(tokens) AS token FROM t),
+    c AS (SELECT s.pos AS s_pos, t.pos AS t_pos, t.isrc, {O.confidence(False, True)} AS confidence FROM (SELECT DISTINCT x.pos AS a, y.pos AS b FROM x JOIN y USING (token)) p JOIN i s ON s.pos = a JOIN t ON t.pos = b),
+    best AS (SELECT * FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY s_pos ORDER BY confidence DESC, t_pos) = 1) WHERE confidence >= 0.82e0)
+    SELECT i.pos AS s_pos, coalesce(best.isrc, '') AS isrc, round(confidence, 6) AS confidence FROM i LEFT JOIN best ON s_pos = i.pos""")
+def augment_isrc(spark, d):
+    return audit.augment_isrc(playlist(spark, d), two(spark, d)[1], scorer="equality").select("s_pos", "isrc", r6("confidence").alias("confidence"))
+
+
+@query(f"""{AUDITED} SELECT title AS "Title", artist AS "Artist", coalesce(album, '') AS "Album", '' AS "ISRC", coalesce(CAST(duration AS VARCHAR), '') AS "Duration" FROM audited JOIN i ON pos = s_pos WHERE status = 'missing'""")
+def soundiiz_export(spark, d):
+    gone = audited(spark, d).where("status = 'missing'").select(*[F.col(f"s_{c}").alias(c) for c in ("title", "artist", "album", "isrc", "duration")])
+    return writers.transfer_report(gone)
+
+
+@query(f"""{AUDITED} SELECT title AS "Name", artist AS "Artist", coalesce(album, '') AS "Album", CASE WHEN duration IS NULL THEN '' ELSE printf('%d:%02d', duration // 60, duration % 60) END AS "Time" FROM audited JOIN i ON pos = s_pos WHERE status = 'missing'""")
+def apple_text_export(spark, d):
+    gone = audited(spark, d).where("status = 'missing'").select(*[F.col(f"s_{c}").alias(c) for c in ("title", "artist", "album", "duration")])
+    return writers.player_report(gone)
+
+
+@query(f"""{O.COMPARED} SELECT s.title AS source_title, s.artist AS source_artist, coalesce(s.album, '') AS source_album, coalesce(CAST(s.duration AS VARCHAR), '') AS source_duration,
+    t.title AS target_title, t.artist AS target_artist, coalesce(t.album, '') AS target_album, coalesce(CAST(t.duration AS VARCHAR), '') AS target_duration,
+    round(confidence * 100, 2) AS confidence, match_type, 'a' AS source_platform, 'b' AS target_platform FROM matches m JOIN s ON s.pos = s_pos JOIN t ON t.pos = t_pos""")
+def matches_export(spark, d):
+    return writers.matches_report(equal_matches(spark, d), "a", "b")
+
+
+# Validation and risk
+
+ISSUES = """list_filter([CASE WHEN coalesce(title, '') = '' THEN 'Missing or empty title' END, CASE WHEN coalesce(artist, '') = '' THEN 'Missing or empty artist' END, CASE WHEN duration < 0 THEN 'Duration cannot be negative' END,
+    CASE WHEN duration > 7200 THEN 'Duration seems unreasonably long (>2 hours)' END, CASE WHEN year < 1900 OR year > 2030 THEN 'Year seems unreasonable' END, CASE WHEN track_number < 1 THEN 'Track number must be positive' END], lambda v: v IS NOT NULL)"""
+
+
+@query(f"{O.LIB} SELECT pos, array_to_string({ISSUES}, '|') AS issues FROM lib")
+def validate_tracks(spark, d):
+    return tracks(spark, d).select("pos", F.array_join(content.track_issues(), "|").alias("issues"))
+
+
+@query(f"""{O.LIB}, g AS (SELECT library, count(*) AS total_tracks, count(*) FILTER (len({ISSUES}) > 0) AS tracks_with_issues, count(*) - count(DISTINCT nt || '|' || na) AS duplicate_tracks FROM lib GROUP BY library)
+    SELECT *, round(tracks_with_issues * 100e0 / total_tracks, 2) AS issue_percent, tracks_with_issues * 100e0 / total_tracks <= 10 AS is_valid, tracks_with_issues > 0 AND tracks_with_issues * 100e0 / total_tracks <= 10 AS issue_warning,
+    round(duplicate_tracks * 100e0 / total_tracks, 2) AS duplicate_percent, duplicate_tracks * 100e0 / total_tracks > 5 AS duplicate_warning FROM g""")
+def validate_library(spark, d):
+    return content.library_report(tracks(spark, d))
+
+
+@query(f"{O.LIB} SELECT pos, CASE WHEN is_music THEN '' ELSE 'Non-music content detected' END AS issues, is_music AS valid, length(title) > 100 AS warning FROM lib")
+def playlist_validation(spark, d):
+    return content.playlist_validation(tracks(spark, d)).select("pos", joined("issues").alias("issues"), "valid", "warning")
+
+
+_LOW = "lower(title)"
+_HAS = lambda *ws: "(" + " OR ".join(f"contains({_LOW}, '{w}')" for w in ws) + ")"
+RISKS = [
+    ("Version/Remaster", 3, _HAS("remaster", "- 20", "deluxe", "extended")),
+    ("Live/Special Version", 4, _HAS("live", "en vivo", "concert", "acoustic")),
+    ("Featuring Artists", 2, _HAS("feat.", "ft.", "featuring", "with ")),
+    ("Special Characters", 1, r"regexp_matches(title, '[/()\-&#]')"),
+    ("Non-English Characters", 2, r"regexp_matches(title, '[^\x00-\x7F]')"),
+    ("Long Title", 1, "length(title) > 60"),
+    ("No Album Info", 1, "coalesce(album, '') = ''"),
+    ("Very Short (<1min)", 3, "(duration > 0 AND duration < 60)"),
+    ("Very Long (>10min)", 2, "duration > 600"),
+]
+RISKY = (
+    f"{O.COMPARED}, gone AS (SELECT * FROM s WHERE pos NOT IN (SELECT s_pos FROM matches)), risky0 AS (SELECT *, list_filter(["
+    + ", ".join(f"CASE WHEN {rule} THEN '{n}' END" for n, _, rule in RISKS)
+    + "], lambda v: v IS NOT NULL) AS issues, "
+    + " + ".join(f"CASE WHEN {rule} THEN {w} ELSE 0 END" for _, w, rule in RISKS)
+    + " AS risk_score FROM gone), risky AS (SELECT *, CASE WHEN risk_score >= 5 THEN 'high' WHEN risk_score >= 2 THEN 'medium' ELSE 'low' END AS tier FROM risky0 WHERE len(issues) > 0)"
+)
+
+
+def gone(spark, d) -> DataFrame:
+    return matching.missing(two(spark, d)[0], equal_matches(spark, d))
+
+
+@query(f"{RISKY} SELECT pos, array_to_string(issues, '|') AS issues, risk_score, tier FROM risky")
+def risk_scores(spark, d):
+    return content.risk_scores(gone(spark, d)).select("pos", joined("issues").alias("issues"), "risk_score", "tier")
+
+
+@query(f"{RISKY} SELECT issue, count(*) AS tracks, round(count(*) * 100e0 / (SELECT count(*) FROM gone), 1) AS percent FROM (SELECT unnest(issues) AS issue FROM risky) GROUP BY issue")
+def issue_frequency(spark, d):
+    rows = gone(spark, d)
+    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))
+    counted = content.risk_scores(rows).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("tracks"))
+    return counted.join(total).select("issue", "tracks", F.round(F.col("tracks") * 100.0 / F.col("total"), 1).alias("percent"))
+
+
+@query(f"""{O.COMPARED}, gone AS (SELECT *, CASE WHEN isrc IS NULL THEN 'No identifier' ELSE 'No matches found' END AS reason FROM s WHERE pos NOT IN (SELECT s_pos FROM matches))
+    SELECT reason, count(*) AS tracks, round(avg(duration), 6) AS avg_duration, count(*) FILTER (album IS NOT NULL) AS with_album, count(*) FILTER (isrc IS NOT NULL) AS with_isrc FROM gone GROUP BY reason""")
+def failure_reasons(spark, d):
+    rows = gone(spark, d).withColumn("reason", F.when(F.col("isrc").isNull(), "No identifier").otherwise("No matches found"))
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("tracks"), F.round(F.avg("duration"), 6).alias("avg_duration"), F.count("album").alias("with_album"), F.count("isrc").alias("with_isrc"))
+
+
+# Deduplication and clean-up
+
+
+def songs(spark, d) -> DataFrame:
+    """Tracks as songs of a service: title, first artist, album, duration, explicit, video_type."""
+    rows = table(spark, d, "part").selectExpr(*[f"{A.TRACKS[k]} AS {k}" for k in ("pos", "title", "album", "duration", "explicit", "video_type")], "p_brand AS artist")
+    return rows.withColumn("album", F.concat_ws(" ", "album", F.when(F.col("pos") % 4 == 1, "album").when(F.col("pos") % 4 == 2, "single"), F.lit("x")))
+
+
+def edges(spark, d) -> DataFrame:
+    return dedup.duplicate_edges(songs(spark, d), 0.9)
+
+
+@query()
+def duplicate_edges(spark, d):
+    return edges(spark, d).select("a", "b", r6("title_similarity").alias("title_similarity"), r6("artist_similarity").alias("artist_similarity"))
+
+
+@query()
+def duplicate_groups(spark, d):
+    return dedup.duplicate_groups(edges(spark, d)).select("group_id", "pos", r6("title_similarity").alias("title_similarity"), r6("artist_similarity").alias("artist_similarity"))
+
+
+@query()
+def duplicate_ranking(spark, d):
+    rows = dedup.duplicate_groups(edges(spark, d)).select("group_id", "pos").join(songs(spark, d), "pos")
+    return dedup.ranked(rows).select("group_id", "pos", "rank", "quality_score", "quality", "source")
+
+
+@query()
+def dedup_summary(spark, d):
+    return dedup.dedup_summary(dedup.duplicate_groups(edges(spark, d)))
+
+
+SONGS = f"""WITH raw AS ({A.TRACKS_SQL}), songs AS (SELECT pos, title, p_brand AS artist, p_brand || '/' || p_name AS group_id, concat_ws(' ', album, CASE pos % 4 WHEN 1 THEN 'album' WHEN 2 THEN 'single' END, 'x') AS album, duration, explicit, video_type
+    FROM raw JOIN part ON pos = p_partkey),
+    q AS (SELECT *, CASE WHEN contains(lower(album), 'album') OR length(album) > 10 THEN 10 WHEN contains(lower(album), 'single') THEN 5 ELSE 0 END + CASE WHEN coalesce(duration, 0) > 60 THEN 5 ELSE 0 END
+        + CASE WHEN explicit OR contains(lower(title), 'explicit') THEN 15 ELSE 0 END - CASE WHEN contains(lower(title), 'clean') OR contains(lower(title), 'radio edit') THEN 3 ELSE 0 END + CASE WHEN video_type = 'MUSIC_VIDEO_TYPE_ATV' THEN 8 ELSE 0 END AS quality_score FROM songs),
+    ranked AS (SELECT *, CASE WHEN quality_score >= 15 THEN 'High' WHEN quality_score >= 8 THEN 'Medium' ELSE 'Low' END AS quality, CASE WHEN contains(lower(album), 'single') THEN 'Single' WHEN length(album) > 3 THEN 'Album' ELSE 'Unknown' END AS source,
+        row_number() OVER (PARTITION BY group_id ORDER BY quality_score DESC, pos) AS rank FROM q),
+    chosen AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY explicit DESC, rank) = 1 AS winner FROM ranked)"""
+
+
+def chosen(spark, d) -> DataFrame:
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.concat_ws("/", "p_brand", "p_name").alias("group_id"))
+    return dedup.selected(dedup.ranked(songs(spark, d).join(names, "pos")))
+
+
+@query(f"{SONGS} SELECT pos, group_id, quality_score, quality, source, rank FROM ranked")
+def quality_scores(spark, d):
+    return chosen(spark, d).select("pos", "group_id", "quality_score", "quality", "source", "rank")
+
+
+@query(f"{SONGS} SELECT group_id, pos FROM chosen WHERE winner")
+def winners(spark, d):
+    return chosen(spark, d).where("winner").select("group_id", "pos")
+
+
+@query(f"{SONGS} SELECT c.group_id, c.pos, w.pos AS winner_pos FROM chosen c JOIN chosen w ON c.group_id = w.group_id AND w.winner WHERE NOT c.winner")
+def losers(spark, d):
+    rows = chosen(spark, d)
+    won = rows.where("winner").select("group_id", F.col("pos").alias("winner_pos"))
+    return rows.where("not winner").select("group_id", "pos").join(won, "group_id")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'liked' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'library' END AS reason FROM documents""")
+def playlist_cleanup_basic(spark, d):
+    labels = table(spark, d, "labels")
+    return cleanup.basic_cleanup(table(spark, d, "documents").select("doc_id"), labels.where("quality = 1"), labels, "doc_id").select("doc_id", "reason")
+
+
+ITEMS_OF_LISTS = "SELECT DISTINCT l_orderkey % 50 AS playlist_id, l_partkey AS video_id FROM lineitem"
+PLAN = f"""{SONGS}, items AS ({ITEMS_OF_LISTS}), lost AS (SELECT c.pos AS video_id, w.pos AS winner_id FROM chosen c JOIN chosen w ON c.group_id = w.group_id AND w.winner WHERE NOT c.winner),
+    hit AS (SELECT playlist_id, video_id, winner_id FROM items JOIN lost USING (video_id)),
+    plan AS (SELECT DISTINCT playlist_id, 'remove' AS op, video_id FROM hit UNION ALL SELECT DISTINCT playlist_id, 'add', winner_id FROM hit WHERE (playlist_id, winner_id) NOT IN (SELECT (playlist_id, video_id) FROM items))"""
+
+
+def plan_of(spark, d) -> tuple[DataFrame, DataFrame]:
+    items = table(spark, d, "lineitem").selectExpr("l_orderkey % 50 AS playlist_id", "l_partkey AS video_id").distinct()
+    return items, cleanup.cleanup_plan(items, chosen(spark, d).withColumnRenamed("pos", "video_id"))
+
+
+@query(f"{PLAN} SELECT * FROM plan")
+def cleanup_plan(spark, d):
+    return plan_of(spark, d)[1]
+
+
+@query(f"{PLAN} SELECT playlist_id, CASE op WHEN 'remove' THEN 'add' ELSE 'remove' END AS op, video_id FROM plan")
+def cleanup_rollback(spark, d):
+    return cleanup.rollback(plan_of(spark, d)[1])
+
+
+@query(f"{PLAN} SELECT playlist_id, video_id FROM items WHERE (playlist_id, video_id) NOT IN (SELECT (playlist_id, video_id) FROM plan WHERE op = 'remove') UNION ALL SELECT playlist_id, video_id FROM plan WHERE op = 'add'")
+def cleanup_applied(spark, d):
+    return cleanup.apply_plan(*plan_of(spark, d))
+
+
+@query(f"""{O.COMPARED} SELECT a.pos, floor((row_number() OVER (ORDER BY a.pos) - 1) / 50) AS batch, CASE WHEN confidence IS NULL THEN 'No matches found' WHEN confidence < 0.7e0 THEN 'Low confidence match' END AS reason
+    FROM s a LEFT JOIN matches ON s_pos = a.pos""")
+def playlist_batches(spark, d):
+    rows = two(spark, d)[0].where("is_music").select("pos").join(equal_matches(spark, d).select(F.col("s_pos").alias("pos"), "confidence"), "pos", "left")
+    return cleanup.playlist_batches(rows).select("pos", F.col("batch").cast("double").alias("batch"), "reason")
+
+
+@query(f"{O.COMPARED}, f AS (SELECT coalesce(confidence, 0e0) AS c FROM s a LEFT JOIN matches ON s_pos = a.pos ORDER BY a.pos LIMIT 10), g AS (SELECT count(*) AS sample_size, count(*) FILTER (c >= 0.8e0) AS good_matches, avg(c) AS m FROM f) SELECT sample_size, good_matches, round(m, 6) AS avg_confidence, good_matches / CAST(sample_size AS DOUBLE) AS good_match_rate, CASE WHEN good_matches >= 0.8e0 * sample_size AND m >= 0.8e0 THEN 'excellent' WHEN good_matches >= 0.6e0 * sample_size AND m >= 0.7e0 THEN 'good' WHEN good_matches >= 0.4e0 * sample_size AND m >= 0.6e0 THEN 'moderate' ELSE 'low' END AS recommendation FROM g")
+def playlist_potential(spark, d):
+    rows = two(spark, d)[0].where("is_music").select("pos").join(equal_matches(spark, d).select(F.col("s_pos").alias("pos"), "confidence"), "pos", "left")
+    return cleanup.playlist_potential(rows).withColumn("avg_confidence", r6("avg_confidence"))
+
+
+@query("SELECT p_partkey, count(*) OVER w AS copies, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) = 1 AS keep FROM part QUALIFY copies > 1 WINDOW w AS (PARTITION BY p_name, p_brand)")
+def internal_duplicates(spark, d):
+    return cleanup.internal_duplicates(table(spark, d, "part"), ["p_name", "p_brand"], "p_partkey").select("p_partkey", "copies", "keep")
+
+
+@query("""WITH m AS (SELECT p_partkey, p_name, p_brand, p_partkey % 4 = 0 AS gone FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY gone, p_name, p_brand ORDER BY p_partkey) AS nth FROM m)
+    SELECT count(*) AS original, count(*) FILTER (gone) AS removed_liked, count(*) FILTER (NOT gone AND nth > 1) AS removed_duplicates, count(*) FILTER (NOT gone AND nth = 1) AS final FROM n""")
+def cleanup_result(spark, d):
+    part = table(spark, d, "part")
+    liked = part.where("p_partkey % 4 = 0")
+    return cleanup.cleanup_summary(cleanup.basic_cleanup(part, liked, liked, "p_partkey"), ["p_name", "p_brand"], "p_partkey")
+
+
+# Enrichment
+
+
+def wanted(spark, d) -> DataFrame:
+    rows = tracks(spark, d).withColumn("title", F.concat_ws(" ", F.substring_index("title", " ", 2)))
+    return rows.withColumn("artist", F.substring_index("artist", " ", 1)).withColumn("isrc", F.when(F.col("pos") % 10 == 3, F.concat(F.lit("US"), F.col("pos")))).withColumn("genre", F.lit(None).cast("string"))
+
+
+REC = """rec AS (SELECT p_partkey AS id, p_name AS rt, p_brand AS ra, p_type AS ral, CAST(180 + p_size AS INT) AS secs, CASE WHEN p_partkey % 2 = 0 THEN 'RC' || p_partkey ELSE 'US' || p_partkey END AS code,
+    [{'n': p_type, 'c': p_size, 'i': 1}, {'n': 'pop', 'c': 10, 'i': 2}, {'n': 'rock', 'c': 10, 'i': 3}, {'n': p_brand, 'c': p_size % 20, 'i': 4}] AS tags FROM part WHERE p_partkey % 3 = 0)"""
+SPLIT = "list_distinct(list_filter(string_split(lower({}), ' '), lambda v: v <> ''))"
+_T, _R = SPLIT.format("q.title"), SPLIT.format("r.rt")
+_I = f"len(list_intersect({_T}, {_R}))"
+TAGS = "array_to_string(list_transform(list_sort(list_transform(r.tags, lambda v: {'c': -v.c, 'i': v.i, 'n': v.n}))[1:3], lambda v: v.n), ', ')"
+ENRICHED = f"""{O.LIB}, w AS (SELECT pos, array_to_string(string_split(title, ' ')[1:2], ' ') AS title, string_split(artist, ' ')[1] AS artist, album, duration, nt, na, CASE WHEN pos % 10 = 3 THEN 'US' || pos END AS isrc FROM lib), {REC},
+    e1 AS (SELECT w.pos, r.id, 1e0 AS score FROM w JOIN rec r ON lower(w.isrc) = lower(r.code)),
+    rest AS (SELECT * FROM w WHERE pos NOT IN (SELECT pos FROM e1)),
+    asked AS (SELECT nt, na, unnest(min(struct_pack(pos := pos, title := title, artist := artist, album := coalesce(album, '')))) FROM rest GROUP BY nt, na),
+    tw AS (SELECT pos, unnest({SPLIT.format('title')}) AS word FROM asked), rw AS (SELECT id, unnest({SPLIT.format('rt')}) AS word FROM rec),
+    p AS (SELECT DISTINCT pos, id FROM tw JOIN rw USING (word)),
+    c AS (SELECT q.nt, q.na, q.pos, r.id, least(1e0, {_I} / CAST(len({_T}) + len({_R}) - {_I} AS DOUBLE) * 0.6e0 + CASE WHEN lower(q.artist) = lower(r.ra) THEN 0.4e0 ELSE 0e0 END + CASE WHEN q.album <> '' AND lower(q.album) = lower(r.ral) THEN 0.1e0 ELSE 0e0 END) AS score
+        FROM p JOIN asked q USING (pos) JOIN rec r USING (id)),
+    best AS (SELECT nt, na, id, score FROM c WHERE score >= 0.7e0 QUALIFY row_number() OVER (PARTITION BY pos ORDER BY score DESC, id) = 1),
+    found AS (SELECT * FROM e1 UNION ALL SELECT rest.pos, best.id, best.score FROM rest JOIN best USING (nt, na))"""
+
+
+@query(f"{ENRICHED} SELECT pos, id, round(score, 6) AS score FROM found")
+def recording_scores(spark, d):
+    return enrich.look_up(wanted(spark, d), A.recordings(spark, d)).select("pos", F.col("r.id").alias("id"), r6("score").alias("score"))
+
+
+@query(f"""{ENRICHED} SELECT w.pos, coalesce(nullif(w.duration, 0), r.secs) AS duration, coalesce(w.isrc, r.code) AS isrc, {TAGS} AS genre, r.id IS NOT NULL AS enriched FROM w LEFT JOIN found f ON f.pos = w.pos LEFT JOIN rec r ON r.id = f.id""")
+def enrich_tracks(spark, d):
+    rows = wanted(spark, d)
+    return enrich.apply_enrichment(rows, enrich.look_up(rows, A.recordings(spark, d))).select("pos", "duration", "isrc", "genre", "enriched")
+
+
+@query(f"{ENRICHED}, x AS (SELECT coalesce(w.isrc, r.code) AS isrc, r.id IS NOT NULL AS enriched FROM w LEFT JOIN found f ON f.pos = w.pos LEFT JOIN rec r ON r.id = f.id) SELECT count(*) AS tracks, count(*) FILTER (enriched) AS enriched, count(*) FILTER (isrc IS NULL) AS missing_isrc, round(count(*) FILTER (enriched) * 100e0 / count(*), 2) AS success_rate FROM x")
+def enrichment_success(spark, d):
+    rows = wanted(spark, d)
+    return enrich.success(enrich.apply_enrichment(rows, enrich.look_up(rows, A.recordings(spark, d))))
+
+
+@query(f"WITH {REC} SELECT id, {TAGS} AS genre FROM rec r")
+def top_tags(spark, d):
+    return A.recordings(spark, d).select("id", enrich.top_tags(F.col("tags")).alias("genre"))
+
+
+# Metrics
+
+
+def events(spark, d) -> DataFrame:
+    return table(spark, d, "events")
+
+
+
+
+
+@query("SELECT event_type, count(*) AS total FROM events GROUP BY event_type")
+def metric_counters(spark, d):
+    return usage.counters(events(spark, d), ["event_type"])
+
+
+@query("SELECT event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1")
+def metric_gauges(spark, d):
+    return usage.gauges(events(spark, d), ["event_type"], "value", ["ts", "event_id"])
+
+
+@query("""WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 1000)
+    SELECT event_type, count(value) AS count, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum FROM l GROUP BY event_type""")
+def timer_stats_last_n(spark, d):
+    out = usage.sample_stats(events(spark, d), ["event_type"], "value", [F.col("event_id").desc()])
+    return out.withColumns({"avg": r6("avg"), "sum": F.round("sum", 4)})
+
+
+@query("""WITH l AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 100) SELECT (SELECT round(avg(value), 6) FROM l) AS avg_response_time, (SELECT min(value) FROM l) AS min_response_time, (SELECT max(value) FROM l) AS max_response_time,
+    count(*) AS total_requests, count(*) FILTER (event_type = 'error') AS error_count, round(count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE), 6) AS error_rate FROM events""")
+def performance_monitor(spark, d):
+    out = usage.performance(events(spark, d), "value", F.col("event_type") == "error", [F.col("event_id").desc()])
+    return out.withColumns({"avg_response_time": r6("avg_response_time"), "error_rate": r6("error_rate")})
+
+
+@query("SELECT event_type, count(*) AS uses, count(DISTINCT user_id) AS sessions FROM events GROUP BY event_type")
+def usage_stats(spark, d):
+    return usage.usage(events(spark, d), "event_type", "user_id")
+
+
+@query("SELECT event_type || ':' || json_extract_string(props, '$.k') AS error, count(*) AS times FROM events WHERE event_type = 'error' GROUP BY ALL")
+def error_frequency(spark, d):
+    return usage.error_frequency(events(spark, d).where("event_type = 'error'"), F.col("event_type"), F.get_json_object("props", "$.k"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_metrics(spark, d):
+    return usage.tumbling(events(spark, d), "1 hour", "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+@query("SELECT 'app_' || event_type || '_total ' || count(*) AS value FROM events GROUP BY event_type")
+def metrics_text(spark, d):
+    totals = usage.counters(events(spark, d), ["event_type"]).withColumnRenamed("event_type", "name")
+    return writers.metrics_lines(totals, "app")
