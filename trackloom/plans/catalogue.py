@@ -209,10 +209,10 @@ def base_candidates(spark, d):
     return matching.base_candidates(rest, t).select("s_pos", "t_pos")
 
 
-@query(f"{O.LIB}, r3 AS (SELECT * FROM lib WHERE library = 'A' AND pos % 10 < 2), t AS ({O.B}), w AS (SELECT DISTINCT a.pos AS s_pos, b.pos AS t_pos FROM ({O.words('r3')}) a JOIN ({O.words('t')}) b USING (word)) SELECT s_pos, count(*) AS candidates, min(t_pos) AS first_t, sum(t_pos) AS sum_t FROM w GROUP BY s_pos")
+@query(f"{O.LIB}, r3 AS (SELECT * FROM lib WHERE library = 'A'), t AS ({O.B}), w AS (SELECT DISTINCT a.pos AS s_pos, b.pos AS t_pos FROM ({O.words('r3')}) a JOIN ({O.words('t')}) b USING (word)) SELECT s_pos, count(*) AS candidates, min(t_pos) AS first_t, sum(t_pos) AS sum_t FROM w GROUP BY s_pos")
 def word_candidates(spark, d):
     a, b = two(spark, d)
-    s, t = matching.side(a.where("pos % 10 < 2"), "s"), matching.side(b, "t")
+    s, t = matching.side(a, "s"), matching.side(b, "t")
     return matching.word_candidates(s, t).groupBy("s_pos").agg(F.count(F.lit(1)).alias("candidates"), F.min("t_pos").alias("first_t"), F.sum("t_pos").alias("sum_t"))
 
 
@@ -230,13 +230,11 @@ def name_pairs(spark, d) -> DataFrame:
     """Every track of A with the tracks of B that have its base title: pairs to score."""
     a, b = two(spark, d)
     s, t = matching.side(a, "s"), matching.side(b, "t")
-    return s.join(t, (F.col("s_base") == F.col("t_base")) & (F.col("s_pos") % 7 == F.col("t_pos") % 7))
-
+    return s.join(t, F.col("s_base") == F.col("t_base"))
 
 
 def scored(columns: str) -> str:
-    return f"{O.LIB} SELECT s.pos AS s_pos, t.pos AS t_pos, {columns} FROM lib s JOIN lib t ON s.base = t.base AND s.pos % 7 = t.pos % 7 WHERE s.library = 'A' AND t.library = 'B'"
-
+    return f"{O.LIB} SELECT s.pos AS s_pos, t.pos AS t_pos, {columns} FROM lib s JOIN lib t ON s.base = t.base WHERE s.library = 'A' AND t.library = 'B'"
 
 
 @query(scored(f"round({O.confidence()}, 6) AS strict, round({O.confidence(False, True)}, 6) AS relaxed"))
@@ -702,9 +700,6 @@ def events(spark, d) -> DataFrame:
     return table(spark, d, "events")
 
 
-
-
-
 @query("SELECT event_type, count(*) AS total FROM events GROUP BY event_type")
 def metric_counters(spark, d):
     return usage.counters(events(spark, d), ["event_type"])
