@@ -17,13 +17,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = edges.select("a", "b").where("a is not null and b is not null")
     both = materialise(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    total = both.count()
+    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels", total)
     for _ in range(max_rounds):
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         near = labels.join(seen, labels.node == seen.a).select("node", F.least("label", "near").alias("near"), "label")
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
         step = near.join(jump, near.near == jump.at).select("node", F.least("near", "far").alias("label"), (F.least("near", "far") < F.col("label")).alias("moved"))
-        labels = materialise(step, "labels")
+        labels = materialise(step, "labels", total)
         if labels.where("moved").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
         labels = labels.drop("moved")

@@ -29,10 +29,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Rows of a narrow table that one file holds where the number of rows is known before it is written.
+ROWS_PER_FILE = 250_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``rows``: about how many narrow rows come, if known; it sets the number of files, so that small tables that are
+    written over and over are not spread over as many tiny files as there are shuffle partitions.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // ROWS_PER_FILE + 1)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
