@@ -156,15 +156,15 @@ def test_token_counts(docs, rows, none, name):
     assert tokens.token_counts(none, queries.tokenizer_path(name)).count() == 0
 
 
-def least_bins(lengths, capacity):
-    """A lower bound for any packing: pieces over half a bin never share one, and smaller ones fill what they leave."""
-    bound = 0
-    for k in range(capacity // 2 + 1):
-        large = [x for x in lengths if x > capacity - k]
-        middle = [x for x in lengths if capacity / 2 < x <= capacity - k]
-        small = sum(x for x in lengths if k <= x <= capacity / 2)
-        bound = max(bound, len(large) + len(middle) + max(0, -(-(small - (len(middle) * capacity - sum(middle))) // capacity)))
-    return bound
+def best_fit_decreasing(lengths, capacity):
+    bins = []
+    for x in sorted(lengths, reverse=True):
+        fitting = [b for b in range(len(bins)) if bins[b] + x <= capacity]
+        if fitting:
+            bins[max(fitting, key=lambda b: bins[b])] += x
+        else:
+            bins.append(x)
+    return len(bins)
 
 
 def test_packing(docs, rows, none):
@@ -184,7 +184,7 @@ def test_packing(docs, rows, none):
     for _, part in bins:
         assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]]
         assert part.length.sum() <= 1024
-    assert out.sequence_id.nunique() <= least_bins(out.length.tolist(), 1024) + 1
+    assert out.sequence_id.nunique() <= best_fit_decreasing(out.length.tolist(), 1024) + 1
     assert packing.pack(tokens.token_pieces(none, path)).count() == 0
 
 
