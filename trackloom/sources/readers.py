@@ -212,13 +212,14 @@ def read_playlist(spark: SparkSession, path: str) -> DataFrame:
     charset = encoding_of(start)
     first = start.decode("utf-16" if charset == "UTF-16" else charset, "ignore").lstrip("﻿").split("\n", 1)[0]
     names = [x.strip().lower() for x in first.split("\t")]
+    wide = charset == "UTF-16"  # line ends of two bytes are found only where a file is read as one
     if "name" in names:
-        raw = spark.read.options(header=True, sep="\t", encoding=charset).csv(path)
+        raw = spark.read.options(header=True, sep="\t", encoding=charset, multiLine=wide).csv(path)
         column = {c.strip().lower(): c for c in raw.columns}
         get = lambda n: F.col(f"`{column[n]}`") if n in column else F.lit(None).cast("string")
         rows = raw.select(F.monotonically_increasing_id().alias("pos"), get("name").alias("title"), get("artist").alias("artist"), get("album").alias("album"), P.playlist_time(get("time")).alias("duration"))
         return rows.where(F.trim(text(F.col("title"))) != "")
-    lines = spark.read.options(sep="\u0001", encoding=charset, quote="").schema("value string").csv(path).select("value", F.monotonically_increasing_id().alias("pos"))
+    lines = spark.read.options(sep="\u0001", encoding=charset, quote="", multiLine=wide).schema("value string").csv(path).select("value", F.monotonically_increasing_id().alias("pos"))
     parts = F.split("value", " - ", 2)
     rows = lines.where(F.col("value").contains(" - ")).select("pos", F.trim(F.get(parts, F.lit(1))).alias("title"), F.trim(F.get(parts, F.lit(0))).alias("artist"))
     return rows.withColumns({"album": F.lit(None).cast("string"), "duration": F.lit(None).cast("int")})
