@@ -632,7 +632,7 @@ def playlist_potential(spark, d):
     return cleanup.playlist_potential(rows).withColumn("avg_confidence", r6("avg_confidence"))
 
 
-@query("SELECT p_partkey, count(*) OVER w AS copies, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) = 1 AS keep FROM part QUALIFY copies > 1 WINDOW w AS (PARTITION BY p_name, p_brand)")
+@query("SELECT p_partkey, count(*) OVER w AS copies, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) = 1 AS keep FROM part WINDOW w AS (PARTITION BY p_name, p_brand) QUALIFY copies > 1")
 def internal_duplicates(spark, d):
     return cleanup.internal_duplicates(table(spark, d, "part"), ["p_name", "p_brand"], "p_partkey").select("p_partkey", "copies", "keep")
 
