@@ -107,6 +107,31 @@ def test_jaccard_join(docs, rows, none, small, block):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
+def template_crowd() -> list[tuple]:
+    """Texts about half alike: a common passage, and fillers each of which many of them share. Every eighth has a near copy."""
+    rng = random.Random(8)
+    words = lambda k: [f"v{rng.randrange(10**6)}" for _ in range(k)]
+    common, fillers, out = words(60), [words(9) for _ in range(12)], []
+    for i in range(480):
+        text = common + [w for f in rng.sample(fillers, 5) for w in f] + words(8)
+        out.append(" ".join(text))
+        if i % 8 == 0:
+            out.append(" ".join(text[:20] + ["changed"] + text[21:-6] + words(6)))
+    return list(enumerate(out))
+
+
+def test_candidates_of_a_dense_bucket(spark):
+    rows = template_crowd()
+    nodes = jaccard_join.signatures(spark.createDataFrame(rows, "doc_id long, text string")).localCheckpoint()
+    keys = {r.doc_id: bytes(r.key) for r in nodes.collect()}
+    edges = jaccard_join.candidate_edges(nodes, 0.8, 0.999, small=1, depth=1, slack=0.18)
+    group = {bytes(r.node): r.component for r in jaccard_join.connected_components(edges).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    pairs = [(i, i + 1) for i in range(len(rows) - 1) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    lost = [(i, j) for i, j in pairs if keys[i] not in group or group[keys[i]] != group.get(keys[j])]
+    assert len(pairs) > 50 and not lost
+
+
 def test_keep_one(docs, rows):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns

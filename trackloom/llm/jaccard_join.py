@@ -3,11 +3,11 @@
 Texts are sets of five-word shingles, embedded as ``TOKENS`` min-hashes; a token is a position and its value. In every
 run a set goes to the bucket of each of its tokens that the run's hash samples, 1 / similarity of them on average;
 buckets of more than ``small`` sets are split again by further tokens, chosen along the path. Small buckets are compared
-in full; a bucket that stays large to the last level is dense, and its members are compared with hubs. Runs repeat until
-two sets at the threshold meet with the target probability at the deepest level. What meets and agrees in its min-hashes
-is a candidate edge; connected candidates are then compared exactly, shingle by shingle, all pairs of a component in
-blocks of bounded size. Equal sets are one node from the start, so copies cost nothing, and only counts and one edge for
-each set leave a block.
+in full; so is, in blocks of bounded size, a bucket that stays large to the last level, but for sets that are already
+connected. Runs repeat until two sets at the threshold meet with the target probability at the deepest level. What meets
+and agrees in its min-hashes is a candidate edge; connected candidates are then compared exactly, shingle by shingle, all
+pairs of a component in blocks of bounded size. Equal sets are one node from the start, so copies cost nothing, and only
+counts and one edge for each set leave a block.
 """
 
 from __future__ import annotations
@@ -139,12 +139,55 @@ def runs_for(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(q))
 
 
-def candidate_edges(nodes: DataFrame, threshold: float, recall: float, small: int, depth: int, slack: float) -> DataFrame:
-    """(a, b): edges that connect all sets which met on a path and agree in their min-hashes."""
-    spark = nodes.sparkSession
+def crowd_edges(large: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b): edges that connect all sets of one bucket of ``large`` which agree in their min-hashes.
+
+    ``large``: bucket, key, sig and component, what a set is already connected with. A bucket's sets are numbered by
+    component and dealt into blocks; a unit is two blocks, compared in full. Units within one component have nothing left
+    to connect and are not made. A unit leaves one edge at most for each of its sets.
+    """
+    members = materialise(with_prefix(large, ["bucket"], [F.col("component"), F.col("key")], F.col("key"), rank="nth").withColumn("own", F.floor(F.col("nth") / block)).drop("nth"), "crowds")
+    blocks = members.groupBy("bucket", "own").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    other = blocks.select("bucket", F.col("own").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    units = blocks.withColumnRenamed("own", "i").join(other, "bucket").where("i <= j and not (low = high and low_j = high_j and low = low_j)").select("bucket", "i", "j")
+    units = materialise(units, "units")
+    dealt = units.withColumn("own", F.explode(F.array_distinct(F.array("i", "j")))).join(members.select("bucket", "own", "key", "sig"), ["bucket", "own"])
+    shards = max(1, units.count() // 4)
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shards)))
+
+    def compare(shard: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, i, j), unit in shard.groupby(["bucket", "i", "j"], sort=False):
+            key, own = unit["key"].to_numpy(), unit["own"].to_numpy()
+            sig = np.frombuffer(b"".join(unit["sig"]), "<u4").reshape(-1, TOKENS)
+            x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            same = np.zeros((len(x), len(y)), np.uint8)
+            for k in range(TOKENS):
+                same += sig[x, k][:, None] == sig[y, k]
+            linked = same >= least * TOKENS
+            first = np.arange(len(key), dtype=np.int32)
+            while True:
+                before = first.copy()
+                first[y] = np.minimum(first[y], np.where(linked, first[x][:, None], np.int32(len(key))).min(0))
+                first[x] = np.minimum(first[x], np.where(linked, first[y], np.int32(len(key))).min(1))
+                if (first == before).all():
+                    break
+            new = np.flatnonzero(first != np.arange(len(key)))
+            out.append(pd.DataFrame({"a": key[first[new]], "b": key[new]}))
+        return pd.concat(out)
+
+    return dealt.groupBy("shard").applyInPandas(compare, "a binary, b binary")
+
+
+def candidate_edges(nodes: DataFrame, threshold: float, recall: float, small: int, depth: int, slack: float, block: int = 2048) -> DataFrame:
+    """(a, b): edges that connect all sets which met on a path and agree in their min-hashes.
+
+    On the first and the last level the sets of a large bucket are compared with a hub of it; a bucket that is one
+    component by then is done. What is still large and in several components at the last level is compared in blocks.
+    """
     least = threshold - slack
     sigs = nodes.select("key", "sig")
-    rows, found = split(sigs, runs_for(recall, depth), threshold), []
+    rows, found, linked = split(sigs, runs_for(recall, depth), threshold), [], []
     for level in range(1, depth + 1):
         rows = materialise(rows, "paths")
         sizes = rows.groupBy("bucket").count().where("count > 1")
@@ -154,22 +197,30 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float, small: in
         found.append(at.select(F.element_at("keys", F.col("i")).alias("a"), F.explode(F.expr("slice(keys, i + 1, size(keys))")).alias("b")))
         large = met.where(F.col("count") > small)
         if large.isEmpty():
-            large = None
             break
+        large = large.join(sigs, "key").select("bucket", "key", "sig")
+        if level in (1, depth):
+            large = materialise(large, "large")
+            hubs = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "key").alias("h"), "key", "sig")).alias("x")).select("bucket", F.col("x.key").alias("a"), F.col("x.sig").alias("sig_a"))
+            beside = large.select("bucket", F.col("key").alias("b"), F.col("sig").alias("sig_b")).join(hubs, "bucket").where("a <> b")
+            linked.append(materialise(agreeing(beside.select("a", "b", "sig_a", "sig_b"), least).distinct(), "linked"))
+            groups = connected_components(linked[0] if level == 1 else linked[0].union(linked[-1])).withColumnRenamed("node", "key")
+            large = large.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
+            several = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+            large = large.join(several, "bucket")
         if level < depth:
-            rows = split(large.join(sigs, "key").select("bucket", "key", "sig"), None, threshold)
+            rows = split(large, None, threshold)
+        else:
+            linked.append(crowd_edges(materialise(large, "open"), least, block))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
     pairs = pairs.distinct()
-    if large is not None:
-        # dense to the last level: every member against three hubs of its bucket, drawn by a hash
-        draw = F.struct(F.xxhash64("bucket", "key").alias("h"), "key")
-        hubs = large.groupBy("bucket").agg(F.min(draw).alias("x"), F.max(draw).alias("y"), F.min(F.struct(F.xxhash64("key", "bucket").alias("h"), "key")).alias("z"))
-        hubs = hubs.select("bucket", F.explode(F.array("x.key", "y.key", "z.key")).alias("a")).distinct()
-        pairs = pairs.union(large.select("bucket", F.col("key").alias("b")).join(hubs, "bucket").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     pairs = pairs.join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return agreeing(pairs.select("a", "b", "sig_a", "sig_b"), least)
+    edges = agreeing(pairs.select("a", "b", "sig_a", "sig_b"), least)
+    for more in linked:
+        edges = edges.union(more)
+    return edges
 
 
 def overlaps(own: list[np.ndarray]) -> np.ndarray:
