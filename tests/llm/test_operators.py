@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,32 @@ def test_substring_dedup(docs, rows, none, per_shard, broadcast):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_of_a_hot_anchor(spark):
+    rng = random.Random(3)
+    words = lambda k: [f"h{rng.randrange(10**6)}" for _ in range(k)]
+    pool = words(20_000)
+    s = substring_dedup.Snippets(pa.array([" ".join(pool)]))
+    i = int(s.anchor.argmin())
+    phrase = pool[s.start[i] + s.windows[i] - 1 : s.start[i] + 35]
+    texts = [[*words(40), *phrase, *words(40)] for _ in range(120)]
+    texts += [[*words(40), *t[40:70], *words(40)] for t in texts[:20]] + [[*words(7), *t[20:], *words(3)] for t in texts[:20]]
+    rows = list(enumerate(map(" ".join, texts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = substring_dedup.substring_dedup(docs, 20).collect()
+    expected = [(i, *x) for i, x in enumerate(removed_by_hand([t for _, t in rows]))]
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out) == expected
+    wanted = substring_dedup.shared_snippets(docs, 20).localCheckpoint()
+    assert wanted.where("hot").count() >= 120
+    shards = substring_dedup.snippet_words(docs, wanted, 1, 10**6).where("shard >= 0")
+    assert shards.count() == wanted.where("not hot").count()
+
+
+def test_suffixes_with_many_symbols():
+    text = np.random.default_rng(1).integers(1, 5_000_000, 60)
+    text[-1] = 0
+    assert substring_dedup.FMIndex.suffixes(text, 60).tolist() == sorted(range(60), key=lambda i: text[i:].tolist())
+
+
 def test_substring_dedup_inside_one_text(spark):
     w = [f"a{i}" for i in range(50)]
     text = " ".join([*w, "x", *w, "loop " * 200])

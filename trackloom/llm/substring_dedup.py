@@ -3,7 +3,8 @@
 Two equal windows of ``WINDOW`` words choose the same anchor: the smallest hash among their runs of ``ANCHOR`` words.
 The windows of a text that share an anchor are a snippet, and all windows equal to one of them lie in snippets with that
 anchor's hash. Snippets are counted by content before anything else moves, so copies are one row with a weight; those
-whose anchor occurs once are done. The rest go to shards by anchor. A shard's distinct snippets are one text, indexed by
+whose anchor occurs once are done. Windows of anchors with more snippets than a shard should hold are counted by the hash
+of their words, without an index. The rest go to shards by anchor. A shard's distinct snippets are one text, indexed by
 its Burrows-Wheeler transform in a wavelet tree; the snippets then stream through backward search, whose matching
 statistics (how far back from a word the text occurs with a weight of two or more) give the intervals to report.
 """
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.arrow_text import byte_slices, encoded, hashes, raw, strings, words
@@ -119,8 +120,9 @@ class FMIndex:
         t = text.astype(np.int64)
         later = lambda x, k: np.append(x[k:], np.zeros(min(k, n), np.int64))
         wide = int(t.max()) + 1
-        order, rank = ranked((t * wide + later(t, 1)) * wide + later(t, 2))
-        length = 3
+        # two symbols, as three can overflow above 2**21 distinct words
+        order, rank = ranked(t * wide + later(t, 1))
+        length = 2
         while length < 2 * WINDOW and rank[order[-1]] < n - 1:
             order, rank = ranked(rank * (n + 1) + np.append(rank[length:] + 1, np.zeros(min(length, n), np.int64)))
             length *= 2
@@ -201,11 +203,11 @@ def snippet_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
 
 
-def shared_snippets(docs: DataFrame) -> DataFrame:
-    """Those of :func:`snippet_counts` whose anchor occurs at least twice."""
-    counted = snippet_counts(docs)
-    total = F.sum("n").over(Window.partitionBy("anchor"))
-    return counted.withColumn("total", total).where("total > 1").drop("total")
+def shared_snippets(docs: DataFrame, most: int = 4000) -> DataFrame:
+    """Those of :func:`snippet_counts` whose anchor occurs at least twice, and ``hot``: it has over ``most`` of them."""
+    counted = materialise(snippet_counts(docs), "counted")
+    anchors = counted.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")).where("total > 1")
+    return counted.join(anchors.select("anchor", (F.col("distinct") > most).alias("hot")), "anchor")
 
 
 class Lookup:
@@ -249,8 +251,13 @@ def attached(docs: DataFrame, numbers: DataFrame, most: int) -> tuple[DataFrame,
 
 
 def snippet_words(docs: DataFrame, wanted: DataFrame, shards: int, most: int) -> DataFrame:
-    """(shard, content, n, windows, low, high): the words of each wanted snippet, 40 bits of hash for each."""
-    docs, lookup = attached(docs.select("doc_id", "text"), wanted.select("row", "content", F.col("n").alias("number")), most)
+    """(shard, content, n, windows, low, high): the words of each wanted snippet, 40 bits of hash for each.
+
+    The shard of snippets with a hot anchor is -1.
+    """
+    # a negative number tells that the anchor is hot
+    number = F.when(F.col("hot"), -F.col("n")).otherwise(F.col("n"))
+    docs, lookup = attached(docs.select("doc_id", "text"), wanted.select("row", "content", number.alias("number")), most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,9 +277,10 @@ def snippet_words(docs: DataFrame, wanted: DataFrame, shards: int, most: int) ->
                 word = s.word[np.repeat(s.start[pick] - offsets[:-1], length) + np.arange(offsets[-1])]
                 blob = lambda x, width: pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(x)])
                 low, high = (word & np.uint64(0xFFFFFFFF)).astype("<u4"), (word >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8)
-                shard = (s.anchor[pick] % np.uint64(shards)).astype(np.int64)
+                n = table[1][at[pick]].astype(np.int64)
+                shard = np.where(n < 0, -1, (s.anchor[pick] % np.uint64(shards)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), pa.array(content[pick]), pa.array(table[1][at[pick]].astype(np.int64)), pa.array(s.windows[pick].astype(np.int32)), blob(low, 4), blob(high, 1)], ["shard", "content", "n", "windows", "low", "high"]
+                    [pa.array(shard), pa.array(content[pick]), pa.array(np.abs(n)), pa.array(s.windows[pick].astype(np.int32)), blob(low, 4), blob(high, 1)], ["shard", "content", "n", "windows", "low", "high"]
                 )
 
     return docs.mapInArrow(run, "shard long, content long, n long, windows int, low binary, high binary")
@@ -299,6 +307,29 @@ def repeats(snippets: DataFrame) -> DataFrame:
     return snippets.groupBy("shard").applyInPandas(search, "content long, number long")
 
 
+def hot_repeats(snippets: DataFrame) -> DataFrame:
+    """As :func:`repeats`, for snippets whose anchor has too many for one index: windows are counted by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            low = np.frombuffer(b"".join(batch.column("low").to_pylist()), "<u4").astype(np.uint64)
+            word = low | np.frombuffer(b"".join(batch.column("high").to_pylist()), np.uint8).astype(np.uint64) << np.uint64(32)
+            windows = batch.column("windows").to_numpy().astype(np.int64)
+            starts = np.concatenate([[0], np.cumsum(windows + WINDOW - 1)[:-1]])
+            own = np.repeat(np.arange(len(windows)), windows)
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
+            h = np.zeros(len(own), np.uint64)
+            for k in range(WINDOW):
+                h = mixed(h * PRIME + word[starts[own] + nth + k])
+            yield pa.RecordBatch.from_arrays([batch.column("content").take(pa.array(own)), batch.column("n").take(pa.array(own)), pa.array(nth.astype(np.int32)), pa.array(h.view(np.int64))], ["content", "n", "nth", "hash"])
+
+    each = materialise(snippets.dropDuplicates(["content"]).select("content", "n", "windows", "low", "high").mapInArrow(run, "content long, n long, nth int, hash long"), "windows")
+    repeated = each.groupBy("hash").agg(F.sum("n").alias("total")).where("total > 1").select("hash")
+    return each.join(repeated, "hash").groupBy("content").agg(F.expr("bit_or(shiftleft(1L, nth))").alias("number"))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """(row, content) of every snippet of every text."""
 
@@ -321,9 +352,15 @@ def substring_dedup(docs: DataFrame, snippets_per_shard: int = 4000, broadcast:
     empty or blank text has no words and an empty ``kept_text``; repeated rows repeat each other; an empty table gives an
     empty result; other columns are ignored. Words are compared by 64-bit hashes, inside shards by 40 bits of them.
     """
-    wanted = materialise(shared_snippets(docs), "snippets")
+    wanted = materialise(shared_snippets(docs, snippets_per_shard), "snippets")
     shards = max(1, wanted.count() // snippets_per_shard)
-    found = materialise(repeats(snippet_words(docs, wanted, shards, broadcast)), "repeats")
+    snippets = snippet_words(docs, wanted, shards, broadcast)
+    if wanted.where("hot").isEmpty():
+        found = repeats(snippets)
+    else:
+        snippets = materialise(snippets, "words")
+        found = repeats(snippets.where("shard >= 0")).union(hot_repeats(snippets.where("shard < 0")))
+    found = materialise(found, "repeats")
     if found.limit(broadcast + 1).count() <= broadcast:
         numbers = found.withColumn("row", F.lit(0).cast("long"))
     else:
