@@ -282,6 +282,13 @@ def test_lm_scoring(docs, rows, none):
     assert lm_scoring.lm_scores(none).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_buckets(spark):
+    rows = [(i, " ".join(f"x{k}" for k in range(400 * i, 400 * i + 600))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    few, many = ({r.doc_id: r.score for r in lm_scoring.lm_scores(docs, buckets=k).collect()} for k in (2, 9))
+    assert few == pytest.approx(many, rel=1e-9)
+
+
 def test_mixing(docs, rows, none):
     out = mixing.mix_report(docs).toPandas()
     size = [(r[3], len(WORD.findall(r[1] or ""))) for r in rows]

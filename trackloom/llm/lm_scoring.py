@@ -60,7 +60,6 @@ class Tokens:
 
 def word_counts(train: DataFrame, buckets: int, vocabulary: int = VOCABULARY) -> DataFrame:
     """One row for each bucket of word hashes: sorted hashes and counts, totals, and the bucket's most frequent."""
-    most = -(-vocabulary // buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -102,13 +101,25 @@ def word_counts(train: DataFrame, buckets: int, vocabulary: int = VOCABULARY) ->
         h, c = h[order], c[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
         h, c = h[first], np.add.reduceat(c, first) if len(h) else c
-        top = np.sort(np.lexsort((h, -c))[:most])
+        top = np.sort(np.lexsort((h.view(np.int64), -c))[:vocabulary])
         return pd.DataFrame([(int(rows["bucket"].iloc[0]), h.tobytes(), c.tobytes(), int(c.sum()), len(c), h[top].tobytes(), c[top].tobytes())])
 
     found = train.select("text").mapInArrow(run, "bucket int, hash binary, n binary")
     return found.groupBy("bucket").applyInPandas(merge, "bucket int, hash binary, n binary, tokens long, types long, top_hash binary, top_n binary")
 
 
+def most_frequent(counts: DataFrame, vocabulary: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent words of all buckets, however many buckets there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, c in zip(batch.column("top_hash").to_pylist(), batch.column("top_n").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(c, np.int64))], ["hash", "n"])
+
+    top = counts.select("top_hash", "top_n").mapInArrow(run, "hash long, n long").orderBy(F.desc("n"), "hash").limit(vocabulary).toArrow()
+    return top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy()
+
+
 def edges(buckets: int) -> np.ndarray:
     """Where the hash range of each bucket begins."""
     return np.array([(k << 64) // buckets for k in range(buckets)] + [2**64 - 1], np.uint64)
@@ -395,8 +406,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, buckets: int | None = None) -> D
     counts = materialise(word_counts(train, buckets), "word-counts")
     totals = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     ends = train.count()
-    tops = counts.select("top_hash", "top_n").collect()
-    top_hash, top_n = np.frombuffer(b"".join(r.top_hash for r in tops), np.uint64), np.frombuffer(b"".join(r.top_n for r in tops), np.int64)
+    top_hash, top_n = most_frequent(counts)
     n, v = totals[0] + ends, totals[1] + (ends > 0)
     rare, rare_types = totals[0] - int(top_n.sum()), totals[1] - len(top_n)
     codes = Codes(top_hash, top_n, ends, rare)
