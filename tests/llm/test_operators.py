@@ -139,6 +139,14 @@ def test_keep_one(docs, rows):
     assert sorted({r.doc_id for r in kept.collect()}) == sorted({c for _, c, _ in links_of(rows)})
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (1, two), (2, two + " end"), (None, three), (None, three + " end"), (None, None)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in kept) == {1: 2, None: 2}
+    assert {r.text for r in kept if r.doc_id == 1} == {one, two} and sum(r.text is None for r in kept) == 1
+
+
 def removed_by_hand(texts):
     words = [WORD.findall(t or "") for t in texts]
     seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))

@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trackloom.llm.arrow_text import byte_slices, strings, word_hashes
 from trackloom.operators.components import connected_components
@@ -260,17 +261,8 @@ def compared(unit: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarr
         first = near
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, small: int = 32, depth: int = 4, slack: float = 0.18, block: int = 256) -> DataFrame:
-    """doc_id, class_id and n_links for every row of ``docs`` (doc_id, text).
-
-    Two rows are linked if their sets of five-word shingles (words are runs without white space, unchanged; a shorter
-    text is one shingle) have a Jaccard similarity of at least ``threshold``; equal sets are linked. ``class_id`` is the
-    smallest doc_id connected by links, ``n_links`` the number of other rows linked with the row, copies counted each.
-    A null or empty text, or one of white space alone, has no words: it is a class of its own without links. Repeated
-    rows are linked with each other. An empty table gives an empty result; other columns are ignored. ``recall`` is the
-    chance that two sets at the threshold become candidates; all links inside a candidate component are exact.
-    """
-    spark = docs.sparkSession
+def classed(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, small: int = 32, depth: int = 4, slack: float = 0.18, block: int = 256) -> DataFrame:
+    """doc_id, key, copies, links and class (a key) for every row of ``docs``; all but doc_id null for a text without words."""
     marked = materialise(signatures(docs), "signatures")
     nodes = marked.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("x"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"))
     nodes = materialise(nodes.select("key", F.col("x.doc_id").alias("doc_id"), "copies", "sig"), "nodes")
@@ -313,20 +305,49 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999,
     links = checked.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     classes = connected_components(checked.where("a <> b").select("a", "b")).withColumnRenamed("node", "key")
     rows = marked.select("doc_id", "key").join(nodes.select("key", "copies"), "key", "left").join(links, "key", "left").join(classes, "key", "left")
-    rows = rows.withColumn("class", F.coalesce("component", "key"))
+    return rows.withColumn("class", F.coalesce("component", "key"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, small: int = 32, depth: int = 4, slack: float = 0.18, block: int = 256) -> DataFrame:
+    """doc_id, class_id and n_links for every row of ``docs`` (doc_id, text).
+
+    Two rows are linked if their sets of five-word shingles (words are runs without white space, unchanged; a shorter
+    text is one shingle) have a Jaccard similarity of at least ``threshold``; equal sets are linked. ``class_id`` is the
+    smallest doc_id connected by links, ``n_links`` the number of other rows linked with the row, copies counted each.
+    A null or empty text, or one of white space alone, has no words: it is a class of its own without links. Repeated
+    rows are linked with each other. An empty table gives an empty result; other columns are ignored. ``recall`` is the
+    chance that two sets at the threshold become candidates; all links inside a candidate component are exact.
+    """
+    rows = classed(docs, threshold, recall, small, depth, slack, block)
     least = rows.where("key is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     n = F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
     return rows.join(least, "class", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), n.alias("n_links"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of each text's shingle set as ``__key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = strings(batch.column("text"))
+            for a, b in byte_slices(texts, SLICE_BYTES):
+                keys = pa.array([key for key, _ in sets(texts.slice(a, b - a))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, keys], [*batch.schema.names, "__key"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__key", "binary"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, whole, one for each class of :func:`jaccard_join`: the one with the smallest doc_id.
 
-    Texts without words are classes of their own and stay. Rows with one doc_id and equal shingles leave one.
+    A null doc_id comes last. Texts without words are classes of their own and stay. Rows with one doc_id and equal
+    shingles leave one; rows with one doc_id and different texts are judged each by its own class.
     """
     from pyspark.sql import Window
 
-    first = jaccard_join(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("__nth", nth).where("__nth = 1 or doc_id is null").drop("__nth")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = classed(docs).where("key is not null").groupBy("class").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.key").alias("__first"))
+    kept = keyed(docs).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__first")), "left")
+    kept = kept.where("__key is null or __first is not null").drop("__id", "__first")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("text"))
+    return kept.withColumn("__nth", nth).where("__nth = 1 or doc_id is null and __key is null").drop("__nth", "__key")
