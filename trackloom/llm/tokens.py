@@ -10,17 +10,19 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from trackloom.llm.arrow_text import byte_slices, encoded, raw, safe_pieces, strings
 
 SLICE_BYTES = 8 << 20
-#: Pieces that a worker remembers (about 100 MB); others are encoded anew in each slice.
-REMEMBERED = 300_000
+#: Pieces that a worker remembers (about 50 MB); others are encoded anew in each slice.
+REMEMBERED = 1_000_000
 #: Longer pieces are never remembered.
 SHORT = 64
 #: Pieces that are encoded as one text where they can be.
@@ -30,7 +32,8 @@ JOINED = 256
 class Encoder:
     """Token ids of pieces by the library of the file's kind: .json (tokenizers) or .model (sentencepiece).
 
-    Sentencepiece is given whole texts: its white-space marks depend on the neighbours, so nothing is cut.
+    Sentencepiece is given whole texts: its white-space marks depend on the neighbours, so nothing is cut. Ids of pieces
+    that are remembered (``known``) stand end to end in ``pool``, from ``pool_at`` on.
     """
 
     def __init__(self, path: str):
@@ -51,43 +54,70 @@ class Encoder:
             kind = json.loads(model.to_str())
             if kind["normalizer"] is None and kind["pre_tokenizer"]["type"] == "ByteLevel":
                 # every character of a token stands for one byte, so pieces can be told apart in a joined text
-                self.widths = {i: len(t) for t, i in model.get_vocab(with_added_tokens=True).items()}
-        self.known: dict[bytes, list[int]] = {}
-
-    def encode(self, distinct: pa.Array, often: np.ndarray) -> list[list[int]]:
-        """The ids of each distinct piece; ``often``: how many times it occurs."""
-        keys = distinct.to_pylist()
-        known = self.known
-        out = [known.get(k) for k in keys]
-        new = [i for i, x in enumerate(out) if x is None]
+                widths = {i: len(t) for t, i in model.get_vocab(with_added_tokens=True).items()}
+                self.widths = np.zeros(max(widths) + 1, np.int64)
+                self.widths[list(widths)] = list(widths.values())
+        self.known = pa.array([], pa.binary())
+        self.pool, self.pool_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has."""
+        ids = self.batch(texts)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
+
+    def joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """As :meth:`flat`, for pieces that neighbours don't change: many are encoded as one text. None: they do."""
+        data, offsets = raw(pieces)
+        cuts = [*range(0, len(pieces), JOINED), len(pieces)]
+        found = [self.flat([data[offsets[a] : offsets[b]].tobytes().decode("utf-8") for a, b in zip(some[:-1], some[1:], strict=True)])[0] for some in (cuts[k : k + 65] for k in range(0, len(cuts) - 1, 64))]
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        upto = np.cumsum(self.widths[ids])
+        at = np.searchsorted(upto, offsets[1:])
+        if len(pieces) and (at[-1] >= len(upto) or (upto[at] != offsets[1:]).any()):
+            return None
+        return ids, np.diff(at + 1, prepend=0)
+
+    def encode(self, distinct: pa.Array, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids end to end, and where each distinct piece's begin and how many it has; ``often``: how many times it occurs."""
+        row = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy()
+        data, offsets = raw(distinct)
+        size = np.diff(offsets)
+        new = np.flatnonzero(row < 0)
+        plain, rest, together = new[:0], new, None
         if self.widths is not None:
             # one blank, then a visible character, and no white space at the end: neighbours don't change such a piece
-            plain, rest = [], []
-            for i in new:
-                k = keys[i]
-                (plain if len(k) > 1 and k[0] == 32 and 32 < k[1] < 127 and 32 < k[-1] < 127 else rest).append(i)
-            new = rest
-            for at in range(0, len(plain), JOINED):
-                some = plain[at : at + JOINED]
-                ids = self.batch([b"".join([keys[i] for i in some]).decode("utf-8")])[0]
-                upto = {w: k for k, w in enumerate(accumulate(map(self.widths.__getitem__, ids)), 1)}
-                first, end = 0, 0
-                for i in some:
-                    end += len(keys[i])
-                    out[i], first = ids[first : upto[end]], upto[end]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for i, ids in zip(some, self.batch([keys[i].decode("utf-8") for i in some]), strict=True):
-                out[i] = ids
-        for i in np.flatnonzero(often > 1).tolist():
-            if len(known) >= REMEMBERED:
-                break
-            if len(keys[i]) <= SHORT:
-                known[keys[i]] = out[i]
-        return out
-
-    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """A code for each piece of all texts, each text's first piece, and the ids of each code."""
+            head, tail = data[np.minimum(offsets[new] + 1, len(data) - 1)], data[offsets[new + 1] - 1]
+            fit = (size[new] > 1) & (data[np.minimum(offsets[new], len(data) - 1)] == 32) & (head > 32) & (head < 127) & (tail > 32) & (tail < 127)
+            together = self.joined(distinct.take(pa.array(new[fit])))
+            if together:
+                plain, rest = new[fit], new[~fit]
+        flat, n = [self.pool], []
+        for found in [together] if together else []:
+            flat.append(found[0])
+            n.append(found[1])
+        for a in range(0, len(rest), 20_000):
+            ids, each = self.flat([x.decode("utf-8") for x in distinct.take(pa.array(rest[a : a + 20_000])).to_pylist()])
+            flat.append(ids)
+            n.append(each)
+        flat, n, order = np.concatenate(flat), np.concatenate([np.zeros(0, np.int64), *n]), np.concatenate([plain, rest])
+        start, length = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        old = np.flatnonzero(row >= 0)
+        start[old], length[old] = self.pool_at[row[old]], np.diff(self.pool_at)[row[old]]
+        start[order], length[order] = np.cumsum(n) - n + len(self.pool), n
+        free = REMEMBERED - len(self.known)
+        if free > 0:
+            kept = order[size[order] <= SHORT]
+            kept = kept[np.argsort(-often[kept], kind="stable")[:free]]
+            own, total = length[kept], np.cumsum(length[kept])
+            where = np.repeat(start[kept] - (total - own), own) + np.arange(total[-1] if len(total) else 0)
+            self.known = pa.concat_arrays([self.known, distinct.take(pa.array(kept))])
+            self.pool_at = np.concatenate([self.pool_at, self.pool_at[-1] + total])
+            self.pool = np.concatenate([self.pool, flat[where]])
+        return flat, start, length
+
+    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """A code for each piece of all texts, each text's first piece, and the ids of the codes as :meth:`encode` has them."""
         data, offsets = raw(texts)
         if self.whole:
             starts, first = offsets[:-1], np.arange(len(texts) + 1)
@@ -97,9 +127,14 @@ class Encoder:
         return codes, first, self.encode(distinct, np.bincount(codes, minlength=len(distinct)))
 
 
-def counts(encoder: Encoder, texts: pa.Array) -> np.ndarray:
-    codes, first, ids = encoder.pieces(texts)
-    each = np.fromiter(map(len, ids), np.int64, len(ids))
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker, with what it remembers, for all its tasks."""
+    return Encoder(path)
+
+
+def counts(own: Encoder, texts: pa.Array) -> np.ndarray:
+    codes, first, (_, _, each) = own.pieces(texts)
     total = np.concatenate([[0], np.cumsum(each[codes])]) if len(codes) else np.zeros(1, np.int64)
     return total[first[1:]] - total[first[:-1]]
 
@@ -113,12 +148,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        own = encoder(tokenizer_path)
         for batch in batches:
             texts, ids = strings(batch.column("text")), batch.column("doc_id")
             for a, b in byte_slices(texts, SLICE_BYTES):
                 part = texts.slice(a, b - a)
-                n = counts(encoder, part)
+                n = counts(own, part)
                 size = np.diff(raw(part)[1])
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
@@ -133,18 +168,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        own = encoder(tokenizer_path)
         for batch in batches:
             texts, doc_ids = strings(batch.column("text")), batch.column("doc_id")
             for a, b in byte_slices(texts, SLICE_BYTES):
-                codes, first, ids = encoder.pieces(texts.slice(a, b - a))
+                codes, first, (flat, begins, each) = own.pieces(texts.slice(a, b - a))
                 ends = 1 if end_id is not None else 0
-                each = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter((x for y in ids for x in y), np.uint32, int(each.sum()))
-                at = np.concatenate([[0], np.cumsum(each)])
                 lens = each[codes]
                 total = np.concatenate([[0], np.cumsum(lens)])
-                where = np.repeat(at[:-1][codes] - total[:-1], lens) + np.arange(total[-1])
+                where = np.repeat(begins[codes] - total[:-1], lens) + np.arange(total[-1])
                 size = total[first[1:]] - total[first[:-1]]
                 place = np.arange(total[-1]) + np.repeat(np.arange(b - a) * ends, size)
                 out = np.full(total[-1] + (b - a) * ends, end_id or 0, "<u4")
