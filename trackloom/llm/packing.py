@@ -1,8 +1,9 @@
 """Best-fit packing by minimum bin slack over the histogram of lengths.
 
 A bin is seeded with the longest remaining piece; a subset-sum dynamic program over the available lengths, one bitset
-of ``capacity`` bits, finds the fullest feasible combination for the rest, which is then removed. Lengths are whole
-numbers up to ``capacity``, so the remaining pieces are at most ``capacity`` counts, whatever the input: the program
+of ``capacity`` bits, finds the fullest feasible combination for the rest, which is then removed. Short pieces are taken
+only while more than a tolerated slack is left, which keeps them for later bins; several tolerances are tried, and the
+plan with the fewest bins counts. Lengths are whole numbers up to ``capacity``, so the remaining pieces are at most ``capacity`` counts, whatever the input: the program
 runs on that histogram and takes a combination as often as its counts allow, at most a few thousand times in all.
 Spark makes the pieces, counts lengths, numbers the pieces of each length in buckets of bounded size, and joins them
 with the ranges of numbers that each combination takes.
@@ -16,10 +17,15 @@ from pyspark.sql import functions as F
 from trackloom.operators.shared import materialise, with_prefix
 
 CELLS = 64
+#: Slacks, for bins of about a thousand, below which short pieces stay out of a combination.
+TOLERATED = (1, 0, 2, 4, 8, 12, 16, 24, 32, 64)
 
 
-def fullest(counts: dict[int, int], order: list[int], room: int) -> dict[int, int]:
-    """The multiset of lengths within ``counts`` with the largest sum of at most ``room``; longer lengths first."""
+def fullest(counts: dict[int, int], order: list[int], room: int, tolerated: int = 0) -> dict[int, int]:
+    """The multiset of lengths within ``counts`` with the largest sum of at most ``room``; longer lengths first.
+
+    Shorter lengths stay out of it once some sum leaves at most ``tolerated``.
+    """
     bits, mask, steps = 1, (1 << (room + 1)) - 1, []
     for length in order:
         left = min(counts[length], room // length) if length <= room else 0
@@ -32,7 +38,7 @@ def fullest(counts: dict[int, int], order: list[int], room: int) -> dict[int, in
                 bits = grown
             left -= k
             k *= 2
-        if bits >> room & 1:
+        if bits >> max(0, room - tolerated):
             break
     target, chosen = bits.bit_length() - 1, {}
     for length, k, before in reversed(steps):
@@ -42,15 +48,15 @@ def fullest(counts: dict[int, int], order: list[int], room: int) -> dict[int, in
     return chosen
 
 
-def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(number of bins, {length: pieces in each}) that use up the histogram."""
+def slack_plan(histogram: dict[int, int], capacity: int, tolerated: int) -> list[tuple[int, dict[int, int]]]:
+    """(number of bins, {length: pieces in each}) that use up the histogram, with one tolerated slack."""
     counts = {k: v for k, v in histogram.items() if v > 0}
     plan = []
     while counts:
         order = sorted(counts, reverse=True)
         seed = order[0]
         counts[seed] -= 1
-        bin_ = fullest(counts, order, capacity - seed)
+        bin_ = fullest(counts, order, capacity - seed, tolerated)
         counts[seed] += 1
         bin_[seed] = bin_.get(seed, 0) + 1
         times = min(counts[k] // n for k, n in bin_.items())
@@ -62,6 +68,18 @@ def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[tuple[in
     return plan
 
 
+def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """The plan with the fewest bins over the tolerated slacks; one that meets the sum's lower bound ends the search."""
+    bins = lambda plan: sum(times for times, _ in plan)
+    least, best = -(-sum(k * n for k, n in histogram.items()) // capacity), None
+    for tolerated in TOLERATED:
+        plan = slack_plan(histogram, capacity, tolerated)
+        best = plan if best is None or bins(plan) < bins(best) else best
+        if bins(best) <= least:
+            break
+    return best
+
+
 def ranges(plan: list[tuple[int, dict[int, int]]], histogram: dict[int, int]) -> list[tuple]:
     """(length, cell, low, high, first bin, pieces in a bin, offset): which numbers of a length go where."""
     out, used, first = [], dict.fromkeys(histogram, 0), 0
