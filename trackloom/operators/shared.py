@@ -29,6 +29,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def shared_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, in whatever store it is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop))
+
+
 #: Rows of a narrow table that one file holds where the number of rows is known before it is written.
 ROWS_PER_FILE = 250_000
 
@@ -44,6 +50,17 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def meet_all(asked: DataFrame, rows: DataFrame, size: int = 500) -> DataFrame:
+    """Every row of a stated set with every one of ``rows``: a join by block, of about ``size`` asked rows each.
+
+    Work and rows grow as the product of both sides; a task holds one block and streams its copy of ``rows``.
+    """
+    blocks = asked.count() // size + 1
+    left = asked.withColumn("__block", F.pmod(F.xxhash64(*asked.columns), F.lit(blocks)))
+    right = rows.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return left.join(right, "__block").drop("__block")
+
+
 def with_prefix(
     df: DataFrame,
     keys: list[str],
