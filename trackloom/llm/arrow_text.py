@@ -11,6 +11,16 @@ import xxhash
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a string beyond which it is hashed on its own; masks of the first bytes of a little-endian word.
+LONG, MASKS = 64, np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Every bit of each 64-bit number spread over all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def strings(column: pa.Array) -> pa.Array:
@@ -70,9 +80,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hashes(distinct: pa.Array) -> np.ndarray:
-    """64-bit hash of each distinct byte string."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(x) for x in distinct.to_pylist()), np.uint64, len(distinct))
+    """64-bit hash of each distinct byte string: eight bytes at a time for all strings at once, long ones by xxh3."""
+    data, offsets = raw(distinct)
+    size = np.diff(offsets)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    h = (size.astype(np.uint64) + np.uint64(1)) * PRIME
+    for k in range(0, min(LONG, int(size.max(initial=0))), 8):
+        on = slice(None) if k == 0 else np.flatnonzero(size > k)
+        lane = eight[offsets[:-1][on] + k] & MASKS[np.minimum(size[on] - k, 8)]
+        h[on] = mixed((h[on] ^ lane) * PRIME)
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes())
+    return h
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

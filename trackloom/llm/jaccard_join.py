@@ -22,26 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trackloom.llm.arrow_text import byte_slices, strings, word_hashes
+from trackloom.llm.arrow_text import PRIME, byte_slices, mixed, strings, word_hashes
 from trackloom.operators.components import connected_components
 from trackloom.operators.shared import materialise, with_prefix
 
 TOKENS = 64
 SLICE_BYTES = 1 << 20
-PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Most documents whose ids are sent to every executor to fetch their texts; beyond, texts are shuffled.
 BROADCAST_ROWS = 200_000
+#: Shingles (8 bytes each) of a block of sets that are compared with those of another block.
+BLOCK_SHINGLES = 1 << 20
 _seeds = np.random.default_rng(20)
 MULTIPLY = _seeds.integers(1, 2**63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _seeds.integers(0, 2**63, TOKENS, np.uint64)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` words, end to end, and where each text's begin. A shorter text is one run."""
     word, first = word_hashes(texts)
@@ -95,25 +90,32 @@ def fixed(column: pa.Array, dtype: str, width: int) -> np.ndarray:
 def split(rows: DataFrame, runs: int | None, threshold: float) -> DataFrame:
     """(bucket, key) one level deeper: each set in the bucket of each token chosen on its path.
 
-    ``rows``: key, sig, and bucket but for the first level, where each run is a path of its own.
+    ``rows``: key, sig, and bucket but for the first level, where each run is a path of its own. Below the first level
+    the result carries sig too: the sets of large buckets meet their min-hashes once and take them along.
     """
     below = np.uint64(2**64 / (threshold * TOKENS))
     position = np.arange(TOKENS, dtype=np.uint64) << np.uint64(32)
+    kept = ["key"] if runs else ["key", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             token = mixed((fixed(batch.column("sig"), "<u4", TOKENS).astype(np.uint64) | position) + PRIME)
-            paths = [np.array([[r + 1]], np.uint64) * PRIME for r in range(runs)] if runs else [batch.column("bucket").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]]
-            for path in paths:
-                h = mixed(token + path * np.uint64(0xD1342543DE82EF95))
+            if runs:
+                # runs take parts of the range of one hash: no token is chosen twice before all are
+                h = mixed(token)
+                chosen = [(np.uint64((r + 1) * int(PRIME) % 2**64), h - np.uint64(r * int(below) % 2**64)) for r in range(runs)]
+            else:
+                path = batch.column("bucket").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]
+                chosen = [(path, mixed(token + path * np.uint64(0xD1342543DE82EF95)))]
+            for path, h in chosen:
                 row, col = np.nonzero(h < below)
                 if len(row):
-                    bucket = mixed(h[row, col] ^ (np.broadcast_to(path, h.shape)[row, col])).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("key").take(pa.array(row))], ["bucket", "key"])
+                    bucket = mixed(token[row, col] + np.uint64(1) ^ np.broadcast_to(path, h.shape)[row, col]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), *[batch.column(c).take(pa.array(row)) for c in kept]], ["bucket", *kept])
 
-    return rows.mapInArrow(run, "bucket long, key binary")
+    return rows.mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in kept))
 
 
 def agreeing(pairs: DataFrame, least: float) -> DataFrame:
@@ -183,8 +185,9 @@ def crowd_edges(large: DataFrame, least: float, block: int) -> DataFrame:
 def candidate_edges(nodes: DataFrame, threshold: float, recall: float, small: int, depth: int, slack: float, block: int = 2048) -> DataFrame:
     """(a, b): edges that connect all sets which met on a path and agree in their min-hashes.
 
-    On the first and the last level the sets of a large bucket are compared with a hub of it; a bucket that is one
-    component by then is done. What is still large and in several components at the last level is compared in blocks.
+    On the first level the sets of a large bucket are compared with a hub of it, the same for all buckets where it can
+    be; a bucket that is one component by then is done. What is still large at the last level and in several components
+    is compared in blocks.
     """
     least = threshold - slack
     sigs = nodes.select("key", "sig")
@@ -199,13 +202,14 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float, small: in
         large = met.where(F.col("count") > small)
         if large.isEmpty():
             break
-        large = large.join(sigs, "key").select("bucket", "key", "sig")
-        if level in (1, depth):
+        large = (large.join(sigs, "key") if level == 1 else large).select("bucket", "key", "sig")
+        if level == 1:
             large = materialise(large, "large")
-            hubs = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "key").alias("h"), "key", "sig")).alias("x")).select("bucket", F.col("x.key").alias("a"), F.col("x.sig").alias("sig_a"))
+            hubs = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key", "sig")).alias("x")).select("bucket", F.col("x.key").alias("a"), F.col("x.sig").alias("sig_a"))
             beside = large.select("bucket", F.col("key").alias("b"), F.col("sig").alias("sig_b")).join(hubs, "bucket").where("a <> b")
             linked.append(materialise(agreeing(beside.select("a", "b", "sig_a", "sig_b"), least).distinct(), "linked"))
-            groups = connected_components(linked[0] if level == 1 else linked[0].union(linked[-1])).withColumnRenamed("node", "key")
+            groups = connected_components(linked[0]).withColumnRenamed("node", "key")
+        if level in (1, depth):
             large = large.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
             several = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
             large = large.join(several, "bucket")
@@ -225,17 +229,22 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float, small: in
 
 
 def overlaps(own: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of the sets of one unit."""
-    n = np.array([len(x) for x in own])
-    values, col = np.unique(np.concatenate(own), return_inverse=True)
-    row = np.repeat(np.arange(len(own)), n)
+    """Sizes of all intersections of the sets of one unit, beside the diagonal."""
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    flat = np.concatenate(own)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    edge = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    held = np.diff(np.append(edge, len(flat)))
+    # what stands in one set alone is in no intersection
+    shared = np.repeat(held > 1, held)
+    row, held = row[shared], held[held > 1]
+    col = np.repeat(np.arange(len(held)), held)
     out = np.zeros((len(own), len(own)), np.float32)
     step = max(1, (8 << 20) // len(own))
-    order = np.argsort(col, kind="stable")
-    col, row = col[order], row[order]
-    edges = np.searchsorted(col, np.arange(0, len(values) + step, step))
+    edges = np.searchsorted(col, np.arange(0, len(held) + step, step))
     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        hot = np.zeros((len(own), step), np.float32)
+        hot = np.zeros((len(own), min(step, len(held) - k * step)), np.float32)
         hot[row[a:b], col[a:b] - k * step] = 1
         out += hot @ hot.T
     return out.astype(np.int64)
@@ -264,17 +273,19 @@ def compared(unit: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarr
 def classed(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, small: int = 32, depth: int = 4, slack: float = 0.18, block: int = 256) -> DataFrame:
     """doc_id, key, copies, links and class (a key) for every row of ``docs``; all but doc_id null for a text without words."""
     marked = materialise(signatures(docs), "signatures")
-    nodes = marked.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("x"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"))
-    nodes = materialise(nodes.select("key", F.col("x.doc_id").alias("doc_id"), "copies", "sig"), "nodes")
+    nodes = marked.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("x"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    nodes = materialise(nodes.select("key", F.col("x.doc_id").alias("doc_id"), "copies", "n", "sig"), "nodes")
     edges = materialise(candidate_edges(nodes, threshold, recall, small, depth, slack), "candidates")
     groups = connected_components(edges).withColumnRenamed("node", "key")
 
-    members = groups.join(nodes.select("key", "doc_id", "copies"), "key")
-    members = materialise(with_prefix(members, ["component"], [F.col("key")], F.col("key"), rank="nth"), "members", groups.count())
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    members = groups.join(nodes.select("key", "doc_id", "copies", "n"), "key")
+    # blocks of at most ``block`` sets and about ``BLOCK_SHINGLES`` shingles
+    weight = F.greatest(F.col("n"), F.lit(BLOCK_SHINGLES // block))
+    members = with_prefix(members, ["component"], [F.col("key")], F.col("key"), weight, rank="nth", before="ahead")
+    members = materialise(members.withColumn("own_block", F.floor(F.col("ahead") / BLOCK_SHINGLES)).drop("nth", "ahead", "n"), "members", groups.count())
+    sizes = members.groupBy("component").agg((F.max("own_block") + 1).alias("blocks"))
     # a set goes to the units of its block and each block of its component: (i, j) with i <= j
-    own = F.floor(F.col("nth") / block)
-    units = members.join(sizes, "component").withColumn("own_block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = members.join(sizes, "component").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("key", "doc_id", "copies", "component", F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j"), F.col("own_block").alias("side"))
     total = units.count()
     wanted = members.select("doc_id", "key")

@@ -19,24 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.arrow_text import byte_slices, encoded, hashes, raw, strings, words
+from trackloom.llm.arrow_text import PRIME, byte_slices, encoded, hashes, mixed, raw, strings, words
 from trackloom.operators.shared import materialise
 
 WINDOW, ANCHOR = 35, 6
 SLICE_BYTES = 2 << 20
 PLACE = np.uint64((1 << 26) - 1)
-PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Most snippets (20 bytes each) that are sent to every executor; beyond, they are joined with the texts by row.
 BROADCAST_SNIPPETS = 3_000_000
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Snippets:
     """The words of a slice, and its snippets: anchor, hash of content, first word and number of windows."""
 
