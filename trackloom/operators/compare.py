@@ -67,18 +67,24 @@ def pairwise_stats(tracks: DataFrame, names: list[str], **options) -> DataFrame:
 
 
 def universal_tracks(tracks: DataFrame, n_libraries: int, first: str) -> DataFrame:
-    """Pairs (nt, na) in all libraries, represented by the first such track of library ``first``."""
+    """Pairs (nt, na) in all libraries, represented by the first such track of library ``first``; by artist and title."""
     music = tracks.where("is_music")
     own = F.when(F.col("library") == first, F.struct("pos", "title", "artist"))
     found = music.groupBy("nt", "na").agg(F.count_distinct("library").alias("appears_in"), F.min(own).alias("x"))
-    return found.where(F.col("appears_in") == n_libraries).select(F.col("x.title").alias("title"), F.col("x.artist").alias("artist"), "nt", "na", "appears_in")
+    found = found.where(F.col("appears_in") == n_libraries).select(F.col("x.title").alias("title"), F.col("x.artist").alias("artist"), "nt", "na", "appears_in")
+    return found.orderBy("artist", "title")
 
 
 def unique_tracks(tracks: DataFrame) -> DataFrame:
-    """Tracks whose pair is in no other library; copies inside a library stay. One shuffle, no pair of libraries."""
+    """Tracks whose pair is in no other library, by artist and title; copies inside a library stay. No pairs of libraries."""
     music = tracks.where("is_music")
     only = Window.partitionBy("nt", "na")
-    return music.withColumn("__n", F.size(F.collect_set("library").over(only))).where("__n = 1").drop("__n")
+    return music.withColumn("__n", F.size(F.collect_set("library").over(only))).where("__n = 1").drop("__n").orderBy("artist", "title", "library", "pos")
+
+
+def distinct_artists(tracks: DataFrame) -> DataFrame:
+    """The artists of music tracks, each once, in order."""
+    return tracks.where("is_music").select("artist").where("artist <> ''").distinct().orderBy("artist")
 
 
 def artist_overlap(tracks: DataFrame) -> DataFrame:

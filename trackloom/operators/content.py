@@ -82,6 +82,7 @@ def playlist_validation(tracks: DataFrame) -> DataFrame:
     return tracks.withColumns({"issues": issues, "valid": F.size(issues) == 0, "warning": F.length(text(F.col("title"))) > 100})
 
 
+# Names, weights and words of the rules.
 def risk_rules() -> list[tuple[str, int, Column]]:
     title, low = text(F.col("title")), F.lower(text(F.col("title")))
     any_of = lambda c, *words: F.greatest(*[c.contains(w).cast("int") for w in words]) == 1
@@ -108,6 +109,11 @@ def risk_scores(tracks: DataFrame) -> DataFrame:
     return out.where(F.size("issues") > 0).withColumn("tier", tier)
 
 
+def top_risks(risky: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` rows most likely to fail, in order; ties by pos."""
+    return risky.orderBy(F.col("risk_score").desc(), "pos").limit(n)
+
+
 def issue_frequency(risky: DataFrame, total: int | Column) -> DataFrame:
     counted = risky.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("tracks"))
     return counted.withColumn("percent", F.round(F.col("tracks") * 100.0 / total, 1))

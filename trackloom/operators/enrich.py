@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.normalize import text
 from trackloom.functions.similarity import recording_score
 from trackloom.operators.matching import first_by
+from trackloom.operators.shared import materialise
 
 
 def top_tags(tags: Column, n: int = 3) -> Column:
@@ -20,20 +21,33 @@ def look_up(tracks: DataFrame, recordings: DataFrame, least: float = 0.7) -> Dat
     """Each track (pos, title, artist, album, isrc) with its best recording and score: by identifier, else by name.
 
     ``recordings``: id, title, length, artists, releases, isrcs, tags. Names meet by a shared word of the title; the
-    first best of at least ``least`` counts. Equal (nt, na) are looked up once.
+    first best of at least ``least`` counts. Equal (nt, na) are looked up once. Of the pairs that share a title word
+    only those that can reach ``least`` are made: without a common artist word a title counts 0.6 times its overlap
+    and a release 0.1, so that from 0.7 on the titles must have the same words.
     """
     r = recordings.select(F.struct(*recordings.columns).alias("r"))
     by_isrc = r.select("r", F.explode("r.isrcs").alias("__isrc"))
     code = F.lower(F.trim("isrc"))
     exact = first_by(tracks.where(text(F.col("isrc")) != "").join(by_isrc, code == F.lower(F.trim("__isrc"))), "pos", F.col("r.id")).withColumn("score", F.lit(1.0))
-    exact = exact.select("pos", "r", "score")
-    rest = tracks.join(exact, "pos", "left_anti")
+    exact = materialise(exact.select("pos", "r", "score"), "by-code")
+    rest = materialise(tracks.join(exact, "pos", "left_anti").select("pos", "nt", "na", "title", "artist", "album"), "rest")
     asked = rest.groupBy("nt", "na").agg(F.min(F.struct("pos", "title", "artist", "album")).alias("q")).select("nt", "na", "q.*")
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != "")))
-    pairs = asked.select("pos", words(F.col("title")).alias("w")).join(r.select("r.id", words(F.col("r.title")).alias("w")), "w").select("pos", "id").distinct()
-    pairs = pairs.join(asked, "pos").join(r.withColumn("id", F.col("r.id")), "id")
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != ""))
+    names = F.array_join(F.transform("artists", lambda a: F.coalesce(a["name"], F.lit(""))), " ")
+    left = asked.select("pos", split(F.col("title")).alias("t"), split(F.col("artist")).alias("a"))
+    right = recordings.select("id", split(F.col("title")).alias("t"), split(names).alias("a"))
+    if least < 0.7:
+        keys = lambda df, k: df.select(k, F.explode("t").alias("w"))
+        pairs = keys(left, "pos").join(keys(right, "id"), "w").select("pos", "id").distinct()
+    else:
+        keys = lambda df, k: df.select(k, "a", F.explode("t").alias("w")).select(k, "w", F.explode("a").alias("v"))
+        both = keys(left, "pos").join(keys(right, "id"), ["w", "v"]).select("pos", "id")
+        whole = lambda df, k: df.where(F.size("t") > 0).select(k, F.sort_array("t").alias("t"))
+        pairs = both.union(whole(left, "pos").join(whole(right, "id"), "t").select("pos", "id")).distinct()
+    pairs = pairs.join(asked, "pos").join(recordings.select("id", F.struct("title", "artists", "releases").alias("r")), "id")
     scored = pairs.withColumn("score", recording_score("r", F.col("title"), F.col("artist"), F.col("album")))
-    best = first_by(scored.where(F.col("score") >= least), "pos", F.col("score").desc(), F.col("id")).select("nt", "na", "r", "score")
+    best = first_by(scored.where(F.col("score") >= least), "pos", F.col("score").desc(), F.col("id")).select("nt", "na", "id", "score")
+    best = best.join(r.withColumn("id", F.col("r.id")), "id").drop("id")
     return exact.unionByName(rest.join(best, ["nt", "na"]).select("pos", "r", "score"))
 
 

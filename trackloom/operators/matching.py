@@ -2,7 +2,9 @@
 
 Source rows pick one target each; a target may be picked often. Stages: identifier, exact normalised pair, pair without
 version words, blocked fuzzy match. Libraries are DataFrames with the columns of ``schema.derive``; ``pos`` breaks ties.
-Big frequent blocking words are left to adaptive skew joins; no word is dropped.
+A candidate shares a word; of those, only pairs that can reach the threshold are made: pairs with an artist token in
+common, or without tokens on a side, or with one identifier. Frequent tokens are left to adaptive skew joins; none is
+dropped.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import similarity as S
 from trackloom.functions.normalize import text
+from trackloom.operators.shared import materialise
 
 FIELDS = ("pos", "title", "artist", "album", "duration", "isrc", "year", "nt", "na", "tokens", "base")
 NO_WORD_LIMIT = 50
@@ -57,11 +60,15 @@ def base_matches(s: DataFrame, t: DataFrame, score: Column, least: float) -> Dat
     return best.where(F.col("confidence") >= least).withColumn("match_type", F.lit("fuzzy"))
 
 
-def blocking_words(tracks: DataFrame, name: str) -> DataFrame:
-    """(pos, field, word): words of over two letters of the normalised title and artist."""
+def words_of(name: str) -> Column:
+    """Words of over two letters of the normalised title and artist, each marked by its field."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.col(f"{name}_{c}"), r"(?U)\s+"), lambda w: F.length(w) > 2))
-    both = F.array_union(F.transform(words("nt"), lambda w: F.concat(F.lit("t:"), w)), F.transform(words("na"), lambda w: F.concat(F.lit("a:"), w)))
-    return tracks.select(F.col(f"{name}_pos"), F.explode(both).alias("word"))
+    return F.array_union(F.transform(words("nt"), lambda w: F.concat(F.lit("t:"), w)), F.transform(words("na"), lambda w: F.concat(F.lit("a:"), w)))
+
+
+def blocking_words(tracks: DataFrame, name: str) -> DataFrame:
+    """(pos, word): the blocking words of each track."""
+    return tracks.select(F.col(f"{name}_pos"), F.explode(words_of(name)).alias("word"))
 
 
 def word_candidates(s: DataFrame, t: DataFrame) -> DataFrame:
@@ -69,19 +76,50 @@ def word_candidates(s: DataFrame, t: DataFrame) -> DataFrame:
     return blocking_words(s, "s").join(blocking_words(t, "t"), "word").select("s_pos", "t_pos").distinct()
 
 
-def fallback_candidates(s: DataFrame, t: DataFrame, pairs: DataFrame, limit: int | None = NO_WORD_LIMIT) -> DataFrame:
+def fallback_candidates(s: DataFrame, t: DataFrame, limit: int | None = NO_WORD_LIMIT) -> DataFrame:
     """Sources that share no word with any target meet the first ``limit`` targets: a constant number, so broadcast."""
-    alone = s.select("s_pos").join(pairs, "s_pos", "left_anti")
+    meeting = blocking_words(s, "s").join(blocking_words(t, "t").select("word").distinct(), "word", "left_semi").select("s_pos").distinct()
+    alone = s.select("s_pos").join(meeting, "s_pos", "left_anti")
     first = t.select("t_pos").orderBy("t_pos").limit(limit).agg(F.collect_list("t_pos").alias("ts"))
     return alone.join(F.broadcast(first)).select("s_pos", F.explode("ts").alias("t_pos"))
 
 
 def candidates(s: DataFrame, t: DataFrame) -> DataFrame:
-    pairs = word_candidates(s, t)
-    pairs = pairs.unionByName(fallback_candidates(s, t, pairs))
+    """Whole rows of all candidates: pairs that share a word, and those of sources that share none with any target."""
+    pairs = word_candidates(s, t).unionByName(fallback_candidates(s, t))
     return pairs.join(s, "s_pos").join(t, "t_pos")
 
 
+def reaching_candidates(s: DataFrame, t: DataFrame, scorer: str) -> DataFrame:
+    """The candidates that can score 0.72 or more, without making the others.
+
+    Without a common artist token a pair has at most (0.45 + 0.10 + 0.05) / 0.95 = 0.64, unless a side has no token;
+    with ``scorer="equality"`` a pair with different titles has at most (0.35 + 0.10 + 0.05) / 0.95 = 0.53. Equal
+    identifiers score 1 in any case.
+    """
+    s, t = s.withColumn("s_words", words_of("s")), t.withColumn("t_words", words_of("t"))
+    code = lambda n: F.lower(F.trim(F.col(f"{n}_isrc")))
+    pairs = s.where(text(F.col("s_isrc")) != "").join(t, code("s") == code("t"))
+    if scorer == "equality":
+        pairs = pairs.unionByName(s.join(t, F.col("s_nt") == F.col("t_nt")))
+    else:
+        token = lambda df, n: df.select(f"{n}_pos", F.explode(f"{n}_tokens").alias("token"))
+        shared = token(s, "s").join(token(t, "t"), "token").select("s_pos", "t_pos").distinct()
+        bare_s, bare_t = s.where(F.size("s_tokens") == 0), t.where(F.size("t_tokens") == 0)
+        bare = word_candidates(bare_s, t).unionByName(word_candidates(s, bare_t))
+        pairs = pairs.unionByName(shared.unionByName(bare).distinct().join(s, "s_pos").join(t, "t_pos"))
+    pairs = pairs.where(F.arrays_overlap("s_words", "t_words"))
+    alone = fallback_candidates(s, t).join(s, "s_pos").join(t, "t_pos")
+    # a pair that comes twice is harmless: the best is one row by number
+    return pairs.unionByName(alone).drop("s_words", "t_words")
+
+
+def search_results(scored: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` best targets of each source as ``place`` 1, 2, ..., by confidence; ties by the target's pos."""
+    place = F.row_number().over(Window.partitionBy("s_pos").orderBy(F.col("confidence").desc(), "t_pos"))
+    return scored.withColumn("place", place).where(F.col("place") <= n)
+
+
 def best_fuzzy(scored: DataFrame, least: float) -> DataFrame:
     """Top candidate of a scan in order that stops at the first score of 0.98 and else keeps the first highest."""
     early = F.col("confidence") >= EARLY
@@ -99,7 +137,7 @@ def reachable(strict: bool, use_duration: bool, use_album: bool) -> Column:
 
 
 def fuzzy_matches(s: DataFrame, t: DataFrame, strict: bool = True, use_duration: bool = True, use_album: bool = False, scorer: str = "fuzzy") -> DataFrame:
-    pairs, least = candidates(s, t), S.ACCEPT_FUZZY[strict]
+    pairs, least = reaching_candidates(s, t, scorer), S.ACCEPT_FUZZY[strict]
     if scorer == "fuzzy":
         pairs = pairs.where(reachable(strict, use_duration, use_album) >= least - 1e-9)
         titles = pairs.select("s_nt", "t_nt").distinct()
@@ -112,10 +150,13 @@ def fuzzy_matches(s: DataFrame, t: DataFrame, strict: bool = True, use_duration:
 
 
 def match_libraries(source: DataFrame, target: DataFrame, strict: bool = True, use_duration: bool = True, use_album: bool = False, scorer: str = "fuzzy", music_only: bool = True) -> DataFrame:
-    """One row for each matched source row: s_* and t_* columns, confidence, match_type."""
+    """One row for each matched source row: s_* and t_* columns, confidence, match_type.
+
+    Both sides, what each stage finds and what the last one gets are written once: all are read by several joins.
+    """
     if music_only:
         source, target = source.where("is_music"), target.where("is_music")
-    s, t = side(source, "s"), side(target, "t")
+    s, t = materialise(side(source, "s"), "source"), materialise(side(target, "t"), "target")
     score = S.confidence("s", "t", strict, use_duration, use_album, scorer)
     rest, found = s, []
     for stage in (
@@ -124,9 +165,9 @@ def match_libraries(source: DataFrame, target: DataFrame, strict: bool = True, u
         lambda r: base_matches(r, t, score, S.ACCEPT_BASE[strict]),
         lambda r: fuzzy_matches(r, t, strict, use_duration, use_album, scorer),
     ):
-        hit = stage(rest)
+        hit = materialise(stage(rest), "stage")
         found.append(hit)
-        rest = rest.join(hit.select("s_pos"), "s_pos", "left_anti")
+        rest = materialise(rest.join(hit.select("s_pos"), "s_pos", "left_anti"), "rest")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -136,18 +177,22 @@ def missing(source: DataFrame, matches: DataFrame) -> DataFrame:
 
 def match_b(source: DataFrame, target: DataFrame, strict: bool = True, use_duration: bool = True, use_album: bool = False, plain: bool = False) -> DataFrame:
     """The second matcher: equal pairs that score 0.98, then identifiers, then blocked candidates from 0.85 (0.75)."""
-    s, t = side(source, "s"), side(target, "t")
+    s, t = materialise(side(source, "s"), "source"), materialise(side(target, "t"), "target")
     parts = S.score_b("s", "t", use_duration, use_album, plain)
     fields = {f"b_{k}": v for k, v in parts.items()}
     exact = s.join(t, (F.col("s_nt") == F.col("t_nt")) & (F.col("s_na") == F.col("t_na"))).where("s_nt <> '' and s_na <> ''").withColumns(fields)
-    exact = first_by(exact.where(F.col("b_confidence") >= EARLY), "s_pos", F.col("t_pos"))
+    exact = materialise(first_by(exact.where(F.col("b_confidence") >= EARLY), "s_pos", F.col("t_pos")), "stage")
     rest = s.join(exact, "s_pos", "left_anti")
     key = lambda c: F.upper(F.trim(F.col(c)))
     last = first_by(t.where(text(F.col("t_isrc")) != "").withColumn("__k", key("t_isrc")), "__k", F.col("t_pos").desc())
     isrc = rest.where(text(F.col("s_isrc")) != "").join(last, key("s_isrc") == F.col("__k")).drop("__k").withColumns(fields)
-    rest = rest.join(isrc, "s_pos", "left_anti")
+    isrc = materialise(isrc, "stage")
+    rest = materialise(rest.join(isrc, "s_pos", "left_anti"), "rest")
     named = rest.where("s_nt <> '' and s_na <> ''")
-    scored = candidates(named, t).withColumns(fields).where("b_confidence is not null")
+    # a ratio is at most what the lengths allow; titles need 0.6, artists 0.5 by name or by tokens, or one identifier
+    fits = lambda c, least: 2 * F.least(F.length(f"s_{c}"), F.length(f"t_{c}")) >= least * (F.length(f"s_{c}") + F.length(f"t_{c}"))
+    lengths = fits("nt", 0.6 if not plain else 0.0) & (fits("na", 0.5 if not plain else 0.0) | F.arrays_overlap("s_tokens", "t_tokens"))
+    scored = candidates(named, t).where(lengths | S.same_isrc(F.col("s_isrc"), F.col("t_isrc"))).withColumns(fields).where("b_confidence is not null")
     fuzzy = first_by(scored, "s_pos", F.col("b_confidence").desc(), F.col("t_pos")).where(F.col("b_confidence") >= S.ACCEPT_B[strict])
     # a source without title or artist has no score with any target, so it has no match
     out = reduce(DataFrame.unionByName, [exact, isrc, fuzzy])

@@ -14,6 +14,7 @@ from trackloom.functions import normalize as N
 from trackloom.functions import parsing as P
 from trackloom.functions import similarity as S
 from trackloom.operators import audit, cleanup, compare, content, dedup, enrich, matching, usage
+from trackloom.operators.shared import meet_all
 from trackloom.plans import adapters as A
 from trackloom.plans import oracles as O
 from trackloom.plans.adapters import table, tracks, two
@@ -223,7 +224,7 @@ def fallback_candidates(spark, d):
     a, b = two(spark, d)
     own = lambda c, mark: F.when(F.col("pos") % 3 == 0, F.concat(F.lit(mark), F.col("pos"))).otherwise(F.col(c))
     s, t = matching.side(a.withColumns({"nt": own("nt", "qq"), "na": own("na", "zz")}), "s"), matching.side(b, "t")
-    return matching.fallback_candidates(s, t, matching.word_candidates(s, t))
+    return matching.fallback_candidates(s, t)
 
 
 def name_pairs(spark, d) -> DataFrame:
@@ -299,18 +300,18 @@ def base_matches(spark, d):
 
 @query()
 def fuzzy_title_similarity(spark, d):
-    titles = tracks(spark, d).select("nt").distinct()
-    one, two_ = titles.select(F.col("nt").alias("a")), titles.select(F.col("nt").alias("b"))
-    near = one.join(two_, (F.substring_index("a", " ", 1) == F.substring_index("b", " ", 1)) & (F.col("a") < F.col("b")))
-    return near.select("a", "b", r6(S.title_similarity(F.col("a"), F.col("b"))).alias("similarity"))
+    """Titles of the tracks whose number is divisible by 50, with all titles."""
+    rows = tracks(spark, d)
+    pairs = meet_all(rows.where("pos % 50 = 0").select(F.col("nt").alias("a")).distinct(), rows.select(F.col("nt").alias("b")).distinct()).where("a <> b")
+    return pairs.select("a", "b", r6(S.title_similarity(F.col("a"), F.col("b"))).alias("similarity"))
 
 
 @query()
 def album_similarity(spark, d):
-    albums = table(spark, d, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("album")).distinct()
-    one, two_ = albums.select(F.col("album").alias("a")), albums.select(F.col("album").alias("b"))
-    near = one.join(two_, (F.substring_index("a", " ", 1) == F.substring_index("b", " ", 1)) & (F.col("a") < F.col("b")))
-    return near.select("a", "b", r6(S.album_similarity(F.col("a"), F.col("b"))).alias("similarity"))
+    """Albums of the parts whose number is divisible by 50, with all albums."""
+    rows = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_brand").alias("album"))
+    pairs = meet_all(rows.where("p_partkey % 50 = 0").select(F.col("album").alias("a")).distinct(), rows.select(F.col("album").alias("b")).distinct()).where("a <> b")
+    return pairs.select("a", "b", r6(S.album_similarity(F.col("a"), F.col("b"))).alias("similarity"))
 
 
 @query()
@@ -382,8 +383,8 @@ def match_type_distribution(spark, d):
 
 
 def playlist(spark, d) -> DataFrame:
-    """Every fifth part as a playlist item; some artists and titles are changed."""
-    rows = table(spark, d, "part").where("p_partkey % 5 = 0").selectExpr(*[f"{A.TRACKS[k]} AS {k}" for k in ("pos", "title", "artist", "album", "duration", "year")], "CAST(NULL AS STRING) AS isrc")
+    """Every part as a playlist item; some artists are changed."""
+    rows = table(spark, d, "part").selectExpr(*[f"{A.TRACKS[k]} AS {k}" for k in ("pos", "title", "artist", "album", "duration", "year")], "CAST(NULL AS STRING) AS isrc")
     rows = rows.withColumn("artist", F.when(F.col("pos") % 15 == 5, F.concat("artist", F.lit(" & Someone"))).when(F.col("pos") % 20 == 0, F.lit("Nobody")).otherwise(F.col("artist")))
     return derive(rows)
 
@@ -391,7 +392,7 @@ def playlist(spark, d) -> DataFrame:
 ITEMS = O.LIB.replace(
     f"raw AS ({A.TRACKS_SQL})",
     f"""raw0 AS ({A.TRACKS_SQL}), raw AS (SELECT *, false AS item FROM raw0 UNION ALL SELECT * REPLACE (NULL AS isrc,
-        CASE WHEN pos % 15 = 5 THEN artist || ' & Someone' WHEN pos % 20 = 0 THEN 'Nobody' ELSE artist END AS artist), true AS item FROM raw0 WHERE pos % 5 = 0)""",
+        CASE WHEN pos % 15 = 5 THEN artist || ' & Someone' WHEN pos % 20 = 0 THEN 'Nobody' ELSE artist END AS artist), true AS item FROM raw0)""",
 )
 AUDITED = f"""{ITEMS}, i AS (SELECT * FROM lib WHERE item), t AS (SELECT * FROM lib WHERE NOT item AND library = 'B' AND is_music),
     a1 AS (SELECT s.pos AS s_pos, min(t.pos) AS t_pos, 0.98e0 AS confidence, 'present' AS status FROM i s JOIN t ON s.nt = t.nt AND s.na = t.na GROUP BY s.pos),
@@ -422,7 +423,7 @@ def audit_counts(spark, d):
 
 @query()
 def playlist_audit_fuzzy(spark, d):
-    return writers.audit_report(audited(spark, d, "fuzzy"))
+    return audit.audit_report(audited(spark, d, "fuzzy"))
 
 
 @query(f"""{ITEMS}, i AS (SELECT * FROM lib WHERE item), t AS (SELECT * FROM lib WHERE NOT item AND library = 'B'),
@@ -510,9 +511,7 @@ def risk_scores(spark, d):
 @query(f"{RISKY} SELECT issue, count(*) AS tracks, round(count(*) * 100e0 / (SELECT count(*) FROM gone), 1) AS percent FROM (SELECT unnest(issues) AS issue FROM risky) GROUP BY issue")
 def issue_frequency(spark, d):
     rows = gone(spark, d)
-    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))
-    counted = content.risk_scores(rows).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("tracks"))
-    return counted.join(total).select("issue", "tracks", F.round(F.col("tracks") * 100.0 / F.col("total"), 1).alias("percent"))
+    return content.issue_frequency(content.risk_scores(rows), rows.count())
 
 
 @query(f"""{O.COMPARED}, gone AS (SELECT *, CASE WHEN isrc IS NULL THEN 'No identifier' ELSE 'No matches found' END AS reason FROM s WHERE pos NOT IN (SELECT s_pos FROM matches))
@@ -531,29 +530,30 @@ def songs(spark, d) -> DataFrame:
     return rows.withColumn("album", F.concat_ws(" ", "album", F.when(F.col("pos") % 4 == 1, "album").when(F.col("pos") % 4 == 2, "single"), F.lit("x")))
 
 
-def edges(spark, d) -> DataFrame:
-    return dedup.duplicate_edges(songs(spark, d), 0.9)
+def groups(spark, d) -> DataFrame:
+    return dedup.duplicate_groups(songs(spark, d), 0.9)
 
 
 @query()
 def duplicate_edges(spark, d):
-    return edges(spark, d).select("a", "b", r6("title_similarity").alias("title_similarity"), r6("artist_similarity").alias("artist_similarity"))
+    out = dedup.duplicate_edges(songs(spark, d), 0.9)
+    return out.select("a", "b", r6("title_similarity").alias("title_similarity"), r6("artist_similarity").alias("artist_similarity"))
 
 
 @query()
 def duplicate_groups(spark, d):
-    return dedup.duplicate_groups(edges(spark, d)).select("group_id", "pos", r6("title_similarity").alias("title_similarity"), r6("artist_similarity").alias("artist_similarity"))
+    return groups(spark, d).select("group_id", "pos", r6("title_similarity").alias("title_similarity"), r6("artist_similarity").alias("artist_similarity"))
 
 
 @query()
 def duplicate_ranking(spark, d):
-    rows = dedup.duplicate_groups(edges(spark, d)).select("group_id", "pos").join(songs(spark, d), "pos")
+    rows = groups(spark, d).select("group_id", "pos").join(songs(spark, d), "pos")
     return dedup.ranked(rows).select("group_id", "pos", "rank", "quality_score", "quality", "source")
 
 
 @query()
 def dedup_summary(spark, d):
-    return dedup.dedup_summary(dedup.duplicate_groups(edges(spark, d)))
+    return dedup.dedup_summary(groups(spark, d))
 
 
 SONGS = f"""WITH raw AS ({A.TRACKS_SQL}), songs AS (SELECT pos, title, p_brand AS artist, p_brand || '/' || p_name AS group_id, concat_ws(' ', album, CASE pos % 4 WHEN 1 THEN 'album' WHEN 2 THEN 'single' END, 'x') AS album, duration, explicit, video_type
@@ -626,7 +626,11 @@ def playlist_batches(spark, d):
     return cleanup.playlist_batches(rows).select("pos", F.col("batch").cast("double").alias("batch"), "reason")
 
 
-@query(f"{O.COMPARED}, f AS (SELECT coalesce(confidence, 0e0) AS c FROM s a LEFT JOIN matches ON s_pos = a.pos ORDER BY a.pos LIMIT 10), g AS (SELECT count(*) AS sample_size, count(*) FILTER (c >= 0.8e0) AS good_matches, avg(c) AS m FROM f) SELECT sample_size, good_matches, round(m, 6) AS avg_confidence, good_matches / CAST(sample_size AS DOUBLE) AS good_match_rate, CASE WHEN good_matches >= 0.8e0 * sample_size AND m >= 0.8e0 THEN 'excellent' WHEN good_matches >= 0.6e0 * sample_size AND m >= 0.7e0 THEN 'good' WHEN good_matches >= 0.4e0 * sample_size AND m >= 0.6e0 THEN 'moderate' ELSE 'low' END AS recommendation FROM g")
+@query(f"""{O.COMPARED}, head AS (SELECT coalesce(confidence, 0e0) AS c FROM s a LEFT JOIN matches ON s_pos = a.pos ORDER BY a.pos LIMIT 10),
+    summary AS (SELECT count(*) AS sample_size, count(*) FILTER (c >= 0.8e0) AS good_matches, avg(c) AS m FROM head)
+    SELECT sample_size, good_matches, round(m, 6) AS avg_confidence, good_matches / CAST(sample_size AS DOUBLE) AS good_match_rate,
+    CASE WHEN good_matches >= 0.8e0 * sample_size AND m >= 0.8e0 THEN 'excellent' WHEN good_matches >= 0.6e0 * sample_size AND m >= 0.7e0 THEN 'good'
+        WHEN good_matches >= 0.4e0 * sample_size AND m >= 0.6e0 THEN 'moderate' ELSE 'low' END AS recommendation FROM summary""")
 def playlist_potential(spark, d):
     rows = two(spark, d)[0].where("is_music").select("pos").join(equal_matches(spark, d).select(F.col("s_pos").alias("pos"), "confidence"), "pos", "left")
     return cleanup.playlist_potential(rows).withColumn("avg_confidence", r6("avg_confidence"))
@@ -654,7 +658,7 @@ def wanted(spark, d) -> DataFrame:
 
 
 REC = """rec AS (SELECT p_partkey AS id, p_name AS rt, p_brand AS ra, p_type AS ral, CAST(180 + p_size AS INT) AS secs, CASE WHEN p_partkey % 2 = 0 THEN 'RC' || p_partkey ELSE 'US' || p_partkey END AS code,
-    [{'n': p_type, 'c': p_size, 'i': 1}, {'n': 'pop', 'c': 10, 'i': 2}, {'n': 'rock', 'c': 10, 'i': 3}, {'n': p_brand, 'c': p_size % 20, 'i': 4}] AS tags FROM part WHERE p_partkey % 3 = 0)"""
+    [{'n': p_type, 'c': p_size, 'i': 1}, {'n': 'pop', 'c': 10, 'i': 2}, {'n': 'rock', 'c': 10, 'i': 3}, {'n': p_brand, 'c': p_size % 20, 'i': 4}] AS tags FROM part)"""
 SPLIT = "list_distinct(list_filter(string_split(lower({}), ' '), lambda v: v <> ''))"
 _T, _R = SPLIT.format("q.title"), SPLIT.format("r.rt")
 _I = f"len(list_intersect({_T}, {_R}))"

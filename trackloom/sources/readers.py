@@ -7,7 +7,7 @@ file is one projection; rows that lack a title or an artist go. ``pos`` is the o
 from __future__ import annotations
 
 import plistlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,8 +88,20 @@ def header_fields(columns: list[str], platform: str) -> dict[str, str]:
 
 
 def head(spark: SparkSession, path: str, n: int = 2048) -> bytes:
-    """The first bytes of one file."""
-    return bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("x")).first().x)
+    """The first bytes of a file, or of the first file of a folder; no more is read."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(context._jsc.hadoopConfiguration())
+    if store.getFileStatus(at).isDirectory():
+        files = [x.getPath() for x in store.listStatus(at) if x.isFile() and x.getPath().getName()[0] not in "._"]
+        if not files:
+            return b""
+        at = min(files, key=lambda x: x.getName())
+    stream = store.open(at)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
 
 
 def encoding_of(start: bytes) -> str:
@@ -113,11 +125,7 @@ def detect_platform(spark: SparkSession, path: str) -> str:
     name = path.lower()
     if name.endswith(".xml"):
         return "apple_music_xml"
-    try:
-        start = head(spark, path).decode("utf-8", "replace")
-    except Exception:
-        return "youtube_music" if name.endswith(".json") else "unknown"
-    low = start.lower()
+    low = head(spark, path).decode("utf-8", "replace").lower()
     if name.endswith(".json"):
         if "spotify" in low:
             return "spotify"
@@ -138,22 +146,23 @@ def _cell(column: Column) -> Column:
     return F.when(F.lower(x).isin("", "nan"), None).otherwise(x)
 
 
-def _typed(rows: DataFrame, platform: str, milliseconds: bool) -> DataFrame:
+def _typed(rows: DataFrame, platform: str, length_of: Callable[[Column], Column]) -> DataFrame:
     c = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
-    length = P.milliseconds(c("duration")) if milliseconds else (P.iso_duration if platform == "youtube_music" else P.duration)(c("duration"))
+    length = length_of(c("duration"))
     title = clean_uploader_title(c("title")) if platform == "youtube_music" else c("title")
     out = rows.withColumns({"title": title, "duration": length, "year": P.year(c("year")), "track_number": P.whole(c("track_number"))})
     return conform(required(out), platform=platform)
 
 
-def read_csv(spark: SparkSession, path: str, platform: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, platform: str, multiline: bool = True) -> DataFrame:
+    """A CSV export. Without ``multiline`` large files are split among tasks; quoted line breaks then end a row."""
     start = head(spark, path)
     charset = encoding_of(start)
     line = start.decode("utf-16" if charset == "UTF-16" else charset, "ignore").split("\n", 1)[0]
-    raw = spark.read.options(header=True, encoding=charset, sep=delimiter_of(line), multiLine=True, escape='"', mode="PERMISSIVE").csv(path)
+    raw = spark.read.options(header=True, encoding=charset, sep=delimiter_of(line), multiLine=multiline or charset == "UTF-16", escape='"', mode="PERMISSIVE").csv(path)
     fields = header_fields(raw.columns, platform)
     rows = raw.select(*[_cell(F.col(f"`{column}`")).alias(field) for field, column in fields.items()], F.monotonically_increasing_id().alias("pos"))
-    return _typed(rows, platform, platform == "spotify")
+    return _typed(rows, platform, {"spotify": P.milliseconds, "youtube_music": P.iso_duration}.get(platform, P.duration))
 
 
 def read_json(spark: SparkSession, path: str, platform: str) -> DataFrame:
@@ -169,7 +178,8 @@ def read_json(spark: SparkSession, path: str, platform: str) -> DataFrame:
         return F.coalesce(*[_cell(x) for x in found])
 
     rows = items.select("pos", *[first(keys).alias(field) for field, keys in JSON_KEYS["youtube_music" if platform == "youtube_music" else "spotify"].items()])
-    return _typed(rows, platform, False)
+    # numbers are seconds here, in every range
+    return _typed(rows, platform, P.iso_duration if platform == "youtube_music" else P.whole)
 
 
 def read_plist(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.normalize import text
@@ -54,6 +54,55 @@ def dedup_report(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), rows.alias("duplicates"))
 
 
+def selection_report(picked: DataFrame) -> DataFrame:
+    """The fourteen columns of winners and losers, one row for each song of a group (pos is the song's id)."""
+    lead = Window.partitionBy("group_id").orderBy("rank")
+    number = F.col("pos").cast("string")
+    return picked.select(
+        F.col("group_id").alias("Group ID"),
+        F.first("title").over(lead).alias("Group Title"),
+        F.first("artist").over(lead).alias("Group Artist"),
+        F.col("winner").alias("Preferred"),
+        _blank("title").alias("Title"),
+        _blank("artist").alias("Artists"),
+        _blank("album").alias("Album"),
+        _number("duration").alias("Duration"),
+        F.coalesce("explicit", F.lit(False)).alias("Explicit"),
+        F.col("quality").alias("Quality"),
+        F.col("quality_score").alias("Quality Score"),
+        F.coalesce(number, F.lit("")).alias("Video ID"),
+        F.coalesce(F.concat(F.lit("https://img.youtube.com/vi/"), number, F.lit("/mqdefault.jpg")), F.lit("")).alias("Thumbnail"),
+        F.coalesce(F.concat(F.lit("https://music.youtube.com/watch?v="), number), F.lit("")).alias("URL"),
+    )
+
+
+def risk_report(risky: DataFrame) -> DataFrame:
+    """The eight columns of tracks that may fail, the riskiest first."""
+    platform = F.col("platform") if "platform" in risky.columns else F.lit("")
+    return risky.orderBy(F.col("risk_score").desc(), "pos").select(
+        F.col("title").alias("Title"),
+        F.col("artist").alias("Artist"),
+        _blank("album").alias("Album"),
+        _number("duration").alias("Duration"),
+        F.col("risk_score").alias("Risk_Score"),
+        F.array_join("issues", ", ").alias("Issues"),
+        F.coalesce(platform, F.lit("")).alias("Platform"),
+        _blank("isrc").alias("ISRC"),
+    )
+
+
+def json_lines(rows: DataFrame, **parts: list[str]) -> DataFrame:
+    """One JSON text for each row (column value): an object for each part, of the columns it names."""
+    options = {"ignoreNullFields": "false"}
+    return rows.select(F.to_json(F.struct(*[F.struct(*columns).alias(name) for name, columns in parts.items()]), options).alias("value"))
+
+
+def failed_report(failed: DataFrame) -> DataFrame:
+    """Tracks that could not be added, and why, as JSON."""
+    rows = failed.select(F.to_json(F.struct(F.struct("title", "artist", "album", "duration").alias("track"), "reason"), {"ignoreNullFields": "false"}).alias("value"))
+    return rows
+
+
 def metrics_lines(totals: DataFrame, prefix: str) -> DataFrame:
     """Exposition text, one line for each (name, total)."""
     name = F.regexp_replace("name", r"[|=\-]", "_")
