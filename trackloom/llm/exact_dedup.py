@@ -3,9 +3,10 @@
 Every row becomes a small record (digest, row id, length) in the shared folder. Structured Streaming reads the
 records into state kept in RocksDB on the executors' disks and in the checkpoint folder: for each digest the number
 of rows, the smallest id, and the locator (id and length) of the text that stays. There is no watermark, so no key
-expires, and a later stream with the same ``state_path`` continues where an earlier one ended. Whatever shares a digest
-is then compared byte by byte: a group whose smallest and largest text differ holds a collision, and is grouped anew by
-the texts themselves. Text moves only for rows that share a digest, one text for each digest and task at most.
+expires, and a later stream with the same ``state_path`` continues where an earlier one ended: the folder also keeps all
+records, and the texts that a locator stands for. Whatever shares a digest is then compared byte by byte, with texts of
+earlier streams too: a group whose smallest and largest text differ holds a collision, and is grouped anew by the texts
+themselves. Text moves only for rows that share a digest, one text for each digest and task at most.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.shared import materialise, shared_path
+from trackloom.operators.shared import materialise, shared_exists, shared_path
 
 SPACE = r"[\x20\x09-\x0D]+"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -78,15 +79,29 @@ def exact_dedup(
     texts the row with the smallest doc_id stays (a null doc_id is last); of repeated rows with that same doc_id one
     stays. An empty table gives an empty result; other columns of ``docs`` are ignored. Any ``digest`` gives the same
     result: rows that share one are compared in full.
+
+    With a ``state_path`` (a folder that driver and executors share) groups reach over all calls with that path: the
+    rows of this call get the smallest id and the number of rows of all calls so far, and a row that an earlier call
+    has had (same doc_id and text) is not kept again. Rows of a call that fails after it has written its records count.
     """
     spark = docs.sparkSession
+    base = state_path.rstrip("/") if state_path else shared_path(spark, "dedup")
+    path, out = f"{base}/records", f"{base}/changes"
     keyed = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    path = shared_path(spark, "digests")
-    keyed.select("doc_id", "digest", F.octet_length("norm").cast("long").alias("n_bytes")).write.parquet(path)
-    records = spark.read.parquet(path)
-    out, state = shared_path(spark, "dedup-out"), state_path or shared_path(spark, "dedup-state")
-    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    update_state(stream, out, state)
+    record = "doc_id long, digest binary, n_bytes long, run int"
+    run = 0
+    if state_path:
+        known = shared_exists(spark, path)
+        run = (spark.read.schema(record).parquet(path).agg(F.max("run")).first()[0] or 0) + 1 if known else 0
+        keyed.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{base}/texts")
+        keyed = spark.read.schema("doc_id long, norm string, digest binary, run int").parquet(f"{base}/texts")
+        new = keyed.where(F.col("run") == run)
+    else:
+        keyed = new = keyed.withColumn("run", F.lit(0))
+    new.select("doc_id", "digest", F.octet_length("norm").cast("long").alias("n_bytes"), "run").write.mode("append").parquet(path)
+    records = spark.read.schema(record).parquet(path)
+    stream = spark.readStream.schema(record).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    update_state(stream, out, f"{base}/stream")
     schema = "digest binary, keep struct<none: boolean, doc_id: bigint, n_bytes: bigint>, group_size bigint, batch int"
     changes = spark.read.schema(schema).parquet(out)
     # a later batch holds the whole count and the smallest id so far
@@ -99,8 +114,8 @@ def exact_dedup(
     bytes_of = suspects.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
     mixed = materialise(bytes_of.where("lo <> hi").select("digest"), "collisions")
 
-    once = Window.partitionBy("digest", "doc_id").orderBy("n_bytes")
-    rows = records.withColumn("nth", F.row_number().over(once))
+    once = Window.partitionBy("digest", "doc_id").orderBy("run", "n_bytes")
+    rows = records.withColumn("nth", F.row_number().over(once)).where(F.col("run") == run)
     same = rows.join(groups, "digest").select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "digest"
     )
@@ -108,8 +123,8 @@ def exact_dedup(
         return same
     apart = keyed.join(mixed, "digest").withColumn("none", F.col("doc_id").isNull())
     by_text = apart.groupBy("digest", "norm").agg(F.min(F.struct("none", "doc_id")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    nth = F.row_number().over(Window.partitionBy("digest", "norm", "doc_id").orderBy(F.lit(0)))
-    resolved = apart.withColumn("nth", nth).join(by_text, ["digest", "norm"]).select(
+    nth = F.row_number().over(Window.partitionBy("digest", "norm", "doc_id").orderBy("run"))
+    resolved = apart.withColumn("nth", nth).where(F.col("run") == run).join(by_text, ["digest", "norm"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
