@@ -52,7 +52,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(documents(spark, sf_dir)).drop("media", "times", "hashes")
+    return media.media_columns(documents(spark, sf_dir), keep_media=False).drop("media", "times", "hashes")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,16 @@ ORACLES: dict[str, str] = {
              g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
     """,
+    "op5_substring_dedup": r"""
+        WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+             windows AS (SELECT r, unnest(range(1, len(words) - 33)) AS i, words FROM w WHERE len(words) >= 35),
+             same AS (SELECT list({'r': r, 'i': i}) AS places FROM windows GROUP BY words[i:i + 34] HAVING count(*) > 1),
+             hit AS (SELECT p.r AS r, p.i AS i FROM (SELECT unnest(places) AS p FROM same)),
+             gone AS (SELECT r, list(DISTINCT p) AS spots FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM hit) GROUP BY r),
+             kept AS (SELECT w.r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+                      FROM (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w) w
+                      ANTI JOIN (SELECT r, unnest(spots) AS p FROM gone) g ON w.r = g.r AND w.p = g.p GROUP BY w.r)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON kept.r = w.r
+    """,
 }
