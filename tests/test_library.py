@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from trackloom.functions import normalize as N
 from trackloom.functions import parsing as P
 from trackloom.functions import similarity as S
+from trackloom.operators import dedup
 from trackloom.operators.components import connected_components
-from trackloom.operators.shared import with_prefix
+from trackloom.operators.content import is_music
+from trackloom.operators.shared import meet_all, with_prefix
 from trackloom.sources import readers, writers
 from trackloom.streaming import metrics
 
@@ -51,6 +53,25 @@ def test_scalars(spark, function, given, expected):
     assert value(spark, function(F.lit(given).cast("string"))) == expected
 
 
+@pytest.mark.parametrize(
+    "title",
+    ["a podcast", "Episode 3", "chapter  12", "YouTube Shorts", "short", "my vlog", "reaction", "Behind the  Scenes", "making of x", "Audiobook", "Purple Rain", "Nature", "Stand-up", "standup", "funny", "live from y", "Recorded Live", "concert recording", "bootleg", "explicit", "x" * 151],
+)
+def test_what_is_not_music(spark, title):
+    assert not value(spark, is_music(F.lit(title), F.lit("Artist")))
+
+
+@pytest.mark.parametrize("title", ["Song", "Rainbow", "Chapters", "Alive", "Talking Heads", "x" * 150])
+def test_what_is_music(spark, title):
+    assert value(spark, is_music(F.lit(title), F.lit("Artist")))
+
+
+def test_words_that_are_no_artists_or_titles(spark):
+    assert value(spark, N.artist_tokens(F.lit("Various Artists, OST & Soundtrack and VA with Real One"), False)) == ["real one"]
+    words = "song remastered remix version live"
+    assert value(spark, N.strip_versions(F.lit(words))) == "song"
+
+
 def test_times(spark):
     rows = [value(spark, P.time_text(F.lit(s).cast("int"))) for s in (65, 3661, None)]
     assert rows == ["1:05", "1:01:01", ""]
@@ -91,6 +112,37 @@ def test_csv_json_plist(spark, tmp_path):
     assert readers.read_library(spark, str(broken)).count() == 0
 
 
+def test_spotify_json_has_seconds(spark, tmp_path):
+    one = tmp_path / "s.json"
+    one.write_text(json.dumps([{"platform": "spotify", "title": "T", "artist": "A", "duration": d} for d in (1200, "180", "999", None)]))
+    assert [r.duration for r in readers.read_library(spark, str(one)).orderBy("pos").collect()] == [1200, 180, 999, None]
+
+
+def test_a_missing_file_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)not.*(exist|found)"):
+        readers.read_library(spark, str(tmp_path / "none.json"))
+
+
+def test_first_bytes_of_files_and_folders(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "_meta").write_text("no")
+    (tmp_path / "d" / "b.csv").write_text("second")
+    (tmp_path / "d" / "a.csv").write_text("first file")
+    assert readers.head(spark, str(tmp_path / "d"), 5) == b"first" and readers.head(spark, str(tmp_path / "d" / "b.csv")) == b"second"
+
+
+def test_all_of_a_stated_set(spark):
+    asked, rows = spark.range(7).withColumnRenamed("id", "a"), spark.range(11).withColumnRenamed("id", "b")
+    found = [(r.a, r.b) for r in meet_all(asked, rows, 2).collect()]
+    assert sorted(found) == [(a, b) for a in range(7) for b in range(11)]
+
+
+def test_selections(spark):
+    rows = spark.createDataFrame([("g", 1, True), ("g", 2, False), ("h", 3, True)], "group_id string, pos long, winner boolean")
+    ids = lambda *a: sorted(r.pos for r in dedup.picked(rows, *a).collect())
+    assert (ids(), ids("winners"), ids("losers"), ids("all", ["g"]), ids("winners", ["h"])) == ([1, 2, 3], [1, 3], [2], [1, 2], [3])
+
+
 def test_playlist_text(spark, tmp_path):
     lines = tmp_path / "p.txt"
     lines.write_text("Artist - Title - Live\nno separator\n")
