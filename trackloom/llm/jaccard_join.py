@@ -104,8 +104,8 @@ def split(rows: DataFrame, runs: int | None, threshold: float) -> DataFrame:
             token = mixed((fixed(batch.column("sig"), "<u4", TOKENS).astype(np.uint64) | position) + PRIME)
             if runs:
                 # runs take parts of the range of one hash: no token is chosen twice before all are
-                h = mixed(token)
-                chosen = [(np.uint64((r + 1) * int(PRIME) % 2**64), h - np.uint64(r * int(below) % 2**64)) for r in range(runs)]
+                point = mixed(token)
+                chosen = ((np.uint64((r + 1) * int(PRIME) % 2**64), point - np.uint64(r * int(below) % 2**64)) for r in range(runs))
             else:
                 path = batch.column("bucket").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]
                 chosen = [(path, mixed(token + path * np.uint64(0xD1342543DE82EF95)))]
