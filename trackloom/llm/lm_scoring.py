@@ -586,6 +586,9 @@ def lm_scores(docs: DataFrame, folds: int = 10, buckets: int | None = None, bloc
     tables = context_tables(learn, to_codes, slot_bits, max(1, round(n / 2 / TASK_TOKENS)))
     to_halves = sc.broadcast((codes, [joined(tables, "first", slot_bits), joined(tables, "second", slot_bits)]))
     weights, curve = learned(learn, to_halves, max(1, round(n / 2 / block_tokens)))
+    # all that read these is written or here
+    to_halves.destroy()
+    to_codes.destroy()
     whole, rest = float(np.log10(n + SMOOTH * (v + 1))), float(np.log10(rare + SMOOTH * (rare_types + 1)))
     price = np.log10(codes.counts + SMOOTH) - whole
     to_all = sc.broadcast((codes, joined(tables, "every", slot_bits), weights, refined(curve), price))
