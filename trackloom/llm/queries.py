@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import exact_dedup, jaccard_join, language_id, lm_scoring, media, mixing, packing, sharding, substring_dedup, tokens
+from trackloom.llm import conversation_repair, exact_dedup, jaccard_join, language_id, lm_scoring, media, mixing, packing, sharding, substring_dedup, target_sampling, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.importance_sample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_language_id, op4_token_counts, op5_substring_dedup, op6_lm_scoring, op7_ngram_jaccard_join, op8_mixing, op9_sharding, op10_media_columns)
+    f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_language_id, op4_token_counts, op5_substring_dedup, op6_lm_scoring, op7_ngram_jaccard_join, op8_mixing, op9_sharding, op10_media_columns, op11_conversation_repair, op12_target_sampling)
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +97,25 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM w LEFT JOIN kept ON kept.r = w.r
     """,
+    # CRC-32 by its table of 256 entries, over distinct words
+    "op12_target_sampling": r"""
+        WITH RECURSIVE step AS (SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i)
+                UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM step WHERE k < 8),
+             tab AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+             docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+             mine AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(words) AS word FROM docs) GROUP BY 1, 2),
+             theirs AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark) GROUP BY 1),
+             bytes AS (SELECT word, list_transform(range(octet_length(encode(word))), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS INT), 2) AS BIGINT)) AS b FROM (SELECT word FROM mine UNION SELECT word FROM theirs)),
+             buckets AS (SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab),
+             s AS (SELECT bucket, sum(n) AS s FROM mine JOIN buckets USING (word) GROUP BY 1),
+             t AS (SELECT bucket, sum(n) AS t FROM theirs JOIN buckets USING (word) GROUP BY 1),
+             gains AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000.0::DOUBLE))
+                / ((s + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000.0::DOUBLE)))) AS gain FROM s LEFT JOIN t USING (bucket)),
+             weights AS (SELECT r, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM mine JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY 1),
+             scores AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+                FROM docs LEFT JOIN weights USING (r)),
+             places AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scores)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM places
+    """,
 }
