@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import html
+import itertools
 import math
 import random
 import re
 import zlib
 from functools import lru_cache
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.llm import conversation_repair as repair
+from trackloom.llm import html_extraction as extraction
 from trackloom.llm import queries, target_sampling
 
 WHITE = re.compile(r"[^\x20\x09-\x0D]")
@@ -203,3 +207,87 @@ def test_cutoff_key(spark, n, monkeypatch):
     for k in sorted({1, n // 2 or 1, n}):
         assert target_sampling.cutoff(df, k) == sorted(keys)[k - 1]
     df.unpersist()
+
+
+ARTICLE = ["Ein Titel & mehr", "First paragraph with <b>bold</b> words, long enough to be one of the text.", "Zweiter Absatz; auch er ist lang genug, damit man ihn als Text erkennt."]
+
+
+def page_of(lines, seed=0):
+    rng = random.Random(seed)
+    links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(rng.randrange(2, 7)))
+    escaped = [html.escape(x) for x in lines]
+    body = f"<h1>{escaped[0]}</h1>" + "".join(f"<p>\n {x.replace(' ', rng.choice([' ', '  ', ' <b>', '<br>']), 1)} {rng.choice(['</p>', ''])}" for x in escaped[1:])
+    return f"<!DOCTYPE html><html><head><title>T</title><style>p{{x}}</style><script>var a='</p><article>';</script></head><body><nav><ul>{links}</ul></nav><!-- <p>no</p> --><div class=ad>Buy this now, it is cheap.</div><article>{body}</article><footer>&copy; x</footer>" + rng.choice(["</body></html>", ""])
+
+
+def test_marginals_equal_enumeration():
+    """Messages on random trees against the sum over all labellings, nodes and pairs; the gradient against differences."""
+    rng, gen = random.Random(3), np.random.default_rng(3)
+    pages, labels = [], []
+    for size in (1, 2, 5, 9):
+        page = extraction.Page()
+        for i in range(size):
+            page.add(rng.randrange(i) if i else -1, rng.randrange(16), rng.randrange(1 << 10) * (i % 2), i % 4 == 3)
+            page.words[i], page.stops[i] = rng.randrange(60), i % 2
+        pages.append(page)
+        labels.append(gen.integers(0, 2, size))
+    w, e = gen.normal(size=extraction.N_FEATURES), gen.normal(size=(3, 2, 2))
+    p, pair = extraction.Forest(pages).infer(w, e)
+    at = pair_at = 0
+    for page in pages:
+        x, kind = extraction.matrix(page)
+        n = len(page.parent)
+        total, node, both = 0.0, np.zeros(n), np.zeros((n, 2, 2))
+        for y in itertools.product((0, 1), repeat=n):
+            weight = math.exp(sum(x[i] @ w for i in range(n) if y[i]) + sum(e[kind[i]][y[page.parent[i]]][y[i]] for i in range(1, n)))
+            total += weight
+            for i in range(n):
+                node[i] += weight * y[i]
+                if i:
+                    both[i, y[page.parent[i]], y[i]] += weight
+        assert p[at : at + n] == pytest.approx(node / total, abs=1e-6)
+        assert pair[pair_at : pair_at + n - 1] == pytest.approx(both[1:] / total, abs=1e-6)
+        at, pair_at = at + n, pair_at + n - 1
+
+
+def test_trained_model_reads_other_markup():
+    model = extraction.train([(page_of([f"{x} {i}." for x in ARTICLE * 2], i), None) for i in range(40)])
+    given = extraction.train([(page_of([f"{x} {i}." for x in ARTICLE * 2], i), "\n".join(re.sub(r"\s+", " ", x) for x in [f"{x} {i}." for x in ARTICLE * 2])) for i in range(40)])
+    text = "<p>" + "</p><p>".join(map(html.escape, ARTICLE[1:])) + "</p>"
+    noise = "<div class='user-comments'><p>I do not agree with this at all, but it was a good read for me.</p></div><div id=cookieBanner>We use cookies, please accept them all now.</div>"
+    other = f"<body><div class=navbar><a href=x>Home</a></div><div class='post-content'><h2>A title</h2>{text}<form><label>Mail</label><button>Send</button></form>{noise}</div><div class=sidebar>Popular now: one, two and three.</div>"
+    for own in (model, given):
+        assert own.texts([other]) == ["\n".join(["A title", *ARTICLE[1:]])]
+    bare = " ".join(x.replace("<b>", "").replace("</b>", "") for x in ARTICLE[1:] * 3)
+    assert model.texts([f"<div><p>{bare}</p><p>{bare}</p><p>{bare}</p></div>"]) == ["\n".join([bare] * 3)]
+    assert model.texts(["<nav><a href=x>Home</a></nav><footer>Imprint</footer>", ""]) == ["", ""]
+
+
+def test_parsing():
+    runs = lambda x: [t for _, t in extraction.parsed(x).runs]
+    assert runs("a<b>b</b> c<br>d<p>e&nbsp;&amp;\n f<p>g</p>h") == ["ab c d", "e & f", "g", "h"]
+    assert runs("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == ["a", "b", "c", "d"]
+    assert runs("<table><tr><td>a<td>b<tr><td>c</table>d") == ["a", "b", "c", "d"]
+    assert runs("x < y <a title='1 > 0'>z</a> <!-- <p>c --> w<!--->v<!-- open <p>e") == ["x < y z wv"]
+    assert runs("a<script>if (a</b) '</p>'</script>b<STYLE>p{}</style >c<textarea><p>no</textarea><script>open") == ["abc"]
+    assert runs("</p></div>a</span><div>b</section>c</div>d") == ["a", "bc", "d"]
+    deep = extraction.parsed("<div>" * 3000 + "x" + "</div>" * 3000 + "y")
+    assert max(deep.depth) == 3000 and [t for _, t in deep.runs] == ["x", "y"] and deep.runs[1][0] == 0
+    assert len(extraction.Model().texts(["<div>" * 3000 + "x", "<p " * 2000 + "<a b=\"c" * 2000])) == 2
+
+
+def test_main_text_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(extraction, "SLICE_BYTES", 4000)
+    pages = [(i, f"u{i}", page_of([f"{x} {i}." for x in ARTICLE * (1 + i % 3)], i)) for i in range(60)]
+    many = ARTICLE * 3000
+    pages += [(60, "long", page_of(many, 1)), (61, None, None), (62, "e", ""), (None, "n", pages[3][2]), (5, "u5", pages[5][2]), (63, "w", " \n\t<p> </p>")]
+    spark.createDataFrame([(*p, 1, "x") for p in pages], "page_id long, url string, html string, n_chars int, text string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.op13_html_extraction(spark, str(tmp_path))
+    assert out.dtypes == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
+    clean = lambda lines: "\n".join(" ".join(x.split()) for x in lines)
+    texts = {i: clean([f"{x} {i}." for x in ARTICLE * (1 + i % 3)]) for i in range(60)} | {60: clean(many), 61: "", 62: "", 63: ""}
+    texts[None] = texts[3]
+    expected = sorted(((i, u, texts[i], len(texts[i])) for i, u, _ in pages), key=repr)
+    assert sorted(map(tuple, out.collect()), key=repr) == expected
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert extraction.main_text(empty).collect() == []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import conversation_repair, exact_dedup, jaccard_join, language_id, lm_scoring, media, mixing, packing, sharding, substring_dedup, target_sampling, tokens
+from trackloom.llm import conversation_repair, exact_dedup, html_extraction, jaccard_join, language_id, lm_scoring, media, mixing, packing, sharding, substring_dedup, target_sampling, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,12 @@ def op12_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_sampling.importance_sample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_language_id, op4_token_counts, op5_substring_dedup, op6_lm_scoring, op7_ngram_jaccard_join, op8_mixing, op9_sharding, op10_media_columns, op11_conversation_repair, op12_target_sampling)
+    f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_language_id, op4_token_counts, op5_substring_dedup, op6_lm_scoring, op7_ngram_jaccard_join, op8_mixing, op9_sharding, op10_media_columns, op11_conversation_repair, op12_target_sampling, op13_html_extraction)
 }
 
 ORACLES: dict[str, str] = {
