@@ -394,9 +394,16 @@ def train(labelled: list[tuple[str, str | None]], variants: int = 3, seed: int =
 
 
 def sampled(pages: DataFrame, n: int, longest: int) -> list[tuple[str, None]]:
-    """``n`` pages of at most ``longest`` characters, by the hash of the page, for :func:`train`."""
-    some = pages.where(F.length("html") <= longest).select("html").withColumn("h", F.xxhash64("html")).orderBy("h", "html").limit(n)
-    return [(r.html, None) for r in some.collect()]
+    """Of the ``n`` pages with the least hashes of id and address those of at most ``longest`` characters, for :func:`train`.
+
+    Hashes are compared first, so that a task sends ``n`` numbers and the driver gets ``n`` pages, however many there are.
+    """
+    rows = pages.select("html", F.xxhash64("page_id", "url").alias("h"))
+    least = [r.h for r in rows.select("h").orderBy("h").limit(n).collect()]
+    if not least:
+        return []
+    some = rows.where((F.col("h") <= least[-1]) & (F.length("html") <= longest)).limit(n).collect()
+    return [(r.html, None) for r in sorted(some, key=lambda r: (r.h, r.html))]
 
 
 def main_text(pages: DataFrame, model: Model | None = None, labelled: int = 200, longest: int = 50_000) -> DataFrame:
