@@ -23,13 +23,19 @@ ACCEPT_BASE = {True: 0.82, False: 0.75}
 ACCEPT_B = {True: 0.85, False: 0.75}
 
 
-def common(a: str, b: str) -> int:
-    """Length of the longest common subsequence: one bit for each letter of ``a``, one step for each of ``b``."""
-    if not a or not b:
-        return 0
+def places_of(a: str) -> dict[str, int]:
+    """For each letter of ``a`` the bits of its places."""
     places: dict[str, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
+    return places
+
+
+def common(a: str, b: str, places: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence: one bit for each letter of ``a``, one step for each of ``b``."""
+    if not a or not b:
+        return 0
+    places = places_of(a) if places is None else places
     full = (1 << len(a)) - 1
     row = full
     for x in b:
@@ -66,21 +72,34 @@ def partial_ratio(a: str, b: str) -> float:
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long else 0.0
+    most = common(short, long)
 
     def best(s: str, t: str) -> float:
-        n = len(s)
-        return max(ratio(s, t[max(0, i) : i + n]) for i in range(1 - n, len(t)))
+        n, top, places = len(s), 0.0, places_of(s)
+        for i in sorted(range(1 - n, len(t)), key=lambda i: not 0 <= i <= len(t) - n):  # whole windows first
+            window = t[max(0, i) : i + n]
+            # a window has no more in common than the whole text has
+            if 200.0 * min(most, len(window)) / (n + len(window)) > top:
+                top = max(top, 200.0 * common(s, window, places) / (n + len(window)))
+        return top
 
     return max(best(short, long), best(long, short)) if len(short) == len(long) else best(short, long)
 
 
-def title_kernel(a: str | None, b: str | None, strict: bool) -> float:
+def title_kernel(a: str | None, b: str | None, strict: bool, least: float = 0.0) -> float:
+    """The title score; 0 where it can't reach ``least`` (up to 0.85) without the windows, which cost most."""
     if not a or not b:
         return 0.0
-    score = 0.4 * token_set_ratio(a, b) / 100 + 0.4 * token_sort_ratio(a, b) / 100 + 0.2 * partial_ratio(a, b) / 100
-    short = max(len(a.split()), len(b.split())) < 3
-    least = (0.96 if short else 0.92) if strict else (0.92 if short else 0.85)
-    return min(1.0, score * 1.02) if score >= least else score
+    words = 0.4 * token_set_ratio(a, b) / 100 + 0.4 * token_sort_ratio(a, b) / 100
+    if least and words + 0.2 < least:
+        return 0.0
+    short, most = min(len(a), len(b)), common(a, b)
+    if least and words + 0.4 * min(most, short) / (short + min(most, short)) < least - 1e-9:
+        return 0.0
+    score = words + 0.2 * partial_ratio(a, b) / 100
+    few = max(len(a.split()), len(b.split())) < 3
+    premium = (0.96 if few else 0.92) if strict else (0.92 if few else 0.85)
+    return min(1.0, score * 1.02) if score >= premium else score
 
 
 def lcs_share(a: str | None, b: str | None) -> float:
@@ -105,10 +124,11 @@ def _pairs(kernel):
     return udf
 
 
-def title_similarity(a: Column, b: Column, strict: bool = True, scorer: str = "fuzzy") -> Column:
+def title_similarity(a: Column, b: Column, strict: bool = True, scorer: str = "fuzzy", least: float = 0.0) -> Column:
+    """The title score, exact from ``least`` on and 0 or exact below."""
     if scorer == "equality":
         return F.when((a != "") & (F.lower(a) == F.lower(b)), 1.0).otherwise(0.0)
-    return _pairs(lambda x, y: title_kernel(x, y, strict))(a, b)
+    return _pairs(lambda x, y: title_kernel(x, y, strict, least))(a, b)
 
 
 def cached_ratio(a: Column, b: Column, scorer: str = "fuzzy") -> Column:
@@ -156,12 +176,12 @@ def same_isrc(a: Column, b: Column) -> Column:
 def confidence(s: str, t: str, strict: bool = True, use_duration: bool = True, use_album: bool = False, scorer: str = "fuzzy") -> Column:
     """Score of the first matcher between the track columns prefixed ``s`` and ``t``: weighted mean, or 1 by ISRC.
 
-    ``scorer="fuzzy_known"`` takes the title's similarity from the column ``__title``.
+    ``scorer="fuzzy_known"`` takes the title's similarity from the column ``__title``; so does ``"fuzzy_tokens"``, for
+    pairs that both have artist tokens.
     """
     c = lambda side, name: F.col(f"{side}_{name}")
-    title = F.col("__title") if scorer == "fuzzy_known" else title_similarity(c(s, "nt"), c(t, "nt"), strict, scorer)
-    scorer = "fuzzy" if scorer == "fuzzy_known" else scorer
-    artist = artist_similarity(c(s, "tokens"), c(t, "tokens"), c(s, "na"), c(t, "na"), scorer)
+    title = F.col("__title") if scorer in ("fuzzy_known", "fuzzy_tokens") else title_similarity(c(s, "nt"), c(t, "nt"), strict, scorer)
+    artist = artist_similarity(c(s, "tokens"), c(t, "tokens"), c(s, "na"), c(t, "na"), "equality" if scorer == "fuzzy_tokens" else scorer)
     album = album_similarity(c(s, "album"), c(t, "album"), scorer) if use_album else F.lit(0.5)
     length = duration_similarity(c(s, "duration"), c(t, "duration"), strict) if use_duration else F.lit(0.5)
     w = WEIGHTS

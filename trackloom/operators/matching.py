@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import similarity as S
 from trackloom.functions.normalize import text
-from trackloom.operators.shared import materialise
+from trackloom.operators.shared import materialise, spread
+from trackloom.operators.title_index import similar_titles
 
 FIELDS = ("pos", "title", "artist", "album", "duration", "isrc", "year", "nt", "na", "tokens", "base")
 NO_WORD_LIMIT = 50
@@ -42,12 +43,12 @@ def isrc_matches(s: DataFrame, t: DataFrame) -> DataFrame:
 
 def exact_matches(s: DataFrame, t: DataFrame, score: Column) -> DataFrame:
     """Equal normalised title and artist: 0.95, or a later candidate that scores above that."""
-    hit = s.join(t, (F.col("s_nt") == F.col("t_nt")) & (F.col("s_na") == F.col("t_na")))
+    hit = s.join(target_keys(t), (F.col("s_nt") == F.col("t_nt")) & (F.col("s_na") == F.col("t_na")))
     hit = hit.withColumn("__score", F.when(score > 0.95, score).otherwise(0.95))
-    hit = hit.withColumn("__many", F.count(F.lit(1)).over(Window.partitionBy("s_pos")))
+    hit = hit.withColumn("__many", F.sum("t_n").over(Window.partitionBy("s_pos")))
     hit = hit.withColumn("confidence", F.when(F.col("__many") > 1, F.col("__score")).otherwise(0.95))
-    best = first_by(hit, "s_pos", F.col("confidence").desc(), F.col("t_pos"))
-    return best.drop("__score", "__many").withColumn("match_type", F.lit("exact"))
+    best = first_by(hit, "s_pos", F.col("confidence").desc(), F.col("t_pos")).select(*s.columns, "t_pos", "confidence")
+    return best.join(t, "t_pos").withColumn("match_type", F.lit("exact"))
 
 
 def base_candidates(s: DataFrame, t: DataFrame) -> DataFrame:
@@ -55,9 +56,9 @@ def base_candidates(s: DataFrame, t: DataFrame) -> DataFrame:
 
 
 def base_matches(s: DataFrame, t: DataFrame, score: Column, least: float) -> DataFrame:
-    hit = base_candidates(s, t).withColumn("confidence", score)
-    best = first_by(hit, "s_pos", F.col("confidence").desc(), F.col("t_pos"))
-    return best.where(F.col("confidence") >= least).withColumn("match_type", F.lit("fuzzy"))
+    hit = base_candidates(s, target_keys(t)).withColumn("confidence", score)
+    best = first_by(hit, "s_pos", F.col("confidence").desc(), F.col("t_pos")).select(*s.columns, "t_pos", "confidence")
+    return best.where(F.col("confidence") >= least).join(t, "t_pos").withColumn("match_type", F.lit("fuzzy"))
 
 
 def words_of(name: str) -> Column:
@@ -90,28 +91,10 @@ def candidates(s: DataFrame, t: DataFrame) -> DataFrame:
     return pairs.join(s, "s_pos").join(t, "t_pos")
 
 
-def reaching_candidates(s: DataFrame, t: DataFrame, scorer: str) -> DataFrame:
-    """The candidates that can score 0.72 or more, without making the others.
-
-    Without a common artist token a pair has at most (0.45 + 0.10 + 0.05) / 0.95 = 0.64, unless a side has no token;
-    with ``scorer="equality"`` a pair with different titles has at most (0.35 + 0.10 + 0.05) / 0.95 = 0.53. Equal
-    identifiers score 1 in any case.
-    """
-    s, t = s.withColumn("s_words", words_of("s")), t.withColumn("t_words", words_of("t"))
-    code = lambda n: F.lower(F.trim(F.col(f"{n}_isrc")))
-    pairs = s.where(text(F.col("s_isrc")) != "").join(t, code("s") == code("t"))
-    if scorer == "equality":
-        pairs = pairs.unionByName(s.join(t, F.col("s_nt") == F.col("t_nt")))
-    else:
-        token = lambda df, n: df.select(f"{n}_pos", F.explode(f"{n}_tokens").alias("token"))
-        shared = token(s, "s").join(token(t, "t"), "token").select("s_pos", "t_pos").distinct()
-        bare_s, bare_t = s.where(F.size("s_tokens") == 0), t.where(F.size("t_tokens") == 0)
-        bare = word_candidates(bare_s, t).unionByName(word_candidates(s, bare_t))
-        pairs = pairs.unionByName(shared.unionByName(bare).distinct().join(s, "s_pos").join(t, "t_pos"))
-    pairs = pairs.where(F.arrays_overlap("s_words", "t_words"))
-    alone = fallback_candidates(s, t).join(s, "s_pos").join(t, "t_pos")
-    # a pair that comes twice is harmless: the best is one row by number
-    return pairs.unionByName(alone).drop("s_words", "t_words")
+def target_keys(t: DataFrame) -> DataFrame:
+    """Targets that score alike with any source, once: the first ``t_pos`` of each, and how many there are (``t_n``)."""
+    same = [f"t_{c}" for c in FIELDS if c not in ("pos", "title", "artist", "year")]
+    return t.groupBy(*same).agg(F.min("t_pos").alias("t_pos"), F.count(F.lit(1)).alias("t_n"))
 
 
 def search_results(scored: DataFrame, n: int = 10) -> DataFrame:
@@ -127,26 +110,62 @@ def best_fuzzy(scored: DataFrame, least: float) -> DataFrame:
     return best.where(F.col("confidence") >= least)
 
 
-def reachable(strict: bool, use_duration: bool, use_album: bool) -> Column:
-    """The score with a perfect title: pairs below the threshold even so never reach the title kernel."""
+def rest_of_score(strict: bool, use_duration: bool, use_album: bool) -> Column:
+    """What a score can have besides the title's part, without a kernel: a pair without tokens or with albums has most."""
     length = S.duration_similarity(F.col("s_duration"), F.col("t_duration"), strict) if use_duration else F.lit(0.5)
     artist = S.artist_similarity(F.col("s_tokens"), F.col("t_tokens"), F.col("s_na"), F.col("t_na"), "equality")
     bare = (F.size("s_tokens") == 0) | (F.size("t_tokens") == 0)
-    top = (0.45 + F.when(bare, 1.0).otherwise(artist) * 0.35 + (0.10 if use_album else 0.05) + length * 0.05) / 0.95
-    return F.when(S.same_isrc(F.col("s_isrc"), F.col("t_isrc")), 1.0).otherwise(top)
+    return F.when(bare, 1.0).otherwise(artist) * 0.35 + (0.10 if use_album else 0.05) + length * 0.05
+
+
+def least_title(strict: bool, use_duration: bool, use_album: bool) -> float:
+    """No pair with a lower title score is accepted, however equal all else is."""
+    return (S.ACCEPT_FUZZY[strict] * 0.95 - 0.35 - (0.10 if use_album else 0.05) - (0.05 if use_duration else 0.025)) / 0.45
+
+
+def scored_pairs(s: DataFrame, t: DataFrame, strict: bool, use_duration: bool, use_album: bool, scorer: str) -> DataFrame:
+    """(s_pos, t_pos, confidence) of the candidates that can be accepted; a pair may come twice.
+
+    Without a common artist token a pair has at most (0.45 + 0.10 + 0.05) / 0.95 = 0.64, unless a side has no token or
+    both have one identifier: pairs are made by token and similar titles, and those cases apart. Titles are scored as
+    distinct pairs of a token (``scorer="equality"``: equal ones), whole rows are joined to the best pair alone.
+    """
+    least = S.ACCEPT_FUZZY[strict]
+    used = ("pos", "nt", "na", "tokens", "duration", "isrc", *(("album",) if use_album else ()))
+    narrow = lambda df, n: df.select(*[f"{n}_{c}" for c in used]).withColumn(f"{n}_words", words_of(n))
+    first = t.select("t_pos").orderBy("t_pos").limit(NO_WORD_LIMIT)
+    alone = fallback_candidates(s, t).join(narrow(s, "s"), "s_pos").join(narrow(t.join(F.broadcast(first), "t_pos"), "t"), "t_pos")
+    s, t = narrow(s, "s"), narrow(target_keys(t), "t")
+
+    def score(pairs: DataFrame, kind: str) -> DataFrame:
+        pairs = pairs.where((F.col("__title") * 0.45 + rest_of_score(strict, use_duration, use_album)) / 0.95 >= least - 1e-9)
+        return pairs.select("s_pos", "t_pos", S.confidence("s", "t", strict, use_duration, use_album, kind).alias("confidence"))
+
+    code = lambda n: F.lower(F.trim(F.col(f"{n}_isrc")))
+    same = s.where(text(F.col("s_isrc")) != "").join(t, code("s") == code("t")).where(F.arrays_overlap("s_words", "t_words"))
+    same = same.where(S.same_isrc(F.col("s_isrc"), F.col("t_isrc"))).select("s_pos", "t_pos", F.lit(1.0).alias("confidence"))
+    by_token = lambda df, n: df.where(F.size(f"{n}_tokens") > 0).withColumn("token", F.explode(F.array_distinct(f"{n}_tokens")))
+    left, right = by_token(s, "s"), by_token(t, "t")
+    bare_s, bare_t = s.where(F.size("s_tokens") == 0), t.where(F.size("t_tokens") == 0)
+    if scorer == "equality":
+        equal = F.col("s_nt") == F.col("t_nt")
+        pairs = left.join(right, (left.token == right.token) & equal).drop("token")
+        pairs = pairs.unionByName(bare_s.join(t, equal)).unionByName(s.where(F.size("s_tokens") > 0).join(bare_t, equal))
+        pairs = pairs.where(F.arrays_overlap("s_words", "t_words")).unionByName(alone)
+        return score(pairs.withColumn("__title", S.title_similarity(F.col("s_nt"), F.col("t_nt"), strict, scorer)), scorer).unionByName(same)
+    titles = similar_titles(left.select("token", "s_nt"), right.select("token", "t_nt"), least_title(strict, use_duration, use_album), strict, ["token"])
+    pairs = left.join(titles.withColumnRenamed("title", "__title"), ["token", "s_nt"]).join(right, ["token", "t_nt"]).where(F.arrays_overlap("s_words", "t_words"))
+    bare = word_candidates(bare_s, t).unionByName(word_candidates(s, bare_t)).distinct().join(s, "s_pos").join(t, "t_pos")
+    bare = bare.unionByName(alone).withColumn("__title", F.lit(1.0)).where((0.45 + rest_of_score(strict, use_duration, use_album)) / 0.95 >= least - 1e-9).drop("__title")
+    scores = spread(bare.select("s_nt", "t_nt").distinct(), "s_nt", "t_nt").withColumn("__title", S.title_similarity(F.col("s_nt"), F.col("t_nt"), strict))
+    bare = score(bare.join(scores, ["s_nt", "t_nt"]), "fuzzy_known")
+    return score(pairs, "fuzzy_tokens").unionByName(bare).unionByName(same)
 
 
 def fuzzy_matches(s: DataFrame, t: DataFrame, strict: bool = True, use_duration: bool = True, use_album: bool = False, scorer: str = "fuzzy") -> DataFrame:
-    pairs, least = reaching_candidates(s, t, scorer), S.ACCEPT_FUZZY[strict]
-    if scorer == "fuzzy":
-        pairs = pairs.where(reachable(strict, use_duration, use_album) >= least - 1e-9)
-        titles = pairs.select("s_nt", "t_nt").distinct()
-        titles = titles.withColumn("__title", S.title_similarity(F.col("s_nt"), F.col("t_nt"), strict))
-        pairs = pairs.join(titles, ["s_nt", "t_nt"])
-        score = S.confidence("s", "t", strict, use_duration, use_album, "fuzzy_known")
-    else:
-        score = S.confidence("s", "t", strict, use_duration, use_album, scorer)
-    return best_fuzzy(pairs.withColumn("confidence", score), least).drop("__title").withColumn("match_type", F.lit("fuzzy"))
+    scored = scored_pairs(s, t, strict, use_duration, use_album, scorer)
+    best = best_fuzzy(scored, S.ACCEPT_FUZZY[strict])
+    return s.join(best, "s_pos").join(t, "t_pos").withColumn("match_type", F.lit("fuzzy"))
 
 
 def match_libraries(source: DataFrame, target: DataFrame, strict: bool = True, use_duration: bool = True, use_album: bool = False, scorer: str = "fuzzy", music_only: bool = True) -> DataFrame:

@@ -50,6 +50,11 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows over all shuffle partitions: few bytes, but a kernel's or a join's work for each, so they aren't to be coalesced."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def meet_all(asked: DataFrame, rows: DataFrame, size: int = 500) -> DataFrame:
     """Every row of a stated set with every one of ``rows``: a join by block, of about ``size`` asked rows each.
 
