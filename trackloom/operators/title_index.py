@@ -16,7 +16,7 @@ from trackloom.operators.shared import materialise, spread
 #: Titles of one block and side in a salted part, about.
 PART = 500
 #: Letters whose first two occurrences have a bit each; those that may have two more; other characters with their limits.
-TWICE, FOUR_TIMES, OTHERS = "abcdefghijklmnopqrstuvwxyz", "aeilnorst", {" ": 8, **dict.fromkeys("0123456789", 1)}
+TWICE, FOUR_TIMES, OTHERS = "abcdefghijklmnopqrstuvwxyz", "aeilnorst", {" ": 8, **dict.fromkeys("0123456789", 2)}
 
 
 def letter_mask(column: str, bits: list[tuple[str, int, int]]) -> str:
@@ -29,16 +29,23 @@ def letter_mask(column: str, bits: list[tuple[str, int, int]]) -> str:
     return f"aggregate(array({', '.join(parts)}), 0L, (mask, b) -> mask + shiftleft(shiftleft(1L, least(greatest({count}, 0), b.n)) - 1L, b.at))"
 
 
+def masked(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with length and letters of column ``text``: two masks, and how many characters they don't hold.
+
+    Two texts have at most as many characters in common as bits in common and the lesser number of others.
+    """
+    one, two = F.expr(letter_mask(text, [(x, 0, 2) for x in TWICE])), F.expr(letter_mask(text, [(x, 2, 2) for x in FOUR_TIMES] + [(x, 0, n) for x, n in OTHERS.items()]))
+    rows = rows.withColumns({f"{name}_length": F.length(text), f"{name}_one": one, f"{name}_two": two})
+    return rows.withColumn(f"{name}_rest", F.col(f"{name}_length") - F.bit_count(f"{name}_one") - F.bit_count(f"{name}_two"))
+
+
 def signed(titles: DataFrame, title: str, name: str) -> DataFrame:
     """``titles`` with what bounds need of column ``title``: length, masks and distinct words of the words in order."""
     split = F.filter(F.split(F.col(title), r"(?U)\s+"), lambda w: w != "")
     own = titles.withColumn("__words", F.sort_array(split)).withColumn("__sorted", F.array_join("__words", " "))
-    # two texts have at most as many characters in common as bits in common and the lesser number of others
-    one, two = F.expr(letter_mask("__sorted", [(x, 0, 2) for x in TWICE])), F.expr(letter_mask("__sorted", [(x, 2, 2) for x in FOUR_TIMES] + [(x, 0, n) for x, n in OTHERS.items()]))
     distinct = F.array_distinct("__words")
-    out = {"length": F.length("__sorted"), "one": one, "two": two, "words": distinct, "repeats": F.size(distinct) < F.size("__words")}
-    own = own.withColumns({f"{name}_{k}": v for k, v in out.items()}).drop("__words", "__sorted")
-    return own.withColumn(f"{name}_rest", F.col(f"{name}_length") - F.bit_count(f"{name}_one") - F.bit_count(f"{name}_two"))
+    own = masked(own, "__sorted", name).withColumns({f"{name}_words": distinct, f"{name}_repeats": F.size(distinct) < F.size("__words")})
+    return own.drop("__words", "__sorted")
 
 
 def most_common(a: str, b: str) -> Column:
