@@ -134,7 +134,7 @@ def test_op10(results, rows):
     assert all(len(v) == 1 for v in by_text.values())
 
 
-@pytest.mark.parametrize("name", list(queries.ORACLES))
+@pytest.mark.parametrize("name", [x for x in queries.ORACLES if x in COLUMNS])
 def test_sql(results, folder, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")

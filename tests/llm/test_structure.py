@@ -11,11 +11,13 @@ import re
 import zlib
 from functools import lru_cache
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.llm import conversation_repair as repair
+from trackloom.llm import exact_dedup as dedup
 from trackloom.llm import html_extraction as extraction
 from trackloom.llm import queries, target_sampling
 
@@ -191,6 +193,21 @@ def test_importance_sample(spark, percent, least, runs, buckets, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=repr) == sample_by_hand(docs, target, percent, least, runs, buckets, 2024)
 
 
+def test_importance_sample_query_and_sql(spark, tmp_path):
+    rng = random.Random(8)
+    vocab = ["Alpha", "beta", "Übung", "x1", "ÀB", "don't", "a-b", "Zed"]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(60)))) for i in range(150)] + [(None, "beta " * 30), (150, None), (151, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "zed zed übung beta"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    told = con.execute(queries.ORACLES["op12_target_sampling"])
+    names = [c[0] for c in told.description]
+    found = queries.op12_target_sampling(spark, str(tmp_path))
+    assert sorted(map(tuple, found.select(*names).collect()), key=repr) == sorted(told.fetchall(), key=repr)
+
+
 def test_importance_sample_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c " * 10)], "doc_id long, text string")
     none, target = docs.where("doc_id = 0"), docs.select("text")
@@ -291,3 +308,53 @@ def test_main_text_query(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, out.collect()), key=repr) == expected
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert extraction.main_text(empty).collect() == []
+
+
+def verdicts(rows):
+    return sorted((tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept")) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("fails_at", ["texts", "records", "stream"])
+def test_exact_dedup_goes_on_after_a_failed_call(spark, tmp_path, monkeypatch, fails_at):
+    """A call stopped after its texts, its records or its marker, then repeated with its id, and one call more."""
+    calls = [[(1, "a"), (2, "b"), (3, "a")], [(4, "b"), (5, "c  d"), (5, "c  d"), (6, "lost")], [(7, "zz"), (8, "lost"), (9, "c d")]]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    whole, broken = f"{tmp_path}/whole", f"{tmp_path}/broken"
+    expected = [verdicts(dedup.exact_dedup(make(rows), state_path=whole, run_id=str(i)).collect()) for i, rows in enumerate(calls)]
+    assert expected[2] == [(7, 7, 1, True), (8, 6, 2, False), (9, 5, 3, False)]
+
+    found = [verdicts(dedup.exact_dedup(make(calls[0]), state_path=broken, run_id="0").collect())]
+    with monkeypatch.context() as m:
+
+        def stop(*_, **__):
+            raise RuntimeError("stopped")
+
+        if fails_at == "stream":
+            m.setattr(dedup, "update_state", stop)
+        else:
+            m.setattr(dedup.F, "octet_length" if fails_at == "texts" else "struct", stop)
+        if fails_at == "records":
+            # the records are there, the marker is not
+            m.undo()
+            m.setattr(type(spark), "createDataFrame", stop)
+            rows = spark.range(4, 7).selectExpr("id AS doc_id", "element_at(array('b', 'c  d', 'lost'), CAST(id - 3 AS INT)) AS text")
+            rows = rows.unionByName(rows.where("doc_id = 5"))
+        else:
+            rows = make(calls[1])
+        with pytest.raises(RuntimeError, match="stopped"):
+            dedup.exact_dedup(rows, state_path=broken, run_id="1")
+    found += [verdicts(dedup.exact_dedup(make(rows), state_path=broken, run_id=str(i)).collect()) for i, rows in enumerate(calls) if i]
+    assert found == expected
+    # repeated once more, it changes nothing
+    again = verdicts(dedup.exact_dedup(make(calls[2]), state_path=broken, run_id="2").collect())
+    assert again == expected[2]
+
+
+def test_exact_dedup_forgets_a_call_that_never_came_to_its_marker(spark, tmp_path):
+    """Texts that a dead call has left are neither counted nor told, whoever calls next."""
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    state = f"{tmp_path}/state"
+    dedup.exact_dedup(make([(1, "a")]), state_path=state).collect()
+    orphans = make([(1, "lost"), (7, "zz")]).selectExpr("doc_id", "text AS norm", "unhex(sha2(text, 256)) AS digest")
+    orphans.write.parquet(f"{state}/texts/run=1")
+    assert verdicts(dedup.exact_dedup(make([(7, "zz")]), state_path=state).collect()) == [(7, 7, 1, True)]

@@ -14,7 +14,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.shared import materialise, shared_exists, shared_path
@@ -67,11 +67,21 @@ def update_state(records: DataFrame, out_path: str, state_path: str) -> None:
         )
 
 
+def next_run(spark: SparkSession, path: str, run_id: str | None) -> tuple[int, bool]:
+    """The number of this call's run, and whether ``run_id`` is marked as written already."""
+    if not shared_exists(spark, path):
+        return 0, False
+    runs = spark.read.schema("run int, run_id string").option("recursiveFileLookup", "true").parquet(path)
+    same = runs.where(F.col("run_id") == F.lit(run_id)).agg(F.max("run")).first()[0]
+    return (same, True) if same is not None else ((runs.agg(F.max("run")).first()[0] or 0) + (0 if runs.isEmpty() else 1), False)
+
+
 def exact_dedup(
     docs: DataFrame,
     digest: Callable[[Column], Column] = sha256,
     files_per_trigger: int = 1000,
     state_path: str | None = None,
+    run_id: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, digest.
 
@@ -82,23 +92,30 @@ def exact_dedup(
 
     With a ``state_path`` (a folder that driver and executors share) groups reach over all calls with that path: the
     rows of this call get the smallest id and the number of rows of all calls so far, and a row that an earlier call
-    has had (same doc_id and text) is not kept again. Rows of a call that fails after it has written its records count.
+    has had (same doc_id and text) is not kept again. One call at a time.
+
+    A call's rows count from the moment that its marker is written, after its texts and records and before the stream.
+    What a call that failed earlier has left is overwritten by the next one. A call that failed later is repeated with
+    the same ``run_id``: rows already marked under it are not written again, and the result is that of one whole call.
     """
     spark = docs.sparkSession
     base = state_path.rstrip("/") if state_path else shared_path(spark, "dedup")
     path, out = f"{base}/records", f"{base}/changes"
     keyed = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
     record = "doc_id long, digest binary, n_bytes long, run int"
-    run = 0
+    run, marked = 0, False
     if state_path:
-        known = shared_exists(spark, path)
-        run = (spark.read.schema(record).parquet(path).agg(F.max("run")).first()[0] or 0) + 1 if known else 0
-        keyed.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{base}/texts")
+        run, marked = next_run(docs.sparkSession, f"{base}/runs", run_id)
+        if not marked:
+            keyed.write.mode("overwrite").parquet(f"{base}/texts/run={run}")
         keyed = spark.read.schema("doc_id long, norm string, digest binary, run int").parquet(f"{base}/texts")
-        new = keyed.where(F.col("run") == run)
+        new = keyed.where(F.col("run") == run).drop("run")
     else:
-        keyed = new = keyed.withColumn("run", F.lit(0))
-    new.select("doc_id", "digest", F.octet_length("norm").cast("long").alias("n_bytes"), "run").write.mode("append").parquet(path)
+        new, keyed = keyed, keyed.withColumn("run", F.lit(0))
+    if not marked:
+        new.select("doc_id", "digest", F.octet_length("norm").cast("long").alias("n_bytes")).write.mode("overwrite").parquet(f"{path}/run={run}")
+        if state_path:
+            spark.createDataFrame([(run, run_id)], "run int, run_id string").coalesce(1).write.mode("overwrite").parquet(f"{base}/runs/{run}")
     records = spark.read.schema(record).parquet(path)
     stream = spark.readStream.schema(record).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     update_state(stream, out, f"{base}/stream")
