@@ -34,18 +34,23 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+#: RocksDB keeps its memory outside the JVM's heap: one budget for all open stores of an executor, small write buffers.
+BOUNDED = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "128", "writeBufferSizeMB": "8"}
+
+
 @contextlib.contextmanager
 def _rocksdb(spark):
     """State in RocksDB; each store is closed when its task ends, so open stores are as many as running tasks."""
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
-    old = {k: spark.conf.get(k) for k in wanted}
+    wanted |= {f"spark.sql.streaming.stateStore.rocksdb.{k}": v for k, v in BOUNDED.items()}
+    old = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         yield
     finally:
         for k, v in old.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def update_state(records: DataFrame, out_path: str, state_path: str) -> None:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trackloom.llm.arrow_text import PRIME, byte_slices, mixed, strings, word_hashes
+from trackloom.llm.arrow_text import PRIME, byte_slices, frugal, give_back, mixed, strings, word_hashes
 from trackloom.operators.components import connected_components
 from trackloom.operators.shared import materialise, with_prefix
 
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     keys[i], sizes[i], sigs[i] = np.array([own.sum(), mixed(own + PRIME).sum()], "<u8").tobytes(), len(own), sig[row].tobytes()
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys, pa.binary()), pa.array(sizes), pa.array(sigs, pa.binary())], ["doc_id", "key", "n", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, key binary, n long, sig binary")
 
 
 def fixed(column: pa.Array, dtype: str, width: int) -> np.ndarray:
@@ -115,7 +115,7 @@ def split(rows: DataFrame, runs: int | None, threshold: float) -> DataFrame:
                     bucket = mixed(token[row, col] + np.uint64(1) ^ np.broadcast_to(path, h.shape)[row, col]).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), *[batch.column(c).take(pa.array(row)) for c in kept]], ["bucket", *kept])
 
-    return rows.mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in kept))
+    return rows.mapInArrow(frugal(run), "bucket long, " + ", ".join(f"{c} binary" for c in kept))
 
 
 def agreeing(pairs: DataFrame, least: float) -> DataFrame:
@@ -127,7 +127,7 @@ def agreeing(pairs: DataFrame, least: float) -> DataFrame:
                 same = (fixed(batch.column("sig_a"), "<u4", TOKENS) == fixed(batch.column("sig_b"), "<u4", TOKENS)).mean(1)
                 yield batch.select(["a", "b"]).filter(pa.array(same >= least))
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.mapInArrow(frugal(run), "a binary, b binary")
 
 
 def runs_for(recall: float, depth: int) -> int:
@@ -300,7 +300,7 @@ def classed(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, smal
                 found = [(k, own.astype("<u8").tobytes()) for k, (key, own) in zip(keys[a:b], sets(part.slice(a, b - a)), strict=True) if k == key]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["key", "own"])
 
-    sets_ = texts.mapInArrow(shingled, "key binary, own binary").dropDuplicates(["key"])
+    sets_ = texts.mapInArrow(frugal(shingled), "key binary, own binary").dropDuplicates(["key"])
     shards = max(1, total // 1000)
     dealt = units.join(sets_, "key").withColumn("shard", F.pmod(F.xxhash64("component", "i", "j"), F.lit(shards)))
 
@@ -310,6 +310,7 @@ def classed(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, smal
             unit = unit.sort_values("key", ignore_index=True)
             links, first = compared(unit, threshold)
             out.append(pd.DataFrame({"a": unit["key"], "b": unit["key"].to_numpy()[first], "links": links}))
+        give_back()
         return pd.concat(out)
 
     checked = materialise(dealt.groupBy("shard").applyInPandas(verify, "a binary, b binary, links long"), "checked")
@@ -345,7 +346,7 @@ def keyed(docs: DataFrame) -> DataFrame:
                 keys = pa.array([key for key, _ in sets(texts.slice(a, b - a))], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, keys], [*batch.schema.names, "__key"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__key", "binary"))
+    return docs.mapInArrow(frugal(run), StructType([*docs.schema.fields]).add("__key", "binary"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

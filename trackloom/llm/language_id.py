@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.arrow_text import byte_slices, encoded, raw, strings, words
+from trackloom.llm.arrow_text import byte_slices, encoded, frugal, raw, strings, words
 
 BITS = 16
 SIZE = 1 << BITS
@@ -96,7 +96,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         ids = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(df[ids])], ["gram", "df"])
 
-    rows = texts.select("text").mapInArrow(run, "gram int, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()
+    rows = texts.select("text").mapInArrow(frugal(run), "gram int, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()
     out = np.zeros(SIZE, np.int64)
     out[[r.gram for r in rows]] = [r.df for r in rows]
     return out
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names, score = own.predict(texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, folds: int = 5, per_language: int = 1000) -> DataFrame:
@@ -261,4 +261,4 @@ def identified(docs: DataFrame, folds: int = 5, least: float = 0.5) -> DataFrame
                 names, score = own.predict(texts.slice(a, b - a))
                 yield batch.slice(a, b - a).filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(names, score, strict=True)]))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
