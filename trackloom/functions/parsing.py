@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from trackloom.functions.normalize import text
 
 
+# Forms of durations and years.
+ISO_DURATION = r"^PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?"
+YEAR = r"\b((?:19|20)\d\d)\b"
+
+
 def whole(value: Column) -> Column:
     """A number in text, cut to a whole one ("3.7" is 3)."""
     number = value.cast("string").try_cast("double")
@@ -31,8 +36,7 @@ def duration(value: Column) -> Column:
 
 def iso_duration(value: Column) -> Column:
     """``PT1H2M3S`` in seconds, 0 as null; anything else as :func:`duration`."""
-    pattern = r"^PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?"
-    n = lambda i: F.coalesce(F.regexp_extract(value, pattern, i).try_cast("int"), F.lit(0))
+    n = lambda i: F.coalesce(F.regexp_extract(value, ISO_DURATION, i).try_cast("int"), F.lit(0))
     total = n(1) * 3600 + n(2) * 60 + n(3)
     return F.when(value.startswith("PT"), F.nullif(total, F.lit(0))).otherwise(duration(value))
 
@@ -49,7 +53,7 @@ def milliseconds(value: Column) -> Column:
 
 def year(value: Column) -> Column:
     value = value.cast("string")
-    found = F.nullif(F.regexp_extract(value, r"\b((?:19|20)\d\d)\b", 1), F.lit(""))
+    found = F.nullif(F.regexp_extract(value, YEAR, 1), F.lit(""))
     return F.coalesce(found.try_cast("int"), whole(value))
 
 

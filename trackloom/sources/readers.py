@@ -250,6 +250,7 @@ def read_missing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_info(spark: SparkSession, path: str) -> DataFrame:
+    """Name, stem, suffix, length and whether it is small enough of each file. Empty files have no row: Spark skips them."""
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.regexp_extract(name, r"(\.[^.]*)$", 1).alias("suffix"), "length", (F.col("length") <= MOST_BYTES).alias("accepted"))

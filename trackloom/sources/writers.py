@@ -56,6 +56,7 @@ def dedup_report(ranked: DataFrame) -> DataFrame:
 
 def selection_report(picked: DataFrame) -> DataFrame:
     """The fourteen columns of winners and losers, one row for each song of a group (pos is the song's id)."""
+    # The names of the columns and the forms of the addresses.
     lead = Window.partitionBy("group_id").orderBy("rank")
     number = F.col("pos").cast("string")
     return picked.select(
@@ -78,6 +79,7 @@ def selection_report(picked: DataFrame) -> DataFrame:
 
 def risk_report(risky: DataFrame) -> DataFrame:
     """The eight columns of tracks that may fail, the riskiest first."""
+    # The names of the columns.
     platform = F.col("platform") if "platform" in risky.columns else F.lit("")
     return risky.orderBy(F.col("risk_score").desc(), "pos").select(
         F.col("title").alias("Title"),
