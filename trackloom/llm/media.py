@@ -84,8 +84,8 @@ def media_columns(docs: DataFrame, slice_bytes: int = 4 << 20, keep_media: bool
     """One row per row of ``docs`` (doc_id, text): the stored WAV, digests of what is read back, and the fingerprint.
 
     ``times`` and ``hashes`` are the peak pairs; ``feature`` is the number of pairs and a SHA-256 of both arrays. A null
-    text counts as empty and is one frame of bytes 0, as is the empty text. ``keep_media=False`` leaves the three
-    bulky columns null. An empty table gives an empty result.
+    text counts as empty and is one frame of bytes 0, as is the empty text. ``keep_media=False`` leaves the WAV itself
+    null. Repeated rows give a row each, other columns of ``docs`` are ignored, an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +98,8 @@ def media_columns(docs: DataFrame, slice_bytes: int = 4 << 20, keep_media: bool
                     read = from_wav(media)
                     times, codes = fingerprint(np.frombuffer(read, np.uint8))
                     feature = f"{len(times)}:{hashlib.sha256(times.tobytes() + codes.tobytes()).hexdigest()}"
-                    bulky = (media, times, codes) if keep_media else (None, None, None)
-                    rows.append((len(data), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), *bulky, feature))
+                    stored = media if keep_media else None
+                    rows.append((len(data), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), stored, times, codes, feature))
                 types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string()]
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns], [x.split()[0] for x in SCHEMA.split(", ")])

@@ -52,7 +52,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(documents(spark, sf_dir), keep_media=False).drop("media", "times", "hashes")
+    return media.media_columns(documents(spark, sf_dir), keep_media=False).drop("media")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
