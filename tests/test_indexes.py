@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import similarity as S
-from trackloom.operators import dedup, set_index, stars, title_index
+from trackloom.operators import dedup, matching, set_index, stars, title_index
 
 WORDS = ["rain", "song", "of", "the", "night", "a", "rainy", "nights", "live", "zz", "ñandú", "x1", "song2", "go", "gogo"]
 
@@ -131,3 +131,29 @@ def test_kernel_leaves_out_only_what_is_too_low():
             short = S.title_kernel(a, b, False, least)
             assert short == whole if whole >= least else short in (0.0, whole)
             assert math.isclose(S.partial_ratio(a, b), S.partial_ratio(b, a), abs_tol=1e-9) or len(a) == len(b)
+
+
+@pytest.mark.parametrize(("plain", "with_album"), [(False, True), (True, False)])
+def test_pairs_of_the_second_matcher(spark, plain, with_album, monkeypatch):
+    """All pairs that reach the score, from the scores of all pairs; hot words in parts; a code that differs by a tab."""
+    monkeypatch.setattr(matching, "PART", 5)
+    rng = random.Random(11)
+    titles = [t for t in some_titles(60, 9) if t]
+
+    def rows(first):
+        out = []
+        for i in range(120):
+            artist = rng.choice(["abba", "baab", "the who", "who", "x y", "queen and king"])
+            tokens = [] if rng.random() < 0.2 else artist.split()
+            out.append((first + i, rng.choice(titles), artist, rng.choice([None, "  Gold ", "gold", "İ hits", "Other"]), rng.choice([None, 0, 200, 203]), rng.choice([None, "", "C1", " c1\t", "C2"]), tokens))
+        return out
+
+    schema = "pos long, nt string, na string, album string, duration int, isrc string, tokens array<string>"
+    side = lambda first, n: matching.side(spark.createDataFrame(rows(first), schema).selectExpr("*", "nt AS title", "na AS artist", "null AS year", "nt AS base"), n)
+    s, t = side(0, "s"), side(1000, "t")
+    s, t = spark.createDataFrame(s.collect(), s.schema), spark.createDataFrame(t.collect(), t.schema)
+    met = matching.word_candidates(s, matching.target_keys(t)).unionByName(matching.fallback_candidates(s, t)).distinct()
+    scored = met.join(s, "s_pos").join(t, "t_pos").select("s_pos", "t_pos", S.score_b("s", "t", True, with_album, plain)["confidence"].alias("c"))
+    expected = {(r.s_pos, r.t_pos): r.c for r in scored.where("c >= 0.75").collect()}
+    found = matching.pairs_b(s, t, 0.75, True, with_album, plain).distinct().collect()
+    assert len(found) == len(expected) > 100 and {(r.s_pos, r.t_pos): pytest.approx(r.b_confidence) for r in found} == expected

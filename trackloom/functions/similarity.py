@@ -189,19 +189,29 @@ def confidence(s: str, t: str, strict: bool = True, use_duration: bool = True, u
     return F.when(same_isrc(c(s, "isrc"), c(t, "isrc")), 1.0).otherwise(total / (w["title"] + w["artist"] + w["album"] + w["duration"]))
 
 
-def score_b(s: str, t: str, use_duration: bool = True, use_album: bool = False, plain: bool = False, tolerance: int = 5) -> dict[str, Column]:
+def ratio_b(a: Column, b: Column, plain: bool = False) -> Column:
+    """The second matcher's ratio; ``plain``: the common-subsequence share, as where no fuzzy library is at hand."""
+    return _pairs(lcs_share if plain else lambda a, b: 1.0 if (a or "").lower().strip() == (b or "").lower().strip() and a else ratio((a or "").lower().strip(), (b or "").lower().strip()) / 100 if a and b else 0.0)(a, b)
+
+
+def closeness_b(a: Column, b: Column, tolerance: int = 5) -> Column:
+    """1 for equal durations, falling to 0 at the tolerance; null beyond it and where a side is missing or 0."""
+    gap = F.abs(a - b)
+    known = (F.coalesce(a, F.lit(0)) != 0) & (F.coalesce(b, F.lit(0)) != 0)
+    return F.when(known & (gap <= tolerance), 1 - gap / tolerance)
+
+
+def score_b(s: str, t: str, use_duration: bool = True, use_album: bool = False, plain: bool = False, tolerance: int = 5, known: bool = False) -> dict[str, Column]:
     """Parts and result of the second matcher: title, artist, duration, album and confidence (null: no match).
 
-    ``plain`` uses the common-subsequence share for the ratio, as where no fuzzy library is at hand.
+    ``known``: the ratios of titles and of artist names stand in the columns ``__title`` and ``__name``.
     """
     c = lambda side, name: F.col(f"{side}_{name}")
-    kernel = _pairs(lcs_share if plain else lambda a, b: 1.0 if (a or "").lower().strip() == (b or "").lower().strip() and a else ratio((a or "").lower().strip(), (b or "").lower().strip()) / 100 if a and b else 0.0)
-    title, name = kernel(c(s, "nt"), c(t, "nt")), kernel(c(s, "na"), c(t, "na"))
+    kernel = lambda a, b: ratio_b(a, b, plain)
+    title, name = (F.col("__title"), F.col("__name")) if known else (kernel(c(s, "nt"), c(t, "nt")), kernel(c(s, "na"), c(t, "na")))
     bare = (F.size(c(s, "tokens")) == 0) | (F.size(c(t, "tokens")) == 0)
     artist = F.when(bare, name).otherwise(F.greatest(token_jaccard(c(s, "tokens"), c(t, "tokens")), name))
-    gap = F.abs(c(s, "duration") - c(t, "duration"))
-    known = (F.coalesce(c(s, "duration"), F.lit(0)) != 0) & (F.coalesce(c(t, "duration"), F.lit(0)) != 0)
-    length = F.when(known & (gap <= tolerance), 1 - gap / tolerance) if use_duration else F.lit(None).cast("double")
+    length = closeness_b(c(s, "duration"), c(t, "duration"), tolerance) if use_duration else F.lit(None).cast("double")
     likeness = kernel(c(s, "album"), c(t, "album")) if use_album else F.lit(0.0)
     album = F.when(likeness > 0.7, likeness)
     base = title * 0.6 + artist * 0.4

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import similarity as S
-from trackloom.functions.normalize import text
+from trackloom.functions.normalize import strip, text
 from trackloom.operators.shared import materialise, spread
-from trackloom.operators.title_index import similar_titles
+from trackloom.operators.title_index import PART, masked, most_common, similar_titles
 
 FIELDS = ("pos", "title", "artist", "album", "duration", "isrc", "year", "nt", "na", "tokens", "base")
 NO_WORD_LIMIT = 50
@@ -85,12 +85,6 @@ def fallback_candidates(s: DataFrame, t: DataFrame, limit: int | None = NO_WORD_
     return alone.join(F.broadcast(first)).select("s_pos", F.explode("ts").alias("t_pos"))
 
 
-def candidates(s: DataFrame, t: DataFrame) -> DataFrame:
-    """Whole rows of all candidates: pairs that share a word, and those of sources that share none with any target."""
-    pairs = word_candidates(s, t).unionByName(fallback_candidates(s, t))
-    return pairs.join(s, "s_pos").join(t, "t_pos")
-
-
 def target_keys(t: DataFrame) -> DataFrame:
     """Targets that score alike with any source, once: the first ``t_pos`` of each, and how many there are (``t_n``)."""
     same = [f"t_{c}" for c in FIELDS if c not in ("pos", "title", "artist", "year")]
@@ -194,6 +188,67 @@ def missing(source: DataFrame, matches: DataFrame) -> DataFrame:
     return source.where("is_music").join(matches.select(F.col("s_pos").alias("pos")), "pos", "left_anti")
 
 
+def pairs_b(s: DataFrame, t: DataFrame, least: float, use_duration: bool, use_album: bool, plain: bool) -> DataFrame:
+    """(s_pos, t_pos, b_confidence) of the candidates of the second matcher that score ``least`` or more.
+
+    Rows meet by word as numbers: masks of the letters of both names, artist tokens and durations tell the most that a
+    pair can score before a text takes part. Words of many sources are dealt into salted parts. Then each distinct pair
+    of artists is scored once, what is left of the bound once more, and each distinct pair of titles that still can.
+    """
+    texts = ("nt", "na", "tokens", "duration", "isrc", *(("album",) if use_album else ()))
+    narrow = lambda df, n: df.select(f"{n}_pos", *[f"{n}_{c}" for c in texts])
+
+    def numbers(df: DataFrame, n: str) -> DataFrame:
+        rows = masked(masked(narrow(df, n), f"{n}_nt", f"{n}t"), f"{n}_na", f"{n}a")
+        if use_album:
+            rows = masked(rows.withColumn(f"{n}_album", strip(F.lower(text(F.col(f"{n}_album"))))), f"{n}_album", f"{n}l")
+        return rows.withColumn("word", F.explode(words_of(n))).drop(*[f"{n}_{c}" for c in texts if c not in ("tokens", "duration")])
+
+    alone = fallback_candidates(s, t)
+    keys = target_keys(t)
+
+    # both ratios, also the plain one, are at most twice the common letters over both lengths
+    letters = lambda k: F.least(2 * F.least(most_common(f"s{k}", f"t{k}"), F.col(f"s{k}_length"), F.col(f"t{k}_length")) / F.greatest(F.col(f"s{k}_length") + F.col(f"t{k}_length"), F.lit(1)), F.lit(1.0))
+    close = F.coalesce(S.closeness_b(F.col("s_duration"), F.col("t_duration")), F.lit(0.0)) * 0.1 if use_duration else F.lit(0.0)
+    album = F.when(letters("l") >= 0.7 - 1e-9, letters("l") * 0.05).otherwise(0.0) if use_album else F.lit(0.0)
+
+    def reaches(title: Column, artist: Column, more: Column = F.lit(0.05 if use_album else 0.0)) -> Column:
+        return (title >= 0.6 - 1e-9) & (artist >= 0.5 - 1e-9) & (title * 0.6 + artist * 0.4 + close + more >= least - 1e-9)
+
+    left, right = numbers(s, "s"), numbers(keys, "t")
+    sizes = left.groupBy("word").agg((F.count(F.lit(1)) / PART + 1).cast("long").alias("__parts"))
+    left = left.join(sizes, "word").withColumn("__part", F.pmod(F.xxhash64("s_pos"), "__parts"))
+    right = right.join(sizes, "word").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)))
+    left, right = (spread(x.drop("__parts"), "word", "__part") for x in (left, right))
+    near = left.join(right, ["word", "__part"]).where(reaches(letters("t"), F.lit(1.0), album))
+    near = near.where(reaches(letters("t"), F.greatest(letters("a"), S.token_jaccard(F.col("s_tokens"), F.col("t_tokens"))), album)).select("s_pos", "t_pos")
+    # sources that the identifier's join missed by white space alone
+    code = lambda n: F.lower(strip(text(F.col(f"{n}_isrc"))))
+    coded = s.where(code("s") != "").withColumn("s_words", words_of("s")).join(keys.withColumn("t_words", words_of("t")), code("s") == code("t"))
+    same = coded.where(F.arrays_overlap("s_words", "t_words")).select("s_pos", "t_pos", F.lit(1.0).alias("b_confidence"))
+    near = materialise(near.unionByName(alone).distinct(), "near-rows")
+
+    pairs = near.join(narrow(s, "s"), "s_pos").join(narrow(t, "t"), "t_pos")
+    names = spread(pairs.select("s_na", "t_na").distinct(), "s_na", "t_na")
+    pairs = pairs.join(names.withColumn("__name", S.ratio_b(F.col("s_na"), F.col("t_na"), plain)), ["s_na", "t_na"])
+    titles = lambda n: masked(pairs.select(f"{n}_nt").distinct(), f"{n}_nt", f"{n}t")
+    code_met = S.same_isrc(F.col("s_isrc"), F.col("t_isrc"))
+    left = pairs.join(titles("s"), "s_nt").join(titles("t"), "t_nt")
+    artist = F.greatest(F.col("__name"), S.token_jaccard(F.col("s_tokens"), F.col("t_tokens")))
+    left = left.where(reaches(letters("t"), artist) | code_met).select(*pairs.columns)
+    scores = spread(left.select("s_nt", "t_nt").distinct(), "s_nt", "t_nt").withColumn("__title", S.ratio_b(F.col("s_nt"), F.col("t_nt"), plain))
+    scored = left.join(scores, ["s_nt", "t_nt"]).where(reaches(F.col("__title"), artist) | code_met)
+    scored = scored.withColumn("b_confidence", S.score_b("s", "t", use_duration, use_album, plain, known=True)["confidence"])
+    return scored.where(F.col("b_confidence") >= least).select("s_pos", "t_pos", "b_confidence").unionByName(same)
+
+
+def near_b(s: DataFrame, t: DataFrame, least: float, use_duration: bool, use_album: bool, plain: bool) -> DataFrame:
+    """Whole rows of each source of ``s`` with its best candidate from ``least`` on; the first of equal ones."""
+    scored = pairs_b(s, t, least, use_duration, use_album, plain)
+    best = first_by(scored, "s_pos", F.col("b_confidence").desc(), F.col("t_pos")).select("s_pos", "t_pos")
+    return s.join(best, "s_pos").join(t, "t_pos")
+
+
 def match_b(source: DataFrame, target: DataFrame, strict: bool = True, use_duration: bool = True, use_album: bool = False, plain: bool = False) -> DataFrame:
     """The second matcher: equal pairs that score 0.98, then identifiers, then blocked candidates from 0.85 (0.75)."""
     s, t = materialise(side(source, "s"), "source"), materialise(side(target, "t"), "target")
@@ -208,11 +263,7 @@ def match_b(source: DataFrame, target: DataFrame, strict: bool = True, use_durat
     isrc = materialise(isrc, "stage")
     rest = materialise(rest.join(isrc, "s_pos", "left_anti"), "rest")
     named = rest.where("s_nt <> '' and s_na <> ''")
-    # a ratio is at most what the lengths allow; titles need 0.6, artists 0.5 by name or by tokens, or one identifier
-    fits = lambda c, least: 2 * F.least(F.length(f"s_{c}"), F.length(f"t_{c}")) >= least * (F.length(f"s_{c}") + F.length(f"t_{c}"))
-    lengths = fits("nt", 0.6 if not plain else 0.0) & (fits("na", 0.5 if not plain else 0.0) | F.arrays_overlap("s_tokens", "t_tokens"))
-    scored = candidates(named, t).where(lengths | S.same_isrc(F.col("s_isrc"), F.col("t_isrc"))).withColumns(fields).where("b_confidence is not null")
-    fuzzy = first_by(scored, "s_pos", F.col("b_confidence").desc(), F.col("t_pos")).where(F.col("b_confidence") >= S.ACCEPT_B[strict])
+    fuzzy = near_b(named, t, S.ACCEPT_B[strict], use_duration, use_album, plain).withColumns(fields)
     # a source without title or artist has no score with any target, so it has no match
     out = reduce(DataFrame.unionByName, [exact, isrc, fuzzy])
     names = ("title", "artist", "base", "duration", "album")
