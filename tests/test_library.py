@@ -183,3 +183,31 @@ def test_prefix_of_a_hot_key(spark):
         part = part.sort_values("rank")
         assert part["rank"].tolist() == list(range(len(part)))
         assert part["at"].tolist() == [0, *part["v"].cumsum().tolist()[:-1]]
+
+
+def plist_rows(df):
+    return [tuple(r) for r in df.select("title", "artist", "album", "duration", "isrc", "year", "track_id", "url", "track_number").orderBy("pos").collect()]
+
+
+def test_plist_by_record(spark, tmp_path):
+    """Cut files give what whole ones give: references, playlists, missing keys, blanks, many small splits."""
+    tracks = {str(i): {"Track ID": i, "Name": f"T{i} <&lt;> 'ü\n♪\"", "Artist": "A & B", "Total Time": 1000 * i + 999, "Year": 1990, "Rating": 5, "Loved": True, "Album": ""} for i in range(300)}
+    tracks |= {"a": {"Name": "no artist", "Track ID": 9000}, "b": {"Name": "N", "Artist": "A", "Persistent ID": "FF", "Track ID": 9001, "Track Number": 3, "Location": "file://x"}, "c": {}}
+    whole = {"Major Version": 1, "Features": {}, "Tracks": tracks, "Playlists": [{"Name": "Mine", "Artist": "X", "Playlist Items": [{"Track ID": 1}, {"Track ID": 2, "Name": "n", "Artist": "a"}]}]}
+    path, binary = tmp_path / "a.xml", tmp_path / "b.xml"
+    path.write_bytes(plistlib.dumps(whole, sort_keys=False))
+    binary.write_bytes(plistlib.dumps(whole, sort_keys=False, fmt=plistlib.FMT_BINARY))
+    expected = plist_rows(readers.read_plist_whole(spark, str(path)))
+    assert len(expected) == 301 and expected[0][0] == "T0 <&lt;> 'ü\n♪\""
+    assert plist_rows(readers.read_plist(spark, str(binary))) == expected
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        rows = readers.read_plist(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 8
+        assert plist_rows(rows) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    iso = tmp_path / "c.xml"
+    iso.write_text("<plist><dict><key>Tracks</key><dict><key>1</key><dict><key>Name</key><string>a&#38;#60;&#x1F3B5;&amp;amp;</string><key>Artist</key><string>b</string></dict><key>2</key><dict><key>Name</key><string>cut o")
+    assert [r[0] for r in plist_rows(readers.read_plist(spark, str(iso)))] == ["a&#60;\U0001f3b5&amp;"]

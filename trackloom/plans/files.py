@@ -39,9 +39,43 @@ def json_of(spark, rows: DataFrame, name: str, key: str) -> str:
     return path
 
 
+def plist_of(spark, rows: DataFrame) -> str:
+    """A property list for each thousand tracks, each a file of its own, with a playlist that refers to the tracks."""
+    path = f"{shared_path(spark, 'plist')}.xml"
+    # one mark of text in three spellings
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.when(F.col("pos") % 2 == 0, "&amp;").otherwise("&#38;")), F.lit("<"), F.lit("&lt;")), F.lit("ü"), F.lit("&#xFC;")), F.lit("♪"), F.lit("&#9834;"))
+    entry = lambda key, kind, c: F.when(c.isNotNull(), F.concat(F.lit(f"<key>{key}</key><{kind}>"), safe(c.cast("string")), F.lit(f"</{kind}>\n"))).otherwise("")
+    texts = [entry(k, "string", F.col(c)) for k, c in (("Name", "title"), ("Artist", "artist"), ("Album", "album"), ("ISRC", "isrc"))]
+    track = F.concat(F.lit("<key>"), F.col("pos").cast("string"), F.lit("</key>\n<dict>\n"), entry("Track ID", "integer", F.col("pos")), *texts, entry("Total Time", "integer", F.col("duration") * 1000 + 7), entry("Year", "integer", F.col("year")), F.lit("<key>Compilation</key><true/></dict>\n"))
+    item = F.concat(F.lit("<dict><key>Track ID</key><integer>"), F.col("pos").cast("string"), F.lit("</integer></dict>"))
+    held = rows.groupBy(F.floor(F.col("pos") / 1000).alias("part")).agg(F.array_join(F.collect_list(track), "").alias("tracks"), F.array_join(F.collect_list(item), "").alias("items"))
+    start = '<?xml version="1.0" encoding="UTF-8"?>\n<plist version="1.0"><dict><key>Major Version</key><integer>1</integer><key>Tracks</key><dict>\n'
+    text = F.concat(F.lit(start), "tracks", F.lit("</dict><key>Playlists</key><array><dict><key>Name</key><string>All</string><key>Playlist Items</key><array>"), "items", F.lit("</array></dict></array></dict></plist>"))
+    held.select(text).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 # Readers
 
 
+@query(f"{RAW} SELECT title || ' <ü> ♪ &lt;' AS title, artist, album, duration, isrc, year, CAST(pos AS VARCHAR) AS track_id, 'apple_music' AS platform FROM raw")
+def read_plist_library(spark, d):
+    rows = raw(spark, d).withColumn("title", F.concat("title", F.lit(" <ü> ♪ &lt;")))
+    return readers.read_library(spark, plist_of(spark, rows)).select("title", "artist", "album", "duration", "isrc", "year", "track_id", "platform")
+
+
+@query(f"{RAW} SELECT 'ISO-8859-1' AS encoding, title || ' é' AS title, artist, album, duration FROM raw UNION ALL SELECT 'UTF-16', title || ' é♪', artist, album, duration FROM raw")
+def read_encodings(spark, d):
+    """The files that players read, written in two encodings and told apart by their first bytes."""
+    out = None
+    for encoding, mark in (("ISO-8859-1", " é"), ("UTF-16", " é♪")):
+        path = f"{shared_path(spark, 'encoded')}.txt"
+        writers.write_csv(writers.player_report(raw(spark, d).withColumn("title", F.concat("title", F.lit(mark)))), path, "\t", encoding)
+        back = readers.read_playlist(spark, path).select(F.lit(encoding).alias("encoding"), "title", "artist", F.nullif("album", F.lit("")).alias("album"), "duration")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
 @query(f"{RAW} SELECT title, artist, album, duration, isrc, 'spotify' AS platform FROM raw")
 def read_spotify_csv(spark, d):
     names = {"title": "Track Name", "artist": "Artist Name(s)", "album": "Album Name", "isrc": "ISRC"}

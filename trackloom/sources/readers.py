@@ -73,6 +73,8 @@ JSON_KEYS = {
         "duration": ["duration"],
     },
 }
+# Keys of a track in a property list.
+PLIST_KEYS = {"title": "Name", "artist": "Artist", "album": "Album", "isrc": "ISRC", "genre": "Genre", "url": "Location", "year": "Year", "track_number": "Track Number"}
 CONTAINERS = ("tracks", "items", "data", "library", "songs")
 MOST_BYTES = 100 << 20
 
@@ -182,10 +184,50 @@ def read_json(spark: SparkSession, path: str, platform: str) -> DataFrame:
     return _typed(rows, platform, P.iso_duration if platform == "youtube_music" else P.whole)
 
 
+def _unescaped(c: Column) -> Column:
+    """References of XML resolved: numbers and names first, the ampersand last, so that no text is resolved twice."""
+    # The names that XML knows without a declaration.
+    names = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+    ampersand = r"&(?:amp|#0*38|#[xX]0*26);"
+    numbers = F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(r"(&#(?:[0-9]+|[xX][0-9a-fA-F]+);)")), lambda x: ~x.rlike(ampersand)))
+
+    def letter(reference: Column) -> Column:
+        hexadecimal = F.regexp_extract(reference, r"^&#[xX]([0-9a-fA-F]+)", 1)
+        digits = F.when(hexadecimal != "", hexadecimal).otherwise(F.hex(F.try_to_number(F.regexp_extract(reference, r"^&#([0-9]+)", 1), F.lit("9999999999")).cast("long")))
+        return F.decode(F.unhex(F.lpad(F.ltrim(digits, F.lit("0")), 8, "0")), "UTF-32")
+
+    out = F.aggregate(numbers, c, lambda whole, x: F.replace(whole, x, letter(x)))
+    for name, char in names.items():
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.regexp_replace(out, ampersand, "&")
+
+
 def read_plist(spark: SparkSession, path: str) -> DataFrame:
-    """Property lists, one task for each file; an invalid file is an empty library."""
+    """Property lists by record: a file is split among tasks at the ends of its ``dict`` elements.
+
+    A track is a ``dict`` under a key that holds no other ``dict``; entries of playlists stand in arrays and are none.
+    Of a file that breaks off, the tracks before the break stay; a file without such records is an empty library.
+    Binary lists and texts in UTF-16 can't be cut at that mark: each is read whole, by one task.
+    """
+    start = head(spark, path)
+    if start.startswith(b"bplist") or encoding_of(start) == "UTF-16":
+        return read_plist_whole(spark, path)
+    cut = spark.read.option("lineSep", "</dict>").text(path).select("value", F.monotonically_increasing_id().alias("pos"))
+    track = F.regexp_extract("value", r"(?s)<key>[^<]*</key>\s*<dict>((?:(?!<dict>).)*+)$", 1)
+    get = lambda key: _unescaped(F.get(F.regexp_extract_all("track", F.lit(rf"(?s)<key>\s*{key}\s*</key>\s*<(?:string|integer|real|date)>(.*?)</")), F.lit(0)))
+    rows = cut.withColumn("track", track).where("track <> ''")
+    whole = F.floor(F.nullif(get("Total Time").try_cast("long"), F.lit(0)) / 1000).cast("string")
+    own = F.coalesce(F.nullif(get("Persistent ID"), F.lit("")), get("Track ID"))
+    return _plist_tracks(rows.select("pos", *[get(key).alias(field) for field, key in PLIST_KEYS.items()], whole.alias("duration"), own.alias("track_id")))
+
+
+def _plist_tracks(rows: DataFrame) -> DataFrame:
+    return conform(required(rows.withColumns({"duration": P.whole(F.col("duration")), "year": P.year(F.col("year")), "track_number": P.whole(F.col("track_number"))})), platform="apple_music")
+
+
+def read_plist_whole(spark: SparkSession, path: str) -> DataFrame:
+    """Property lists of any form, one task for each file; an invalid file is an empty library."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "artist", "album", "isrc", "genre", "track_id", "url", "duration", "year", "track_number")] + [T.StructField("pos", T.LongType())])
-    keys = {"title": "Name", "artist": "Artist", "album": "Album", "isrc": "ISRC", "genre": "Genre", "url": "Location", "year": "Year", "track_number": "Track Number"}
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -196,13 +238,13 @@ def read_plist(spark: SparkSession, path: str) -> DataFrame:
                     continue
                 rows = []
                 for i, t in enumerate(tracks):
-                    row = {field: str(t[key]) if t.get(key) is not None else None for field, key in keys.items()}
+                    row = {field: str(t[key]) if t.get(key) is not None else None for field, key in PLIST_KEYS.items()}
                     ms, own = t.get("Total Time"), t.get("Persistent ID") or t.get("Track ID")
                     rows.append(row | {"duration": str(ms // 1000) if ms else None, "track_id": str(own) if own is not None else None, "pos": i})
                 yield pd.DataFrame(rows, columns=schema.names)
 
     rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema)
-    return conform(required(rows.withColumns({"duration": P.whole(F.col("duration")), "year": P.year(F.col("year")), "track_number": P.whole(F.col("track_number"))})), platform="apple_music")
+    return _plist_tracks(rows)
 
 
 def read_library(spark: SparkSession, path: str, platform: str | None = None) -> DataFrame:
