@@ -211,3 +211,14 @@ def test_plist_by_record(spark, tmp_path):
     iso = tmp_path / "c.xml"
     iso.write_text("<plist><dict><key>Tracks</key><dict><key>1</key><dict><key>Name</key><string>a&#38;#60;&#x1F3B5;&amp;amp;</string><key>Artist</key><string>b</string></dict><key>2</key><dict><key>Name</key><string>cut o")
     assert [r[0] for r in plist_rows(readers.read_plist(spark, str(iso)))] == ["a&#60;\U0001f3b5&amp;"]
+
+
+def test_broken_rows(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('Name;Artist;Album\nA;B;C\n"x;""y""";B\n\nT;B;C;D;E\nonly\n;B;;\n"A\nB";C;D\n')
+    rows = [(r.record, r.cells, r.columns, r.status) for r in readers.broken_rows(spark, str(path), "apple_music").orderBy("pos").collect()]
+    assert rows == [('"x;""y""";B', 2, 3, "repaired"), ("T;B;C;D;E", 5, 3, "repaired"), ("only", 1, 3, "rejected"), (";B;;", 4, 3, "rejected")]
+    tracks = [(r.title, r.artist, r.album) for r in readers.read_library(spark, str(path), "apple").orderBy("pos").collect()]
+    assert tracks == [("A", "B", "C"), ('x;"y"', "B", None), ("T", "B", "C"), ("A\nB", "C", "D")]
+    path.write_text("Name;Artist;Album\nA;B;C\n")
+    assert readers.broken_rows(spark, str(path), "apple_music").count() == 0

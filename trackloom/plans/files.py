@@ -137,6 +137,29 @@ def liked_and_uploads(spark, d):
     return libraries({"liked": rows.where("library = 'A'"), "uploads": rows.where("library = 'B'")}).select("library", "pos", "title")
 
 
+def broken_of(spark, rows: DataFrame) -> str:
+    """CSV files of a thousand tracks each: of seven rows one has two cells, one seven, and one has a title alone."""
+    path = f"{shared_path(spark, 'broken')}.csv"
+    held = rows.selectExpr("pos", f"{BROKEN} AS line").groupBy(F.floor(F.col("pos") / 1000).alias("part"))
+    lines = held.agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("lines"))
+    lines.select(F.concat(F.lit("Name,Artist,Album,ISRC\n"), "lines")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+QUOTED = "concat('\"', title, ', \"\"', pos, '\"\"\"')"
+BROKEN = f"CASE pos % 7 WHEN 1 THEN concat({QUOTED}, ',', artist) WHEN 2 THEN concat({QUOTED}, ',', artist, ',x,y,\"z,z\",,') WHEN 3 THEN {QUOTED} ELSE concat({QUOTED}, ',', artist, ',', coalesce(album, ''), ',', coalesce(isrc, '')) END"
+
+
+@query(f"""{RAW} SELECT {BROKEN} AS record, CASE pos % 7 WHEN 1 THEN 2 WHEN 2 THEN 7 ELSE 1 END AS cells, 4 AS columns, CASE pos % 7 WHEN 3 THEN 'rejected' ELSE 'repaired' END AS status,
+    CASE WHEN pos % 7 <> 3 THEN title || ', "' || pos || '"' END AS title, CASE WHEN pos % 7 <> 3 THEN artist END AS artist, CASE WHEN pos % 7 = 2 THEN 'x' END AS album, CASE WHEN pos % 7 = 2 THEN 'y' END AS isrc
+    FROM raw WHERE pos % 7 IN (1, 2, 3)""")
+def read_broken_rows(spark, d):
+    """Rows of the wrong width, and the tracks that the reader has of them."""
+    path = broken_of(spark, raw(spark, d))
+    tracks = readers.read_library(spark, path, "apple").select("pos", "title", "artist", "album", "isrc")
+    return readers.broken_rows(spark, path, "apple_music").join(tracks, "pos", "left").drop("pos")
+
+
 # Ordered lists
 
 

@@ -156,17 +156,47 @@ def _typed(rows: DataFrame, platform: str, length_of: Callable[[Column], Column]
     return conform(required(out), platform=platform)
 
 
-def read_csv(spark: SparkSession, path: str, platform: str, multiline: bool = True) -> DataFrame:
-    """A CSV export. Without ``multiline`` large files are split among tasks; quoted line breaks then end a row."""
+def _csv(spark: SparkSession, path: str, platform: str, multiline: bool, record: bool = False) -> tuple[DataFrame, str, int]:
+    """Cells by field with ``pos``, the delimiter and the number of columns; with ``record`` the text of broken rows."""
     start = head(spark, path)
     charset = encoding_of(start)
     line = start.decode("utf-16" if charset == "UTF-16" else charset, "ignore").split("\n", 1)[0]
-    raw = spark.read.options(header=True, encoding=charset, sep=delimiter_of(line), multiLine=multiline or charset == "UTF-16", escape='"', mode="PERMISSIVE").csv(path)
-    fields = header_fields(raw.columns, platform)
-    rows = raw.select(*[_cell(F.col(f"`{column}`")).alias(field) for field, column in fields.items()], F.monotonically_increasing_id().alias("pos"))
+    sep = delimiter_of(line)
+    reader = lambda: spark.read.options(header=True, encoding=charset, sep=sep, multiLine=multiline or charset == "UTF-16", escape='"', mode="PERMISSIVE")
+    raw = reader().csv(path)
+    columns = raw.columns
+    if record:
+        named = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "__record"]])
+        raw = reader().options(columnNameOfCorruptRecord="__record").schema(named).csv(path)
+        # always true: Spark refuses plans that read nothing besides the record, such as a count of broken rows
+        raw = raw.where(F.coalesce(F.length(F.col(f"`{columns[0]}`")), F.lit(0)) >= 0)
+    cells = [_cell(F.col(f"`{column}`")).alias(field) for field, column in header_fields(columns, platform).items()]
+    return raw.select(*cells, F.monotonically_increasing_id().alias("pos"), *(["__record"] if record else [])), sep, len(columns)
+
+
+def read_csv(spark: SparkSession, path: str, platform: str, multiline: bool = True) -> DataFrame:
+    """A CSV export. Without ``multiline`` large files are split among tasks; quoted line breaks then end a row.
+
+    Rows with too few cells lack the last ones, cells beyond the header are left out: see ``broken_rows``.
+    """
+    rows, _, _ = _csv(spark, path, platform, multiline)
     return _typed(rows, platform, {"spotify": P.milliseconds, "youtube_music": P.iso_duration}.get(platform, P.duration))
 
 
+def broken_rows(spark: SparkSession, path: str, platform: str, multiline: bool = True) -> DataFrame:
+    """(pos, record, cells, columns, status) of the rows of a CSV export that don't have the header's number of cells.
+
+    ``record`` is the row as it stands in the file. ``status`` is "repaired" where title and artist are there, so that
+    ``read_csv`` has a track of the same ``pos``, and else "rejected". A blank line is no row.
+    """
+    rows, sep, columns = _csv(spark, path, platform, multiline, record=True)
+    bare = F.regexp_replace("__record", r'"[^"]*+"', "")
+    cells = F.length(bare) - F.length(F.replace(bare, F.lit(sep))) + 1
+    here = lambda c: F.col(c).isNotNull() if c in rows.columns else F.lit(False)
+    status = F.when(here("title") & here("artist"), "repaired").otherwise("rejected")
+    return rows.where(F.col("__record").isNotNull()).select("pos", F.col("__record").alias("record"), cells.alias("cells"), F.lit(columns).alias("columns"), status.alias("status"))
+
+
 def read_json(spark: SparkSession, path: str, platform: str) -> DataFrame:
     """A list of tracks, an object with a list under a known key, or one track; keys are looked up in a variant."""
     doc = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
