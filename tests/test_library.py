@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import normalize as N
 from trackloom.functions import parsing as P
 from trackloom.functions import similarity as S
-from trackloom.operators import dedup
+from trackloom.operators import dedup, matching
 from trackloom.operators.components import connected_components
 from trackloom.operators.content import is_music
 from trackloom.operators.shared import meet_all, with_prefix
@@ -222,3 +222,10 @@ def test_broken_rows(spark, tmp_path):
     assert tracks == [("A", "B", "C"), ('x;"y"', "B", None), ("T", "B", "C"), ("A\nB", "C", "D")]
     path.write_text("Name;Artist;Album\nA;B;C\n")
     assert readers.broken_rows(spark, str(path), "apple_music").count() == 0
+
+
+def test_options_are_checked(spark):
+    assert matching.option_issues(strict=True, use_album=False) == []
+    assert matching.option_issues(strict="yes", use_duration=None, use_album=1) == ["strict must be a boolean", "use_duration must be a boolean", "use_album must be a boolean"]
+    with pytest.raises(ValueError, match="use_album must be a boolean"):
+        matching.match_libraries(spark.range(1), spark.range(1), use_album="no")

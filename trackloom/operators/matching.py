@@ -162,11 +162,18 @@ def fuzzy_matches(s: DataFrame, t: DataFrame, strict: bool = True, use_duration:
     return s.join(best, "s_pos").join(t, "t_pos").withColumn("match_type", F.lit("fuzzy"))
 
 
+def option_issues(**options: object) -> list[str]:
+    """What is wrong with options that must be true or false: a message for each, none for good ones."""
+    return [f"{name} must be a boolean" for name, value in options.items() if not isinstance(value, bool)]
+
+
 def match_libraries(source: DataFrame, target: DataFrame, strict: bool = True, use_duration: bool = True, use_album: bool = False, scorer: str = "fuzzy", music_only: bool = True) -> DataFrame:
     """One row for each matched source row: s_* and t_* columns, confidence, match_type.
 
     Both sides, what each stage finds and what the last one gets are written once: all are read by several joins.
     """
+    if issues := option_issues(strict=strict, use_duration=use_duration, use_album=use_album):
+        raise ValueError("; ".join(issues))
     if music_only:
         source, target = source.where("is_music"), target.where("is_music")
     s, t = materialise(side(source, "s"), "source"), materialise(side(target, "t"), "target")
