@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import math
 import random
 
@@ -10,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import similarity as S
-from trackloom.operators import dedup, matching, set_index, stars, title_index
+from trackloom.operators import compare, dedup, matching, set_index, shared, stars, title_index
+from trackloom.schema import derive
 
 WORDS = ["rain", "song", "of", "the", "night", "a", "rainy", "nights", "live", "zz", "ñandú", "x1", "song2", "go", "gogo"]
 
@@ -157,3 +159,67 @@ def test_pairs_of_the_second_matcher(spark, plain, with_album, monkeypatch):
     expected = {(r.s_pos, r.t_pos): r.c for r in scored.where("c >= 0.75").collect()}
     found = matching.pairs_b(s, t, 0.75, True, with_album, plain).distinct().collect()
     assert len(found) == len(expected) > 100 and {(r.s_pos, r.t_pos): pytest.approx(r.b_confidence) for r in found} == expected
+
+
+def exchanges(monkeypatch):
+    """Counts the exchanges of all plans that a comparison writes, and the tables."""
+    made = []
+    whole = shared.materialise
+
+    def counted(df, name, *more):
+        made.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return whole(df, name, *more)
+
+    monkeypatch.setattr(matching, "materialise", counted)
+    monkeypatch.setattr(title_index, "materialise", counted)
+    return made
+
+
+def library_rows(spark, n_libraries, seed=3):
+    """Libraries whose positions repeat, with copies, bare artists, equal identifiers and one without tracks."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n_libraries):
+        for pos in range(25):
+            title = " ".join(rng.choice(["rain", "rainy", "song", "night", "nights", "la", "live"]) for _ in range(rng.randrange(1, 4)))
+            artist = rng.choice(["Ada Lo", "Bo Kit", "Cy", "the band", "ada kit"])
+            rows.append((f"L{i}", pos, rng.choice([title, f"{title} (Live)", "zq"]), artist, rng.choice([None, "One", "Two"]), rng.choice([None, 180, 184, 260]), rng.choice([None, None, None, "us1", "US1", "gb2"]), None))
+    df = spark.createDataFrame(rows, "library string, pos long, title string, artist string, album string, duration int, isrc string, year int")
+    return derive(df)
+
+
+@pytest.mark.parametrize("scorer, strict", [("fuzzy", False), ("equality", True)])
+def test_pairs_of_libraries_as_one_by_one(spark, scorer, strict):
+    tracks = shared.materialise(library_rows(spark, 4), "libraries")
+    names = ["L2", "L0", "none", "L3"]
+    told = lambda rows: sorted((r.s_pos, r.t_pos, round(r.confidence, 9), r.match_type) for r in rows)
+    found = matching.match_pairs(tracks, names, strict=strict, scorer=scorer).collect()
+    assert {r.match_type for r in found} >= {"isrc", "exact", scorer} - {"equality"}
+    stats = {(r.source, r.target): r for r in compare.pairwise_stats(tracks, names, strict=strict, scorer=scorer).collect()}
+    assert set(stats) == set(itertools.combinations(names, 2))
+    for a, b in stats:
+        s, t = (tracks.where(F.col("library") == x) for x in (a, b))
+        matches = matching.match_libraries(s, t, strict=strict, scorer=scorer)
+        assert told(r for r in found if (r.source, r.target) == (a, b)) == told(matches.collect())
+        one = compare.comparison_stats(s, t, matches).first().asDict()
+        assert {c: stats[a, b][c] for c in one} == pytest.approx(one)
+
+
+def test_pairs_of_libraries_share_their_exchanges(spark, monkeypatch):
+    made, tracks = exchanges(monkeypatch), library_rows(spark, 10)
+    broadcasts = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # plans alike whatever the tables' sizes
+    try:
+        matching.match_pairs(tracks, ["L0", "L1"], scorer="equality")
+        two, made[:] = list(made), []
+        matching.match_pairs(tracks, [f"L{i}" for i in range(10)], scorer="equality")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
+    assert made == two and sum(two) > 0
+
+
+def test_libraries_named_once(spark):
+    with pytest.raises(ValueError, match="once"):
+        compare.pairwise_stats(library_rows(spark, 2), ["L0", "L0"])
+    with pytest.raises(ValueError, match="boolean"):
+        matching.match_pairs(library_rows(spark, 2), ["L0", "L1"], strict=1)

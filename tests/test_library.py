@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import plistlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 from trackloom.functions import normalize as N
 from trackloom.functions import parsing as P
 from trackloom.functions import similarity as S
-from trackloom.operators import dedup, matching
+from trackloom.operators import dedup, matching, usage
 from trackloom.operators.components import connected_components
 from trackloom.operators.content import is_music
 from trackloom.operators.shared import meet_all, with_prefix
 from trackloom.sources import readers, writers
-from trackloom.streaming import metrics
+from trackloom.streaming import metrics, samples
 
 
 def value(spark, column):
@@ -168,6 +169,21 @@ def test_stream_counts_as_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("totals").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_last_samples_over_a_restart(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, rng.random()])) for i in range(300)] + [(400, "null only", None), (None, "a", 9.0)]
+    schema = "event_id long, name string, value double"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    late = sorted(rows[:300], key=lambda r: r[0] % 3)  # rows come out of order
+    for run in (late[:90], late[90:] + rows[300:]):
+        spark.createDataFrame(run, schema).repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        samples.run_to_table(samples.sample_stats(stream, "name", "value", "event_id", n=40), str(tmp_path / "out"), str(tmp_path / "state"))
+    found = samples.latest(spark.read.parquet(str(tmp_path / "out")), "name").collect()
+    batch = usage.sample_stats(spark.createDataFrame(rows, schema).where("event_id IS NOT NULL"), ["name"], "value", [F.col("event_id").desc()], n=40).collect()
+    assert {r.name: pytest.approx(tuple(r)[1:]) for r in batch} == {r.name: tuple(r)[1:] for r in found} and len(found) == len(batch) == 4
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (40, 40), (None, 1)]
     out = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.functions.normalize import header_map
+from trackloom.functions.normalize import header_map, library_slug
 from trackloom.sources import readers, writers
 
 TRACK = "title string, artist string, album string, duration int, isrc string, platform string, track_id string, url string, year int, genre string"
@@ -48,6 +48,33 @@ def test_save_comparison_of_empty_tables(tables, tmp_path):
     assert set(made) == {"summary"} and len(list(tmp_path.iterdir())) == 1
 
 
+def test_save_comparison_runs_each_table_once(spark, tables, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(part):
+        for rows in part:
+            runs.add(len(rows))
+            yield rows
+
+    matches, missing, stats = (t.mapInPandas(counted, t.schema) for t in tables)
+    made = writers.save_comparison(str(tmp_path), "A", "B", matches, missing, stats)
+    assert set(made) == {"matches", "missing", "summary"} and runs.value == 1 + 2 + 1
+
+
+def test_save_comparison_again_without_rows(spark, tables, tmp_path):
+    matches, missing, stats = tables
+    first = writers.save_comparison(str(tmp_path), "A", "B", matches, missing, stats)
+    none = spark.createDataFrame([], TRACK)
+    made = writers.save_comparison(str(tmp_path), "A", "B", matches, none, stats)
+    assert set(made) == {"matches", "summary"} and not Path(first["missing"]).exists()
+
+
+def test_library_file_name(spark):
+    names = ["My Lib-1", "", "a  b", "É-x"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in rows.select(library_slug(F.col("n"))).collect()] == [writers.library_file_name(n) for n in names]
+
+
 def test_missing_report(tables):
     rows = writers.missing_report(tables[1]).collect()
     assert rows[0].asDict().keys() == {"title", "artist", "album", "duration", "isrc", "platform", "track_id", "url", "year", "genre"}

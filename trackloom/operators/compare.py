@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.matching import match_libraries
+from trackloom.operators.matching import match_pairs
 
 KINDS = ("exact", "fuzzy", "isrc")
 
@@ -40,30 +40,36 @@ def overview(tracks: DataFrame) -> DataFrame:
     )
 
 
+def match_counts() -> list[Column]:
+    kinds = [F.count_if(F.col("match_type") == k).alias(f"{k}_matches") for k in KINDS]
+    return [F.count(F.lit(1)).alias("total_matches"), *kinds, F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence")]
+
+
+def with_rates(counted: DataFrame) -> DataFrame:
+    rate = F.when(F.col("source_music_tracks") > 0, F.col("total_matches") / F.col("source_music_tracks")).otherwise(0.0)
+    return counted.withColumns({"match_rate": rate, "missing_tracks": F.col("source_music_tracks") - F.col("total_matches")})
+
+
 def comparison_stats(source: DataFrame, target: DataFrame, matches: DataFrame) -> DataFrame:
     """One row: music tracks of both sides, matches by kind, mean confidence, match rate and missing tracks."""
     sizes = lambda df, name: df.where("is_music").agg(F.count(F.lit(1)).alias(name))
-    counted = matches.agg(
-        F.count(F.lit(1)).alias("total_matches"),
-        *[F.count_if(F.col("match_type") == k).alias(f"{k}_matches") for k in KINDS],
-        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"),
-    )
     # three single rows side by side
-    out = counted.join(sizes(source, "source_music_tracks")).join(sizes(target, "target_music_tracks"))
-    rate = F.when(F.col("source_music_tracks") > 0, F.col("total_matches") / F.col("source_music_tracks")).otherwise(0.0)
-    return out.withColumns({"match_rate": rate, "missing_tracks": F.col("source_music_tracks") - F.col("total_matches")})
+    return with_rates(matches.agg(*match_counts()).join(sizes(source, "source_music_tracks")).join(sizes(target, "target_music_tracks")))
 
 
 def pairwise_stats(tracks: DataFrame, names: list[str], **options) -> DataFrame:
-    """Comparison statistics of every pair of libraries; an index for each pair."""
+    """Comparison statistics of every pair of libraries by ``match_pairs``; pairs without a match and empty libraries too."""
     if len(names) < 2:
         raise ValueError("at least two libraries are needed")
-    out = None
-    for a, b in combinations(names, 2):
-        s, t = tracks.where(F.col("library") == a), tracks.where(F.col("library") == b)
-        row = comparison_stats(s, t, match_libraries(s, t, **options)).withColumns({"source": F.lit(a), "target": F.lit(b)})
-        out = row if out is None else out.unionByName(row)
-    return out
+    if len(set(names)) < len(names):
+        raise ValueError("each library is to be named once")
+    pairs = tracks.sparkSession.createDataFrame(list(combinations(names, 2)), "source string, target string")
+    sizes = tracks.where(F.col("is_music") & F.col("library").isin(names)).groupBy("library").agg(F.count(F.lit(1)).alias("n"))
+    counted = match_pairs(tracks, names, **options).groupBy("source", "target").agg(*match_counts())
+    out = pairs.join(counted, ["source", "target"], "left")
+    for name in ("source", "target"):
+        out = out.join(sizes.select(F.col("library").alias(name), F.col("n").alias(f"{name}_music_tracks")), name, "left")
+    return with_rates(out.fillna(0))
 
 
 def universal_tracks(tracks: DataFrame, n_libraries: int, first: str) -> DataFrame:

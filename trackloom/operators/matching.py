@@ -28,7 +28,17 @@ def side(tracks: DataFrame, name: str) -> DataFrame:
     return tracks.select(*[F.col(c).alias(f"{name}_{c}") for c in FIELDS])
 
 
-def first_by(df: DataFrame, key: str, *order: Column) -> DataFrame:
+def scope(df: DataFrame, name: str) -> list[str]:
+    """The column that parts comparisons of one cascade: the library asked (``s_lib``, ``t_lib``), where several are."""
+    return [f"{name}_lib"] if f"{name}_lib" in df.columns else []
+
+
+def together(s: DataFrame) -> Column:
+    """Source and target belong to one comparison."""
+    return F.col("s_lib") == F.col("t_lib") if scope(s, "s") else F.lit(True)
+
+
+def first_by(df: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
     """One row for each key: row_number, since max_by leaves ties open."""
     return df.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__nth = 1").drop("__nth")
 
@@ -36,14 +46,14 @@ def first_by(df: DataFrame, key: str, *order: Column) -> DataFrame:
 def isrc_matches(s: DataFrame, t: DataFrame) -> DataFrame:
     """Equal identifiers without regard to case; of targets with one identifier the last counts."""
     key = lambda c: F.lower(c)
-    last = first_by(t.where(text(F.col("t_isrc")) != "").withColumn("__k", key(F.col("t_isrc"))), "__k", F.col("t_pos").desc())
-    hit = s.where(text(F.col("s_isrc")) != "").join(last, key(F.col("s_isrc")) == F.col("__k")).drop("__k")
+    last = first_by(t.where(text(F.col("t_isrc")) != "").withColumn("__k", key(F.col("t_isrc"))), ["__k", *scope(t, "t")], F.col("t_pos").desc())
+    hit = s.where(text(F.col("s_isrc")) != "").join(last, (key(F.col("s_isrc")) == F.col("__k")) & together(s)).drop("__k")
     return hit.withColumns({"confidence": F.lit(1.0), "match_type": F.lit("isrc")})
 
 
 def exact_matches(s: DataFrame, t: DataFrame, score: Column) -> DataFrame:
     """Equal normalised title and artist: 0.95, or a later candidate that scores above that."""
-    hit = s.join(target_keys(t), (F.col("s_nt") == F.col("t_nt")) & (F.col("s_na") == F.col("t_na")))
+    hit = s.join(target_keys(t), (F.col("s_nt") == F.col("t_nt")) & (F.col("s_na") == F.col("t_na")) & together(s))
     hit = hit.withColumn("__score", F.when(score > 0.95, score).otherwise(0.95))
     hit = hit.withColumn("__many", F.sum("t_n").over(Window.partitionBy("s_pos")))
     hit = hit.withColumn("confidence", F.when(F.col("__many") > 1, F.col("__score")).otherwise(0.95))
@@ -52,7 +62,7 @@ def exact_matches(s: DataFrame, t: DataFrame, score: Column) -> DataFrame:
 
 
 def base_candidates(s: DataFrame, t: DataFrame) -> DataFrame:
-    return s.join(t, (F.col("s_base") == F.col("t_base")) & (F.col("s_na") == F.col("t_na")))
+    return s.join(t, (F.col("s_base") == F.col("t_base")) & (F.col("s_na") == F.col("t_na")) & together(s))
 
 
 def base_matches(s: DataFrame, t: DataFrame, score: Column, least: float) -> DataFrame:
@@ -68,26 +78,41 @@ def words_of(name: str) -> Column:
 
 
 def blocking_words(tracks: DataFrame, name: str) -> DataFrame:
-    """(pos, word): the blocking words of each track."""
-    return tracks.select(F.col(f"{name}_pos"), F.explode(words_of(name)).alias("word"))
+    """(pos, word): the blocking words of each track, and the library it is compared in if there are several."""
+    libraries = [F.col(c).alias("lib") for c in scope(tracks, name)]
+    return tracks.select(F.col(f"{name}_pos"), *libraries, F.explode(words_of(name)).alias("word"))
 
 
 def word_candidates(s: DataFrame, t: DataFrame) -> DataFrame:
     """(s_pos, t_pos) that share a title word or an artist word."""
-    return blocking_words(s, "s").join(blocking_words(t, "t"), "word").select("s_pos", "t_pos").distinct()
+    left, right = blocking_words(s, "s"), blocking_words(t, "t")
+    return left.join(right, [c for c in left.columns if c in right.columns]).select("s_pos", "t_pos").distinct()
+
+
+def first_targets(t: DataFrame, limit: int | None) -> DataFrame:
+    """``t_pos`` of the first ``limit`` targets of each comparison."""
+    if not scope(t, "t"):
+        return t.select("t_pos").orderBy("t_pos").limit(limit)
+    nth = F.row_number().over(Window.partitionBy("t_lib").orderBy("t_pos"))
+    return t.select("t_lib", "t_pos").withColumn("__nth", nth).where(F.col("__nth") <= limit).drop("__nth")
 
 
 def fallback_candidates(s: DataFrame, t: DataFrame, limit: int | None = NO_WORD_LIMIT) -> DataFrame:
-    """Sources that share no word with any target meet the first ``limit`` targets: a constant number, so broadcast."""
-    meeting = blocking_words(s, "s").join(blocking_words(t, "t").select("word").distinct(), "word", "left_semi").select("s_pos").distinct()
-    alone = s.select("s_pos").join(meeting, "s_pos", "left_anti")
-    first = t.select("t_pos").orderBy("t_pos").limit(limit).agg(F.collect_list("t_pos").alias("ts"))
-    return alone.join(F.broadcast(first)).select("s_pos", F.explode("ts").alias("t_pos"))
+    """Sources that share no word with any target meet the first ``limit`` targets: a constant number, so broadcast.
+
+    Of several comparisons each has its own first targets; those meet by library.
+    """
+    words = blocking_words(t, "t").drop("t_pos").distinct()
+    meeting = blocking_words(s, "s").join(words, words.columns, "left_semi").select("s_pos").distinct()
+    alone = s.select("s_pos", *scope(s, "s")).join(meeting, "s_pos", "left_anti")
+    first = first_targets(t, limit).groupBy(*scope(t, "t")).agg(F.collect_list("t_pos").alias("ts"))
+    met = alone.join(first, together(s)) if scope(s, "s") else alone.join(F.broadcast(first))
+    return met.select("s_pos", F.explode("ts").alias("t_pos"))
 
 
 def target_keys(t: DataFrame) -> DataFrame:
     """Targets that score alike with any source, once: the first ``t_pos`` of each, and how many there are (``t_n``)."""
-    same = [f"t_{c}" for c in FIELDS if c not in ("pos", "title", "artist", "year")]
+    same = [f"t_{c}" for c in FIELDS if c not in ("pos", "title", "artist", "year")] + scope(t, "t")
     return t.groupBy(*same).agg(F.min("t_pos").alias("t_pos"), F.count(F.lit(1)).alias("t_n"))
 
 
@@ -126,9 +151,10 @@ def scored_pairs(s: DataFrame, t: DataFrame, strict: bool, use_duration: bool, u
     """
     least = S.ACCEPT_FUZZY[strict]
     used = ("pos", "nt", "na", "tokens", "duration", "isrc", *(("album",) if use_album else ()))
-    narrow = lambda df, n: df.select(*[f"{n}_{c}" for c in used]).withColumn(f"{n}_words", words_of(n))
-    first = t.select("t_pos").orderBy("t_pos").limit(NO_WORD_LIMIT)
-    alone = fallback_candidates(s, t).join(narrow(s, "s"), "s_pos").join(narrow(t.join(F.broadcast(first), "t_pos"), "t"), "t_pos")
+    narrow = lambda df, n: df.select(*[f"{n}_{c}" for c in used], *scope(df, n)).withColumn(f"{n}_words", words_of(n))
+    first = first_targets(t, NO_WORD_LIMIT).select("t_pos")
+    first = t.join(first if scope(t, "t") else F.broadcast(first), "t_pos")
+    alone = fallback_candidates(s, t).join(narrow(s, "s"), "s_pos").join(narrow(first, "t"), "t_pos")
     s, t = narrow(s, "s"), narrow(target_keys(t), "t")
 
     def score(pairs: DataFrame, kind: str) -> DataFrame:
@@ -136,19 +162,21 @@ def scored_pairs(s: DataFrame, t: DataFrame, strict: bool, use_duration: bool, u
         return pairs.select("s_pos", "t_pos", S.confidence("s", "t", strict, use_duration, use_album, kind).alias("confidence"))
 
     code = lambda n: F.lower(F.trim(F.col(f"{n}_isrc")))
-    same = s.where(text(F.col("s_isrc")) != "").join(t, code("s") == code("t")).where(F.arrays_overlap("s_words", "t_words"))
+    same = s.where(text(F.col("s_isrc")) != "").join(t, (code("s") == code("t")) & together(s)).where(F.arrays_overlap("s_words", "t_words"))
     same = same.where(S.same_isrc(F.col("s_isrc"), F.col("t_isrc"))).select("s_pos", "t_pos", F.lit(1.0).alias("confidence"))
     by_token = lambda df, n: df.where(F.size(f"{n}_tokens") > 0).withColumn("token", F.explode(F.array_distinct(f"{n}_tokens")))
     left, right = by_token(s, "s"), by_token(t, "t")
     bare_s, bare_t = s.where(F.size("s_tokens") == 0), t.where(F.size("t_tokens") == 0)
     if scorer == "equality":
-        equal = F.col("s_nt") == F.col("t_nt")
+        equal = (F.col("s_nt") == F.col("t_nt")) & together(s)
         pairs = left.join(right, (left.token == right.token) & equal).drop("token")
         pairs = pairs.unionByName(bare_s.join(t, equal)).unionByName(s.where(F.size("s_tokens") > 0).join(bare_t, equal))
         pairs = pairs.where(F.arrays_overlap("s_words", "t_words")).unionByName(alone)
         return score(pairs.withColumn("__title", S.title_similarity(F.col("s_nt"), F.col("t_nt"), strict, scorer)), scorer).unionByName(same)
-    titles = similar_titles(left.select("token", "s_nt"), right.select("token", "t_nt"), least_title(strict, use_duration, use_album), strict, ["token"])
-    pairs = left.join(titles.withColumnRenamed("title", "__title"), ["token", "s_nt"]).join(right, ["token", "t_nt"]).where(F.arrays_overlap("s_words", "t_words"))
+    keys = ["token", *(["lib"] if scope(s, "s") else [])]
+    left, right = (df.withColumns({"lib": F.col(c) for c in scope(df, n)}) for df, n in ((left, "s"), (right, "t")))
+    titles = similar_titles(left.select(*keys, "s_nt"), right.select(*keys, "t_nt"), least_title(strict, use_duration, use_album), strict, keys)
+    pairs = left.join(titles.withColumnRenamed("title", "__title"), [*keys, "s_nt"]).join(right, [*keys, "t_nt"]).where(F.arrays_overlap("s_words", "t_words"))
     bare = word_candidates(bare_s, t).unionByName(word_candidates(s, bare_t)).distinct().join(s, "s_pos").join(t, "t_pos")
     bare = bare.unionByName(alone).withColumn("__title", F.lit(1.0)).where((0.45 + rest_of_score(strict, use_duration, use_album)) / 0.95 >= least - 1e-9).drop("__title")
     scores = spread(bare.select("s_nt", "t_nt").distinct(), "s_nt", "t_nt").withColumn("__title", S.title_similarity(F.col("s_nt"), F.col("t_nt"), strict))
@@ -176,7 +204,12 @@ def match_libraries(source: DataFrame, target: DataFrame, strict: bool = True, u
         raise ValueError("; ".join(issues))
     if music_only:
         source, target = source.where("is_music"), target.where("is_music")
-    s, t = materialise(side(source, "s"), "source"), materialise(side(target, "t"), "target")
+    return cascade(side(source, "s"), side(target, "t"), strict, use_duration, use_album, scorer)
+
+
+def cascade(s: DataFrame, t: DataFrame, strict: bool, use_duration: bool, use_album: bool, scorer: str) -> DataFrame:
+    """The stages over both sides, each on the sources that are left."""
+    s, t = materialise(s, "source"), materialise(t, "target")
     score = S.confidence("s", "t", strict, use_duration, use_album, scorer)
     rest, found = s, []
     for stage in (
@@ -191,6 +224,26 @@ def match_libraries(source: DataFrame, target: DataFrame, strict: bool = True, u
     return reduce(DataFrame.unionByName, found)
 
 
+def match_pairs(tracks: DataFrame, names: list[str], strict: bool = True, use_duration: bool = True, use_album: bool = False, scorer: str = "fuzzy") -> DataFrame:
+    """``match_libraries`` for each pair of ``names``, the earlier one as source, in one cascade over all pairs.
+
+    A source row comes once for each later library, ``s_lib``; targets come once, with their library as ``t_lib``, so
+    that all pairs share them and each stage has one join whatever the number of libraries. Positions may repeat in
+    different libraries. Returns source, target (names) and the columns of ``match_libraries``.
+    """
+    if issues := option_issues(strict=strict, use_duration=use_duration, use_album=use_album):
+        raise ValueError("; ".join(issues))
+    order = F.array(*[F.lit(n) for n in names])
+    music = tracks.where(F.col("is_music") & F.col("library").isin(names))
+    nth = F.array_position(order, F.col("library")).cast("int")
+    asked = music.withColumn("__lib", F.explode(F.slice(order, nth + 1, F.lit(len(names)))))
+    s = asked.select(*[F.col(c).alias(f"s_{c}") for c in FIELDS if c != "pos"], F.col("__lib").alias("s_lib"), F.struct("__lib", "library", "pos").alias("s_pos"))
+    t = music.select(*[F.col(c).alias(f"t_{c}") for c in FIELDS if c != "pos"], F.col("library").alias("t_lib"), F.struct("library", "pos").alias("t_pos"))
+    found = cascade(s, t, strict, use_duration, use_album, scorer)
+    plain = {"source": F.col("s_pos.library"), "target": F.col("t_lib"), "s_pos": F.col("s_pos.pos"), "t_pos": F.col("t_pos.pos")}
+    return found.withColumns(plain).drop("s_lib", "t_lib")
+
+
 def missing(source: DataFrame, matches: DataFrame) -> DataFrame:
     return source.where("is_music").join(matches.select(F.col("s_pos").alias("pos")), "pos", "left_anti")
 

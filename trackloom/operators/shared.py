@@ -35,6 +35,12 @@ def shared_exists(spark: SparkSession, path: str) -> bool:
     return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop))
 
 
+def shared_remove(spark: SparkSession, path: str) -> None:
+    """Remove the folder ``path``, in whatever store it is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 #: Rows of a narrow table that one file holds where the number of rows is known before it is written.
 ROWS_PER_FILE = 250_000
 

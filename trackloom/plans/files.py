@@ -16,6 +16,7 @@ from trackloom.plans import catalogue as C
 from trackloom.plans import oracles as O
 from trackloom.plans.catalogue import query, r6
 from trackloom.sources import readers, writers
+from trackloom.streaming import samples
 
 RAW = f"WITH raw AS ({A.TRACKS_SQL})"
 CLOCK = "concat(CAST(CAST(floor(duration / 60) AS INT) AS STRING), ':', lpad(CAST(duration % 60 AS STRING), 2, '0'))"
@@ -262,3 +263,33 @@ def library_duplicates(spark, d):
     score = F.when(F.col("s.nt") == F.col("t.nt"), 1.0).otherwise(0.9)
     found = cleanup.library_duplicates(a, b, score, on=["na", "base"])
     return found.select(F.col("s.pos").alias("s_pos"), F.col("t.pos").alias("t_pos"), "similarity", "bucket")
+
+
+@query(f"""{O.COMPARED} SELECT 'matched' AS file, coalesce(title, '') AS title, coalesce(artist, '') AS artist, round(confidence * 100, 2) AS figure FROM matches JOIN s ON s_pos = pos
+    UNION ALL SELECT 'missing', coalesce(title, ''), coalesce(artist, ''), coalesce(CAST(duration AS DOUBLE), 0) FROM s WHERE pos NOT IN (SELECT s_pos FROM matches)
+    UNION ALL SELECT 'summary', CAST(source_music_tracks AS VARCHAR), CAST(target_music_tracks AS VARCHAR), CAST(total_matches AS DOUBLE) FROM ({O.stats()})""")
+def comparison_files(spark, d):
+    """The three files of a comparison, written and read back."""
+    source, target = A.two(spark, d)
+    matches = C.equal_matches(spark, d)
+    stats = compare.comparison_stats(source, target, matches)
+    made = writers.save_comparison(shared_path(spark, "comparison"), "Library A", "Library-B", matches, matching.missing(source, matches), stats)
+    cells = lambda name: spark.read.option("header", True).csv(made[name]).fillna("")
+    matched = cells("matches").select(F.lit("matched").alias("file"), F.col("source_title").alias("title"), F.col("source_artist").alias("artist"), F.col("confidence").cast("double").alias("figure"))
+    missing = cells("missing").select(F.lit("missing"), "title", "artist", F.coalesce(F.expr("try_cast(nullif(duration, '') AS double)"), F.lit(0.0)))
+    summary = spark.read.schema("source_music_tracks string, target_music_tracks string, total_matches double").json(made["summary"])
+    return matched.union(missing).union(summary.select(F.lit("summary"), "source_music_tracks", "target_music_tracks", "total_matches"))
+
+
+@query(C.ORACLES["timer_stats_last_n"])
+def timer_stats_stream(spark, d):
+    """``timer_stats_last_n`` by a stream over the events, in micro-batches that add to what state holds."""
+    events = A.table(spark, d, "events").select("event_id", "event_type", "value")
+    files = shared_path(spark, "events")
+    events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(files)
+    several = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", several).parquet(files)
+    found = shared_path(spark, "samples")
+    samples.run_to_table(samples.sample_stats(stream, "event_type", "value", "event_id"), found, shared_path(spark, "samples-state"))
+    out = samples.latest(spark.read.parquet(found), "event_type")
+    return out.withColumns({"avg": r6("avg"), "sum": F.round("sum", 4)})

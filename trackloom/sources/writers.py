@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.normalize import text
 from trackloom.functions.parsing import percent, time_text
+from trackloom.operators.shared import shared_remove
 
 
 def _blank(c: str) -> Column:
@@ -119,14 +120,28 @@ def write_json(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").json(path)
 
 
+def library_file_name(name: str) -> str:
+    """``normalize.library_slug`` of one name."""
+    return name.lower().replace(" ", "_").replace("-", "_")
+
+
+def write_csv_unless_empty(df: DataFrame, path: str) -> int:
+    """``write_csv`` that counts rows while it writes them, so that ``df`` runs once; without rows the folder is removed."""
+    seen = Observation()
+    write_csv(df.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+    rows = seen.get.get("rows", 0)
+    if not rows:
+        shared_remove(df.sparkSession, path)
+    return rows
+
+
 def save_comparison(path: str, source: str, target: str, matches: DataFrame, missing: DataFrame, stats: DataFrame) -> dict[str, str]:
-    """Matched, missing and summary files under ``path``; empty tables are not written."""
-    slug = lambda s: s.lower().replace(" ", "_").replace("-", "_")
-    base, made = f"{path}/{slug(source)}_vs_{slug(target)}", {}
-    if not matches.isEmpty():
-        write_csv(matches_report(matches), made.setdefault("matches", f"{base}_matched.csv"))
-    if not missing.isEmpty():
-        write_csv(missing_report(missing), made.setdefault("missing", f"{base}_missing_from_{slug(target)}.csv"))
+    """Matched, missing and summary files under ``path``; each table runs once. Empty ones leave no file, nor an older one."""
+    other = library_file_name(target)
+    base, made = f"{path}/{library_file_name(source)}_vs_{other}", {}
+    for name, report, file in (("matches", matches_report(matches), f"{base}_matched.csv"), ("missing", missing_report(missing), f"{base}_missing_from_{other}.csv")):
+        if write_csv_unless_empty(report, file):
+            made[name] = file
     write_json(summary_report(stats), made.setdefault("summary", f"{base}_summary.json"), one_file=True)
     return made
 
