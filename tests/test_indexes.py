@@ -223,3 +223,17 @@ def test_libraries_named_once(spark):
         compare.pairwise_stats(library_rows(spark, 2), ["L0", "L0"])
     with pytest.raises(ValueError, match="boolean"):
         matching.match_pairs(library_rows(spark, 2), ["L0", "L1"], strict=1)
+
+
+def test_class_pairs(spark, monkeypatch):
+    """Pairs of rows by classes: the plain join's, also where a class has more rows than a list, with nulls in what scores."""
+    from trackloom.operators import classes
+
+    monkeypatch.setattr(classes, "LIST", 3)
+    rows = [(i, "ab"[i % 2], None if i % 5 == 0 else i % 4) for i in range(60)] + [(60, None, 1)]
+    side = lambda n: spark.createDataFrame(rows, f"{n}_pos long, {n}_base string, {n}_duration int")
+    score = F.coalesce(F.col("s_duration") - F.col("t_duration"), F.lit(-9)).alias("x")
+    found = classes.class_pairs(side("s"), side("t"), ["base"], ["duration"], ["pos"], {"x": score})
+    expected = side("s").join(side("t"), F.col("s_base") == F.col("t_base")).select("s_pos", "t_pos", score)
+    assert sorted(found.collect()) == sorted(expected.collect())
+    assert "array_intersect" not in str(found._jdf.queryExecution().optimizedPlan())

@@ -177,7 +177,8 @@ def top_risks(spark, d):
 @query(f"""{O.LIB}, c AS (SELECT s.pos AS s_pos, t.pos AS t_pos, {O.confidence()} AS confidence FROM lib s JOIN lib t ON s.base = t.base WHERE s.library = 'A' AND t.library = 'B'),
     p AS (SELECT *, row_number() OVER (PARTITION BY s_pos ORDER BY confidence DESC, t_pos) AS place FROM c) SELECT s_pos, t_pos, place, round(confidence, 6) AS confidence FROM p WHERE place <= 10""")
 def search_results(spark, d):
-    scored = C.name_pairs(spark, d).withColumn("confidence", S.confidence("s", "t", scorer="equality"))
+    score = S.confidence("s", "t", known=C.folded_parts())
+    scored = C.pairs_by_artists(spark, d).select("s_pos", "t_pos", score.alias("confidence"))
     return matching.search_results(scored).select("s_pos", "t_pos", "place", r6("confidence").alias("confidence"))
 
 
