@@ -237,3 +237,21 @@ def test_class_pairs(spark, monkeypatch):
     expected = side("s").join(side("t"), F.col("s_base") == F.col("t_base")).select("s_pos", "t_pos", score)
     assert sorted(found.collect()) == sorted(expected.collect())
     assert "array_intersect" not in str(found._jdf.queryExecution().optimizedPlan())
+
+
+def test_best_by_parts(spark):
+    """The best by the equality score without pairs of rows: as over all pairs, with blanks, nulls, no tokens and copies."""
+    from trackloom.operators import classes
+
+    pick = random.Random(5)
+    of = lambda *xs: pick.choice(xs)
+    row = lambda i: (i, of("x", "y", ""), of("p", "q", None, "", "P"), of(None, 0, 100, 105, 110), of(None, None, "c1", " C1", "c2"), of("na", "nb"), of(["a"], ["a", "b"], ["b", "c"], []), of("k", "l"))
+    names = ("pos long", "nt string", "album string", "duration int", "isrc string", "na string", "tokens array<string>", "base string")
+    s, t = (spark.createDataFrame([row(i) for i in range(n)], ", ".join(f"{k}_{c}" for c in names)) for k, n in (("s", 120), ("t", 90)))
+    for on, equal, album, length in (([], False, True, True), (["base"], True, True, True), ([], False, False, True), ([], False, True, False)):
+        met = F.col("s_na") == F.col("t_na") if equal else F.arrays_overlap("s_tokens", "t_tokens") | (F.size("s_tokens") == 0)
+        pairs = s.join(t, met if not on else met & (F.col("s_base") == F.col("t_base")))
+        pairs = pairs.withColumn("confidence", S.confidence("s", "t", False, length, album, "equality"))
+        expected = matching.first_by(pairs, "s_pos", F.col("confidence").desc(), F.col("t_pos")).select("s_pos", "t_pos", "confidence")
+        found = classes.best_equal(s, t, classes.artist_classes(s, t, equal), False, length, album, on)
+        assert sorted(found.collect()) == sorted(expected.collect())
