@@ -255,3 +255,16 @@ def test_best_by_parts(spark):
         expected = matching.first_by(pairs, "s_pos", F.col("confidence").desc(), F.col("t_pos")).select("s_pos", "t_pos", "confidence")
         found = classes.best_equal(s, t, classes.artist_classes(s, t, equal), False, length, album, on)
         assert sorted(found.collect()) == sorted(expected.collect())
+
+
+def test_candidate_totals(spark):
+    """Totals of the candidates by word without their pairs: those of the pairs."""
+    from trackloom.operators import classes
+
+    pick = random.Random(3)
+    words = lambda: " ".join(pick.choices(["red", "hot", "bolt", "ox", "new new"], k=pick.randrange(4)))
+    s, t = (spark.createDataFrame([(i, words(), words()) for i in range(n)], f"{k}_pos long, {k}_nt string, {k}_na string") for k, n in (("s", 60), ("t", 50)))
+    pairs = matching.word_candidates(s, t).groupBy("s_pos").agg(F.count(F.lit(1)), F.min("t_pos"), F.sum("t_pos"))
+    found = classes.candidate_totals(s, t)
+    assert sorted(found.collect()) == sorted(pairs.collect())
+    assert "t_pos" not in found.columns
