@@ -268,3 +268,40 @@ def test_candidate_totals(spark):
     found = classes.candidate_totals(s, t)
     assert sorted(found.collect()) == sorted(pairs.collect())
     assert "t_pos" not in found.columns
+
+
+def test_best_of_the_second_matcher(spark):
+    """The best candidate by distinct names, without the pairs of rows: as of all pairs that reach the score."""
+    rng = random.Random(4)
+    titles = [t for t in some_titles(40, 9) if t]
+    schema = "pos long, nt string, na string, album string, duration int, isrc string, tokens array<string>"
+
+    def side(first, n):
+        rows = []
+        for i in range(90):
+            artist = rng.choice(["abba", "baab", "the who", "who", "queen and king"])
+            rows.append((first + i, rng.choice(titles), artist, rng.choice([None, " Gold ", "gold", "golds"]), rng.choice([None, 0, 200, 203]), rng.choice([None, "", "C1", " c1\t"]), rng.choice([[], artist.split()])))
+        df = matching.side(spark.createDataFrame(rows, schema).selectExpr("*", "nt AS title", "na AS artist", "null AS year", "nt AS base"), n)
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    s, t = side(0, "s"), side(1000, "t")
+    for plain, album, length in ((False, True, True), (True, False, True)):
+        pairs = matching.pairs_b(s, t, 0.75, length, album, plain)
+        expected = matching.first_by(pairs, "s_pos", F.round("b_confidence", 12).desc(), F.col("t_pos"))
+        found = {r.s_pos: (r.t_pos, pytest.approx(r.b_confidence)) for r in matching.best_b(s, t, 0.75, length, album, plain).collect()}
+        assert found == {r.s_pos: (r.t_pos, r.b_confidence) for r in expected.collect()} and len(found) > 30
+
+
+def test_rows_that_score_alike_are_scored_once(spark):
+    """Equal pairs are scored by class: targets with identifiers of their own don't make a pair of rows each."""
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(a, b):
+        scored.add(1)
+        return 0.97
+
+    schema = "pos long, title string, artist string, album string, duration int, isrc string, year int, nt string, na string, tokens array<string>, base string"
+    rows = lambda first, code: matching.side(spark.createDataFrame([(first + i, "x", "a", None, 100, code and f"{code}{i}", None, "x", "a", ["a"], "x") for i in range(60)], schema), "s" if not code else "t")
+    found = matching.exact_matches(rows(0, None), rows(100, "c"), score("s_duration", "t_duration")).select("s_pos", "t_pos", "confidence").collect()
+    assert sorted(found) == [(i, 100, 0.97) for i in range(60)] and scored.value < 60
