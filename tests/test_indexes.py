@@ -305,3 +305,17 @@ def test_rows_that_score_alike_are_scored_once(spark):
     rows = lambda first, code: matching.side(spark.createDataFrame([(first + i, "x", "a", None, 100, code and f"{code}{i}", None, "x", "a", ["a"], "x") for i in range(60)], schema), "s" if not code else "t")
     found = matching.exact_matches(rows(0, None), rows(100, "c"), score("s_duration", "t_duration")).select("s_pos", "t_pos", "confidence").collect()
     assert sorted(found) == [(i, 100, 0.97) for i in range(60)] and scored.value < 60
+
+
+def test_best_targets(spark):
+    """The ten best of one base title without all pairs: as of all pairs, with copies, codes, nulls and no tokens."""
+    from trackloom.operators import classes
+
+    pick = random.Random(8)
+    of = lambda *xs: pick.choice(xs)
+    schema = "pos long, title string, artist string, album string, duration int, isrc string, year int, nt string, na string, tokens array<string>, base string"
+    row = lambda i: (i, "", "", None, of(None, 0, 100, 104, 300), of(None, None, None, "c1", " C1"), None, of("x", "X", "y", ""), of("na", "nb"), of(["a"], ["a", "b"], []), of("k", "l"))
+    s, t = (matching.side(spark.createDataFrame([row(i) for i in range(n)], schema), k) for k, n in (("s", 60), ("t", 150)))
+    scored = s.join(t, F.col("s_base") == F.col("t_base")).withColumn("confidence", S.confidence("s", "t", scorer="equality"))
+    expected = matching.search_results(scored, 10).select("s_pos", "t_pos", "confidence", "place")
+    assert sorted(classes.best_targets(s, t, "base", 10).collect()) == sorted(expected.collect())

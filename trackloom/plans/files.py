@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import similarity as S
 from trackloom.operators import cleanup, compare, content, dedup, enrich, matching, usage
+from trackloom.operators.classes import best_targets
 from trackloom.operators.shared import shared_path
 from trackloom.plans import adapters as A
 from trackloom.plans import catalogue as C
@@ -177,9 +178,8 @@ def top_risks(spark, d):
 @query(f"""{O.LIB}, c AS (SELECT s.pos AS s_pos, t.pos AS t_pos, {O.confidence()} AS confidence FROM lib s JOIN lib t ON s.base = t.base WHERE s.library = 'A' AND t.library = 'B'),
     p AS (SELECT *, row_number() OVER (PARTITION BY s_pos ORDER BY confidence DESC, t_pos) AS place FROM c) SELECT s_pos, t_pos, place, round(confidence, 6) AS confidence FROM p WHERE place <= 10""")
 def search_results(spark, d):
-    score = S.confidence("s", "t", known=C.folded_parts())
-    scored = C.pairs_by_artists(spark, d).select("s_pos", "t_pos", score.alias("confidence"))
-    return matching.search_results(scored).select("s_pos", "t_pos", "place", r6("confidence").alias("confidence"))
+    a, b = A.two(spark, d)
+    return best_targets(matching.side(a, "s"), matching.side(b, "t"), "base", 10).select("s_pos", "t_pos", "place", r6("confidence").alias("confidence"))
 
 
 # Reports
