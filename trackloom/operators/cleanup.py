@@ -44,12 +44,16 @@ def apply_plan(items: DataFrame, plan: DataFrame) -> DataFrame:
     return kept.select(*keys).unionByName(plan.where("op = 'add'").select(*keys))
 
 
+def bucket(similarity: Column, high: float = 0.95) -> Column:
+    return F.when(similarity > high, "high_confidence").otherwise("needs_review")
+
+
 def library_duplicates(playlist: DataFrame, library: DataFrame, similarity: Column, high: float = 0.95, least: float = 0.8, on: list[str] | None = None) -> DataFrame:
     """Playlist rows with their library matches: high_confidence or needs_review. Both sides carry the columns ``on``
     (artist unless given): only rows equal in them are compared."""
     same = [F.col(f"s.{c}") == F.col(f"t.{c}") for c in on or ["na"]]
     pairs = playlist.alias("s").join(library.alias("t"), same).withColumn("similarity", similarity).where(F.col("similarity") >= least)
-    return pairs.withColumn("bucket", F.when(F.col("similarity") > high, "high_confidence").otherwise("needs_review"))
+    return pairs.withColumn("bucket", bucket(F.col("similarity"), high))
 
 
 def cleanup_summary(marked: DataFrame, signature: list[str], position: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import similarity as S
 from trackloom.operators import cleanup, compare, content, dedup, enrich, matching, usage
-from trackloom.operators.classes import best_targets
+from trackloom.operators.classes import best_targets, class_pairs
 from trackloom.operators.shared import shared_path
 from trackloom.plans import adapters as A
 from trackloom.plans import catalogue as C
@@ -261,9 +261,10 @@ def metrics_json(spark, d):
     SELECT s_pos, t_pos, similarity, CASE WHEN similarity > 0.95e0 THEN 'high_confidence' ELSE 'needs_review' END AS bucket FROM c WHERE similarity >= 0.8e0""")
 def library_duplicates(spark, d):
     a, b = C.two(spark, d)
-    score = F.when(F.col("s.nt") == F.col("t.nt"), 1.0).otherwise(0.9)
-    found = cleanup.library_duplicates(a, b, score, on=["na", "base"])
-    return found.select(F.col("s.pos").alias("s_pos"), F.col("t.pos").alias("t_pos"), "similarity", "bucket")
+    # each pair of titles is compared once; lists of rows are then unfolded
+    score = F.when(F.col("s_nt") == F.col("t_nt"), 1.0).otherwise(0.9)
+    found = class_pairs(matching.side(a, "s"), matching.side(b, "t"), ["na", "base"], ["nt"], ["pos"], {"similarity": score, "bucket": cleanup.bucket(score)})
+    return found.select("s_pos", "t_pos", "similarity", "bucket")
 
 
 @query(f"""{O.COMPARED} SELECT 'matched' AS file, coalesce(title, '') AS title, coalesce(artist, '') AS artist, round(confidence * 100, 2) AS figure FROM matches JOIN s ON s_pos = pos
