@@ -319,3 +319,13 @@ def test_best_targets(spark):
     scored = s.join(t, F.col("s_base") == F.col("t_base")).withColumn("confidence", S.confidence("s", "t", scorer="equality"))
     expected = matching.search_results(scored, 10).select("s_pos", "t_pos", "confidence", "place")
     assert sorted(classes.best_targets(s, t, "base", 10).collect()) == sorted(expected.collect())
+
+
+def test_comparison_without_missing_tracks(spark, tmp_path):
+    """A library that lacks nothing leaves no file of missing tracks, and the query reads the others."""
+    from trackloom.plans import catalogue, files  # noqa: F401
+
+    row = lambda k: (k, "old ring", "Brand#1", "LARGE", 5)
+    spark.createDataFrame([row(70), row(35)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = catalogue.QUERIES["comparison_files"](spark, str(tmp_path)).collect()
+    assert sorted(r.file for r in found) == ["matched", "summary"]

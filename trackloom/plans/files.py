@@ -276,7 +276,9 @@ def comparison_files(spark, d):
     matches = C.equal_matches(spark, d)
     stats = compare.comparison_stats(source, target, matches)
     made = writers.save_comparison(shared_path(spark, "comparison"), "Library A", "Library-B", matches, matching.missing(source, matches), stats)
-    cells = lambda name: spark.read.option("header", True).csv(made[name]).fillna("")
+    # a report without rows leaves no file
+    texts = {"matches": "source_title string, source_artist string, confidence string", "missing": "title string, artist string, duration string"}
+    cells = lambda name: spark.read.option("header", True).csv(made[name]).fillna("") if name in made else spark.createDataFrame([], texts[name])
     matched = cells("matches").select(F.lit("matched").alias("file"), F.col("source_title").alias("title"), F.col("source_artist").alias("artist"), F.col("confidence").cast("double").alias("figure"))
     missing = cells("missing").select(F.lit("missing"), "title", "artist", F.coalesce(F.expr("try_cast(nullif(duration, '') AS double)"), F.lit(0.0)))
     summary = spark.read.schema("source_music_tracks string, target_music_tracks string, total_matches double").json(made["summary"])
