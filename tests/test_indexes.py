@@ -329,3 +329,15 @@ def test_comparison_without_missing_tracks(spark, tmp_path):
     spark.createDataFrame([row(70), row(35)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     found = catalogue.QUERIES["comparison_files"](spark, str(tmp_path)).collect()
     assert sorted(r.file for r in found) == ["matched", "summary"]
+
+
+def test_records_of_equal_words_meet_once(spark, monkeypatch):
+    """Copies of a recording are one candidate, that of the least id."""
+    from trackloom.operators import enrich
+
+    seen, plain = [], enrich.plain_pairs
+    monkeypatch.setattr(enrich, "plain_pairs", lambda left, right, least: seen.append(right.count()) or plain(left, right, least))
+    schema = "id long, title string, length long, artists array<struct<name: string>>, releases array<struct<title: string>>, isrcs array<string>, tags array<struct<name: string, count: int>>"
+    records = spark.createDataFrame([(9 - i, "old ring", 1, [("ada",)], [("large",)], [], []) for i in range(5)], schema)
+    asked = spark.createDataFrame([(1, "old ring", "ada", None, None, "old ring", "ada")], "pos long, title string, artist string, album string, isrc string, nt string, na string")
+    assert [(r.pos, r.r.id, r.score) for r in enrich.look_up(asked, records).collect()] == [(1, 5, 1.0)] and seen == [1]

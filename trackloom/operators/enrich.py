@@ -68,6 +68,8 @@ def look_up(tracks: DataFrame, recordings: DataFrame, least: float = 0.7) -> Dat
     left = asked.select("pos", word_set(F.col("title")).alias("t"), word_set(F.col("artist")).alias("a"), word_set(F.col("album")).alias("name"))
     right = recordings.select("id", word_set(F.col("title")).alias("t"), word_set(names).alias("a"), F.transform("releases", lambda x: word_set(x["title"])).alias("names"))
     if least >= 0.7:  # a pair of both kinds counts with its higher score
+        # records of equal words score alike, and the least id of them wins
+        right = right.groupBy("t", "a", "names").agg(F.min("id").alias("id"))
         scored = lifted_pairs(left, right, least).unionByName(plain_pairs(left, right, least)).join(asked.select("pos", "nt", "na"), "pos")
     else:
         pairs = shared_word_pairs(left, right).distinct().join(asked, "pos").join(recordings.select("id", F.struct("title", "artists", "releases").alias("r")), "id")
