@@ -8,6 +8,8 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from functools import lru_cache
 
@@ -358,3 +360,33 @@ def test_exact_dedup_forgets_a_call_that_never_came_to_its_marker(spark, tmp_pat
     orphans = make([(1, "lost"), (7, "zz")]).selectExpr("doc_id", "text AS norm", "unhex(sha2(text, 256)) AS digest")
     orphans.write.parquet(f"{state}/texts/run=1")
     assert verdicts(dedup.exact_dedup(make([(7, "zz")]), state_path=state).collect()) == [(7, 7, 1, True)]
+
+
+PEAK = """
+import random, resource
+import pyarrow as pa
+from trackloom.llm import queries, tokens
+
+class Task:
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+path = queries.tokenizer_path("byte_bpe_50k.json")
+tokens.encoder(path)
+pick = random.Random(1)
+known = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=pick.randint(2, 9))) for _ in range(200_000)]
+batches = [pa.record_batch({"doc_id": [0] * 3000, "text": [" ".join(pick.choices(known, k=1000)) for _ in range(3000)]}) for _ in range(2)]
+before = peak()
+sum(x.num_rows for x in tokens.token_pieces(Task(), path)(iter(batches)))
+print(peak() - before)
+"""
+
+
+def test_token_pieces_memory():
+    """A task over texts of 39 MB holds the arrays of a small slice, and what it remembers, at any time."""
+    grown = subprocess.run([sys.executable, "-c", PEAK], capture_output=True, text=True, check=True, timeout=300)
+    assert int(grown.stdout) < 150

@@ -18,11 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from trackloom.llm.arrow_text import byte_slices, encoded, raw, safe_pieces, strings
+from trackloom.llm.arrow_text import byte_slices, encoded, give_back, raw, safe_pieces, strings
 
-SLICE_BYTES = 8 << 20
-#: Pieces that a worker remembers (about 50 MB); others are encoded anew in each slice.
-REMEMBERED = 1_000_000
+SLICE_BYTES = 2 << 20
+#: Pieces that a worker remembers (about 15 MB); others are encoded anew in each slice.
+REMEMBERED = 300_000
 #: Longer pieces are never remembered.
 SHORT = 64
 #: Pieces that are encoded as one text where they can be.
@@ -154,12 +154,39 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
             for a, b in byte_slices(texts, SLICE_BYTES):
                 part = texts.slice(a, b - a)
                 n = counts(own, part)
+                give_back()
                 size = np.diff(raw(part)[1])
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
+def cut(own: Encoder, doc_ids: pa.Array, texts: pa.Array, end_id: int | None, capacity: int) -> pa.RecordBatch:
+    """The pieces of ids of some texts, as :func:`token_pieces` has them."""
+    codes, first, (flat, begins, each) = own.pieces(texts)
+    ends = 1 if end_id is not None else 0
+    lens = each[codes]
+    total = np.concatenate([[0], np.cumsum(lens)])
+    where = np.repeat(begins[codes] - total[:-1], lens) + np.arange(total[-1])
+    size = total[first[1:]] - total[first[:-1]]
+    place = np.arange(total[-1]) + np.repeat(np.arange(len(texts)) * ends, size)
+    out = np.full(total[-1] + len(texts) * ends, end_id or 0, "<u4")
+    out[place] = flat[where]
+    size = size + ends
+    n = np.maximum(1, -(-size // capacity)) if ends else -(-size // capacity)
+    head = np.where(size > 0, (size - 1) % capacity + 1, 0)
+    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+    row = np.repeat(np.arange(len(texts)), n)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
+    length = np.where(piece == 0, head[row], capacity)
+    offsets = np.append(begin[row] + start, len(out)) * 4
+    if len(row) and offsets[-1] >= 2**31:
+        raise ValueError("a text of more than 2**29 tokens")
+    body = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+    return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), body], ["doc_id", "piece", "start", "length", "ids"])
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, capacity: int = 1024) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit, as binary): texts as pieces of ids.
 
@@ -172,29 +199,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, c
         for batch in batches:
             texts, doc_ids = strings(batch.column("text")), batch.column("doc_id")
             for a, b in byte_slices(texts, SLICE_BYTES):
-                codes, first, (flat, begins, each) = own.pieces(texts.slice(a, b - a))
-                ends = 1 if end_id is not None else 0
-                lens = each[codes]
-                total = np.concatenate([[0], np.cumsum(lens)])
-                where = np.repeat(begins[codes] - total[:-1], lens) + np.arange(total[-1])
-                size = total[first[1:]] - total[first[:-1]]
-                place = np.arange(total[-1]) + np.repeat(np.arange(b - a) * ends, size)
-                out = np.full(total[-1] + (b - a) * ends, end_id or 0, "<u4")
-                out[place] = flat[where]
-                size = size + ends
-                n = np.maximum(1, -(-size // capacity)) if ends else -(-size // capacity)
-                head = np.where(size > 0, (size - 1) % capacity + 1, 0)
-                begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-                row = np.repeat(np.arange(b - a), n)
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
-                length = np.where(piece == 0, head[row], capacity)
-                offsets = np.append(begin[row] + start, len(out)) * 4
-                if len(row) and offsets[-1] >= 2**31:
-                    raise ValueError("a text of more than 2**29 tokens")
-                body = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(a, b - a).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), body], ["doc_id", "piece", "start", "length", "ids"]
-                )
+                made = cut(own, doc_ids.slice(a, b - a), texts.slice(a, b - a), end_id, capacity)
+                give_back()
+                yield made
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
