@@ -6,12 +6,13 @@ import difflib
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import similarity as S
-from trackloom.operators import compare, dedup, matching, set_index, shared, stars, title_index
+from trackloom.operators import cleanup, compare, dedup, matching, set_index, shared, stars, title_index
 from trackloom.schema import derive
 
 WORDS = ["rain", "song", "of", "the", "night", "a", "rainy", "nights", "live", "zz", "ñandú", "x1", "song2", "go", "gogo"]
@@ -341,3 +342,18 @@ def test_records_of_equal_words_meet_once(spark, monkeypatch):
     records = spark.createDataFrame([(9 - i, "old ring", 1, [("ada",)], [("large",)], [], []) for i in range(5)], schema)
     asked = spark.createDataFrame([(1, "old ring", "ada", None, None, "old ring", "ada")], "pos long, title string, artist string, album string, isrc string, nt string, na string")
     assert [(r.pos, r.r.id, r.score) for r in enrich.look_up(asked, records).collect()] == [(1, 5, 1.0)] and seen == [1]
+
+
+def test_cleanup_plan_in_bounded_tasks(spark, monkeypatch):
+    """The plan by plain sets; the tasks that hold it grow in number with the items."""
+    monkeypatch.setattr(shared, "ROWS_PER_TASK", 100)
+    pick = random.Random(5)
+    items = [(pick.randrange(20), pick.randrange(300)) for _ in range(4000)] + [(None, 7), (3, None)]
+    groups = [(v // 3, v, v % 3 == v // 3 % 3) for v in range(300)]
+    won = {g: v for g, v, w in groups if w}
+    lost = {v: won[g] for g, v, w in groups if not w}
+    wanted = {(p, "remove", v) for p, v in items if v in lost} | {(p, "add", lost[v]) for p, v in items if v in lost and (p is None or (p, lost[v]) not in set(items))}
+    plan = cleanup.cleanup_plan(spark.createDataFrame(items, "playlist_id long, video_id long"), spark.createDataFrame(groups, "group_id long, video_id long, winner boolean"))
+    rows = plan.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(map(tuple, plan.collect()), key=str) == sorted(wanted, key=str)
+    assert max(Counter(r.task for r in rows).values()) < len(rows) / 8

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.shared import dealt
+
 
 def basic_cleanup(playlist: DataFrame, liked: DataFrame, library: DataFrame, key: str) -> DataFrame:
     """Playlist rows with reason: liked before library, null where the row stays."""
@@ -20,17 +22,22 @@ def internal_duplicates(playlist: DataFrame, signature: list[str], position: str
     return out.where("copies > 1")
 
 
-def cleanup_plan(items: DataFrame, selected: DataFrame) -> DataFrame:
+def cleanup_plan(items: DataFrame, selected: DataFrame, rows: int | None = None) -> DataFrame:
     """(playlist_id, op, video_id): remove losers of each playlist, add their winner where it lacks it.
 
-    ``items``: playlist_id, video_id. ``selected``: group_id, video_id, winner.
+    ``items``: playlist_id, video_id. ``selected``: group_id, video_id, winner. ``rows``: about how many items there are
+    at most, if known. Items are dealt by video once, over partitions that grow with their number; of those only what
+    winners have is compared with what is to be added.
     """
+    rows = items.count() if rows is None else rows
+    items = dealt(items.select("playlist_id", "video_id"), rows, "video_id")
     won = selected.where("winner").select("group_id", F.col("video_id").alias("winner_id"))
-    lost = selected.where("not winner").select("group_id", "video_id").join(won, "group_id")
-    hit = items.join(lost, "video_id")
+    lost = selected.where("not winner").select("group_id", "video_id").join(won, "group_id").select("video_id", "winner_id")
+    hit = items.join(lost.hint("merge"), "video_id")
     remove = hit.select("playlist_id", F.lit("remove").alias("op"), "video_id").distinct()
-    add = hit.select("playlist_id", F.col("winner_id").alias("video_id")).distinct()
-    add = add.join(items.select("playlist_id", "video_id"), ["playlist_id", "video_id"], "left_anti").select("playlist_id", F.lit("add").alias("op"), "video_id")
+    add = dealt(hit.select("playlist_id", F.col("winner_id").alias("video_id")), rows, "playlist_id", "video_id").distinct()
+    there = items.join(won.select(F.col("winner_id").alias("video_id")).hint("merge"), "video_id", "left_semi")
+    add = add.join(there.hint("merge"), ["playlist_id", "video_id"], "left_anti").select("playlist_id", F.lit("add").alias("op"), "video_id")
     return remove.unionByName(add)
 
 
