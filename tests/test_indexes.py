@@ -357,3 +357,15 @@ def test_cleanup_plan_in_bounded_tasks(spark, monkeypatch):
     rows = plan.withColumn("task", F.spark_partition_id()).collect()
     assert sorted(map(tuple, plan.collect()), key=str) == sorted(wanted, key=str)
     assert max(Counter(r.task for r in rows).values()) < len(rows) / 8
+
+
+def test_no_rows_are_sent_whole(spark, capsys):
+    """Rows of both libraries and their matches meet by sorting, however small their files look."""
+    rows = derive(spark.createDataFrame([(i, f"song {i}", "band", f"US{i}") for i in range(20)], "pos long, title string, artist string, isrc string").selectExpr("*", "'x' AS album", "200 AS duration", "1999 AS year", "'A' AS library"))
+    s, t = (shared.materialise(matching.side(rows, n), "side") for n in "st")
+    hit = shared.materialise(matching.isrc_matches(s, t), "hit")
+    assert matching.missing(rows, hit).count() == 0 and hit.count() == 20
+    for df in (matching.isrc_matches(s, t), matching.missing(rows, hit)):
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

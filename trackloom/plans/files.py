@@ -218,7 +218,7 @@ def risk_report(spark, d):
 @query(f"""{O.COMPARED} SELECT pos, title, artist, CASE WHEN confidence IS NULL THEN 'No matches found' ELSE 'Low confidence match' END AS reason FROM s LEFT JOIN matches ON s_pos = pos WHERE confidence IS NULL OR confidence < 0.7e0""")
 def failed_tracks(spark, d):
     """The JSON of failed tracks, written and read back."""
-    rows = C.two(spark, d)[0].where("is_music").join(C.equal_matches(spark, d).select(F.col("s_pos").alias("pos"), "confidence"), "pos", "left")
+    rows = C.two(spark, d)[0].where("is_music").join(matching.by_rows(C.equal_matches(spark, d).select(F.col("s_pos").alias("pos"), "confidence")), "pos", "left")
     failed = cleanup.playlist_batches(rows).where("reason is not null")
     path = shared_path(spark, "failed")
     writers.failed_report(failed.withColumn("album", F.col("pos").cast("string"))).write.text(path)
