@@ -8,6 +8,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,3 +371,49 @@ def test_no_rows_are_sent_whole(spark, capsys):
         df.explain()
         plan = capsys.readouterr().out
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pairs_in_batches(spark, monkeypatch):
+    """Pairs of lists leave in batches of a stated size, whatever the number of pairs; none of them is exploded by Spark."""
+    from trackloom.operators import classes, unfold
+
+    rows = pa.ListArray.from_arrays(pa.array([0, 300, 300, 340], pa.int32()), pa.StructArray.from_arrays([pa.array(range(340))], ["s_pos"]))
+    others = pa.ListArray.from_arrays(pa.array([0, 200, 210, 260], pa.int32()), pa.StructArray.from_arrays([pa.array([None, *range(259)])], ["t_pos"]))
+    lists = pa.RecordBatch.from_arrays([rows, others, pa.array([0.5, 0.7, None])], ["s_rows", "t_rows", "x"])
+    monkeypatch.setattr(unfold, "PAIRS", 1000)
+    found = [list(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in unfold.unfolded(iter([lists]), ["s_pos", "t_pos", "x"])]
+    of = lambda i: [(s["s_pos"], t["t_pos"], lists["x"][i].as_py()) for s in rows[i].as_py() for t in others[i].as_py()]
+    assert [x for b in found for x in b] == [*of(0), *of(2)] and len(found) == 2
+    side = lambda n: spark.range(40).select(F.col("id").alias(f"{n}_pos"), F.lit("a").alias(f"{n}_base"), (F.col("id") % 3).alias(f"{n}_duration"))
+    monkeypatch.setattr(classes, "CELL", 100)
+    pairs = classes.class_pairs(side("s"), side("t"), ["base"], ["duration"], ["pos"], {"x": F.col("s_duration") + F.col("t_duration")})
+    assert sorted(map(tuple, pairs.collect())) == sorted((i, j, i % 3 + j % 3) for i in range(40) for j in range(40))
+    assert "explode(t_rows" not in str(pairs._jdf.queryExecution().optimizedPlan())
+
+
+def test_pair_scores(spark):
+    """The score over arrays is the one over columns, rounded alike: nulls, blanks, no durations and halves at the seventh place."""
+    from trackloom.functions import pair_scores
+
+    pick = random.Random(3)
+    of = lambda *xs: pick.choice(xs)
+    schema = [("pos", "long"), ("nt", "string"), ("album", "string"), ("duration", "int"), ("isrc", "string")]
+    made = lambda: [(i, of("x", "y", "", None), of("p", "q", ""), of(None, 0, 100, 104, 108, 109, 112, 113, 200), of(None, None, "c1", "c2")) for i in range(60)]
+    sides = {n: made() for n in "st"}
+    arrays = {n: {f"{n}_{c}": pa.array([r[k] for r in rows], {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]) for k, (c, kind) in enumerate(schema)} for n, rows in sides.items()}
+    i, j = np.repeat(np.arange(60), 60), np.tile(np.arange(60), 60)
+    artist = np.round((i * 7 + j) % 11 / 11, 3)
+    got = pair_scores.strict_and_relaxed(arrays["s"], arrays["t"])(i, j, {"artist": pa.array(artist)})
+    s, t = (spark.createDataFrame(sides[n], ", ".join(f"{n}_{c} {kind}" for c, kind in schema)) for n in "st")
+    known = {
+        "artist": F.round((F.col("s_pos") * 7 + F.col("t_pos")) % 11 / 11, 3),
+        "title": F.when((F.col("s_nt") != "") & (F.col("s_nt") == F.col("t_nt")), 1.0).otherwise(0.0),
+        "album": F.when((F.col("s_album") == "") | (F.col("t_album") == ""), 0.5).when(F.col("s_album") == F.col("t_album"), 1.0).otherwise(0.0),
+        "same": F.col("s_isrc") == F.col("t_isrc"),
+    }
+    scores = F.round(S.confidence("s", "t", known=known), 6).alias("strict"), F.round(S.confidence("s", "t", False, True, True, known=known), 6).alias("relaxed")
+    expected = s.crossJoin(t).select("s_pos", "t_pos", *scores).collect()
+    assert {(a, b): (x, y) for a, b, x, y in zip(i.tolist(), j.tolist(), got["strict"].tolist(), got["relaxed"].tolist(), strict=True)} == {(r.s_pos, r.t_pos): (r.strict, r.relaxed) for r in expected}
+    halves = [k / 1e6 + 5e-7 for k in range(0, 1_000_000, 4999)] + [0.0, 1.0, 0.9999995, 0.1234565]
+    rounded = [r.x for r in spark.createDataFrame(enumerate(halves), "i int, v double").orderBy("i").select(F.round("v", 6).alias("x")).collect()]
+    assert pair_scores.r6(np.array(halves)).tolist() == rounded
